@@ -114,3 +114,8 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[i]:first[i+1]] for each i."""
     sums = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=None if values.dtype.kind == "f" else np.int64)))
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def shielded(docs, needed: tuple[str, ...]):
+    """docs with other columns than the needed ones renamed, so that they clash with nothing."""
+    return docs.toDF(*(c if c in needed else f"__c{i}" for i, c in enumerate(docs.columns)))

@@ -227,3 +227,9 @@ def _score_slice(data: np.ndarray, offsets: np.ndarray, model: Classifier | None
             score += kernel.segment_sums(model.weights[slots].astype(np.float64), at) / np.maximum(np.diff(at), 1)
         probability = 1 / (1 + np.exp(-np.clip(model.slope * score + model.shift, -50, 50)))
     return [*(counts[k].astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed, probability, ~failed & (probability >= params.min_probability)]
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of docs that are kept, with their columns."""
+    plain = kernel.shielded(docs, ("doc_id", "text"))
+    return assess(plain, labels, params, tuple(plain.columns)).where("kept").select(plain.columns).toDF(*docs.columns)
