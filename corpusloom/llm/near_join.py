@@ -4,8 +4,9 @@ Two texts link when intersection / union of their shingle sets is at least the t
 The method: order all shingles by rarity (a counting sketch of fixed size over the whole
 corpus, then the hash); only the first (1 - t) n + 1 shingles of a set of n can be the
 first common one of a link. Candidates share such a shingle and pass the length filter and
-the positional filter there; then the suffix filter bounds their overlap in slices, and
-what is left is verified once per pair on the full sets.
+the positional filter there; then the number of common prefix shingles and the suffix
+filter, in slices, bound their overlap, and what is left is verified once per pair on the
+full sets.
 
 What is asked for are components, so a group of near copies need not give all its pairs.
 In pivot rounds each shared shingle compares its documents with one pivot, the document
@@ -42,14 +43,17 @@ class NearParams:
     width: int = 5
     percent: int = 80
     sketch_bits: int = 16
-    pivot_rounds: int = 3
+    bitmap_bits: int = 23
+    #: Most rounds with pivots; the last join of all remaining pairs follows in any case.
+    pivot_rounds: int = 4
 
 
 def _node(found: np.ndarray) -> int:
     """Hash of a set, as a signed 64-bit number."""
     if not len(found):
         return 0
-    folded = kernel.mix(np.array([len(found)], np.uint64) + found.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_xor.reduce(kernel.mix(found)))
+    total, both = found.sum(dtype=np.uint64, keepdims=True), np.bitwise_xor.reduce(kernel.mix(found), keepdims=True)
+    folded = kernel.mix(total * np.uint64(0x9E3779B97F4A7C15) + both + np.uint64(len(found)))
     return int(folded.view(np.int64)[0])
 
 
@@ -113,18 +117,42 @@ def _passes(a: str, b: str, percent: int) -> str:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFrame:
-    """(node, grams) of the wanted (node, doc_id), one document for each node."""
+    """(node, grams) of the wanted (node, doc_id), one document for each node.
+
+    Texts aren't shuffled: a bitmap of fixed size tells tasks which documents may be wanted,
+    only these are cut into shingles, and a join by node leaves out the rest.
+    """
+    bits = params.bitmap_bits
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words = wanted.select(slot.alias("s")).selectExpr("shiftrightunsigned(s, 6) as word", "shiftleft(1L, cast(s & 63 as int)) as bit")
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most 2^(bits - 6) rows
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(0).to_pylist()
-            made = [(_node(found), found.tobytes()) for row, found in shingle_sets(batch.column(1), params.width) if asked[row] in (None, _node(found))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["node", "grams"])
+            at = batch.column(0).to_numpy().astype(np.uint64)
+            hit = (held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            if hit.any():
+                made = [found for _, found in shingle_sets(batch.column(1).filter(pa.array(hit)), params.width)]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "grams"])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    # Documents without an id can't be looked up by it: all of them are read, if there are any.
-    texts = texts.unionAll(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text"))
-    return texts.mapInArrow(run, "node long, grams binary").groupBy("node").agg(F.min("grams").alias("grams"))
+    made = docs.select(slot.alias("slot"), "text").mapInArrow(run, "node long, grams binary")
+    return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
+
+
+def _dense(pairs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose number of common prefix shingles leaves room for the overlap that is needed.
+
+    Every common shingle up to the end of one of the prefixes is in both; what comes after
+    is at most what the set has beyond its prefix.
+    """
+    left = buckets.select(F.col("node").alias("a"), "token", F.col("n").alias("na"))
+    right = buckets.select(F.col("node").alias("b"), "token", F.col("n").alias("nb"))
+    shared = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    beyond = f"ceil({percent}L * greatest(na, nb) / 100) - 1"
+    return shared.where(f"{100 + percent}L * (c + {beyond}) >= {percent}L * (na + nb)").select("a", "b")
 
 
 def _overlap_bound(x: np.ndarray, y: np.ndarray, slices: int = 16) -> int:
@@ -167,14 +195,13 @@ def near_components(docs: DataFrame, scratch: Scratch, params: NearParams = Near
     prefixes = _prefixes(docs, sketch, params)
     shared = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     buckets = scratch.save(prefixes.join(shared, "token").distinct(), "buckets")
-    # One document of each node that shares a token; copies of a set are left out.
+    # One document of each node; copies of a set are left out.
     some = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = some.join(buckets.select("node").distinct(), "node").select("node", "doc_id")
-    sets = scratch.save(_sets(docs, wanted, params), "sets")
 
-    parts, links, labels = [], None, None
-    tested = None
+    sets = links = labels = tested = None
+    linked, last = 0, False
     for turn in range(params.pivot_rounds + 1):
+        last = last or turn == params.pivot_rounds
         if labels is None:
             live = buckets.withColumn("label", F.col("node"))
         else:
@@ -183,27 +210,36 @@ def near_components(docs: DataFrame, scratch: Scratch, params: NearParams = Near
             open_tokens = live.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
             live = live.join(open_tokens, "token")
         live = live.select("token", "node", "n", "at", "label")
-        if turn < params.pivot_rounds:
+        if not last:
             # The earlier place in a set, the fewer shingles it has for itself; later rounds deal another pivot.
             key = F.struct("at", F.xxhash64("label", F.lit(turn)), "node", "n", "label") if turn else F.struct("at", F.lit(0).alias("tie"), "node", "n", "label")
             pivot = live.groupBy("token").agg(F.min(key).alias("p")).select("token", "p.node", "p.n", "p.at", "p.label")
         else:
             pivot = live
-        order = "r.node <> l.node" if turn < params.pivot_rounds else "l.node < r.node"
+        order = "l.node < r.node" if last else "r.node <> l.node"
         pairs = live.alias("l").join(pivot.alias("r"), F.expr(f"l.token = r.token and l.label <> r.label and {order} and {_passes('l', 'r', percent)}"))
         pairs = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{turn}")
-        found = scratch.save(_verify(pairs, sets, percent), f"links-{turn}")
         tested = pairs if tested is None else tested.unionAll(pairs)
+        near = scratch.save(_dense(pairs, buckets, percent), f"near-{turn}")
+        nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            nodes = nodes.join(sets.select("node"), "node", "left_anti")
+        wanted = scratch.save(some.join(nodes, "node"), f"wanted-{turn}")
+        more = scratch.save(_sets(docs, wanted, params), f"sets-{turn}")
+        sets = more if sets is None else sets.unionAll(more)
+        found = scratch.save(_verify(near, sets, percent), f"links-{turn}")
         links = found if links is None else links.unionAll(found)
-        parts.append(found)
-        if labels is not None and found.isEmpty():
-            if turn == params.pivot_rounds:
-                break
-            continue
-        labels = components(links, scratch, f"nodes-{turn}")
+        fresh = found.count()
+        linked += fresh
+        if fresh or labels is None:
+            labels = components(links, scratch, f"nodes-{turn}")
+        if last:
+            break
+        # Pivots are for large groups: once they find little, the last join does the rest.
+        last = 20 * fresh < linked
 
     # Component numbers are nodes; the result names each by its least document.
     named = rows.join(labels, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
