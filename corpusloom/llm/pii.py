@@ -172,18 +172,34 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     table[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
     held = docs.sparkSession.sparkContext.broadcast(table)
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
+        # Sums for the task; they are merged, and sent on if still many, at a fixed size.
+        bitmap, parts, size = held.value, [], 0
         for batch in batches:
             for _, _, data, offsets in kernel.slices(batch.column(0)):
                 _, _, first, keys = _terms(data, offsets)
                 at = keys >> np.uint64(64 - bits)
-                hit = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                where = np.flatnonzero(hit)
+                where = np.flatnonzero((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
                 doc = np.searchsorted(first, where, "right") - 1
-                pair = np.unique(np.rec.fromarrays((keys[where], doc)))
-                term, n = np.unique(pair["f0"], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
+                order = np.lexsort((doc, keys[where]))
+                term, doc = keys[where][order], doc[order]
+                new = np.ones(len(term), dtype=bool)
+                new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+                parts.append(np.unique(term[new], return_counts=True))
+                size += len(parts[-1][0])
+                if size > 1 << 20:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+                    if size > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], names=["term", "n"])
+                        parts, size = [], 0
+        if parts:
+            term, n = merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
