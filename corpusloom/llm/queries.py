@@ -22,8 +22,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write(read(spark, sf_dir, "documents"), Scratch(spark, "op3"))
-    return token_files.documents(files)
+    scratch = Scratch(spark, "op3")
+    return token_files.documents(token_files.write(read(spark, sf_dir, "documents"), scratch), scratch)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,13 +44,16 @@ class TokenFileParams:
     min_count: int = 8
 
 
-def _frequent_pairs(seq: np.ndarray, min_count: int, most: int) -> np.ndarray:
-    """The most frequent adjacent pairs as left << 32 | right, by falling count, then pair."""
-    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    bucket = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-    pair = pair[np.bincount(bucket, minlength=1 << 20)[bucket] >= min_count]
-    found, count = np.unique(pair, return_counts=True)
-    found, count = found[count >= min_count], count[count >= min_count]
+_SLOTS = 20
+
+
+def _frequent_pairs(pair: np.ndarray, slot: np.ndarray, min_count: int, most: int) -> np.ndarray:
+    """The most frequent of the adjacent pairs, by falling count, then pair."""
+    pair = pair[np.bincount(slot, minlength=1 << _SLOTS)[slot] >= min_count]
+    pair.sort()
+    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(pair)))
+    found, count = pair[first[count >= min_count]], count[count >= min_count]
     return found[np.lexsort((found, -count))[:most]]
 
 
@@ -62,21 +65,30 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int =
         share = -(-(most_rules - len(rules)) // (rounds - turn))
         if len(seq) < 2 or share < 1:
             break
-        pairs = _frequent_pairs(seq, min_count, share)
+        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+        pairs = _frequent_pairs(pair, slot, min_count, share)
         if not len(pairs):
             break
-        order = np.sort(pairs)
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-        at = np.minimum(np.searchsorted(order, pair), len(order) - 1)
-        where = np.flatnonzero(order[at] == pair)
+        # A table from slot to pair finds occurrences without a search; of pairs that share
+        # a slot the most frequent one is taken, the others wait for the next round.
+        at = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+        table = np.full(1 << _SLOTS, -1, np.int32)
+        table[at[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        rule = table[slot]
+        where = np.flatnonzero(rule >= 0)
+        where = where[pairs[rule[where]] == pair[where]]
         # Overlapping occurrences: in each run of neighbours take every second, from the left.
         run = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, np.arange(len(where)), 0))
         where = where[(np.arange(len(where)) - run) % 2 == 0]
-        used, symbol = np.unique(at[where], return_inverse=True)
-        fresh = np.column_stack((order[used] >> np.uint64(32), order[used] & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+        taken = np.zeros(len(pairs), dtype=bool)
+        taken[rule[where]] = True
+        number = np.cumsum(taken) - 1
+        used = pairs[taken]
+        fresh = np.column_stack((used >> np.uint64(32), used & np.uint64(0xFFFFFFFF))).astype(np.uint32)
         size = np.concatenate((np.ones(vocabulary, np.uint32), lengths))
         seq = seq.copy()
-        seq[where] = (vocabulary + len(rules) + symbol).astype(np.uint32)
+        seq[where] = (vocabulary + len(rules) + number[rule[where]]).astype(np.uint32)
         drop = np.ones(len(seq), dtype=bool)
         drop[where + 1] = False
         seq = seq[drop]
@@ -165,7 +177,7 @@ def write(docs: DataFrame, scratch: Scratch, params: TokenFileParams = TokenFile
     return scratch.save(ordered.mapInArrow(shards, SHARD_SCHEMA), "tokens")
 
 
-def documents(files: DataFrame) -> DataFrame:
+def documents(files: DataFrame, scratch: Scratch) -> DataFrame:
     """Each document's place and checksum, decoded from the shards."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +194,5 @@ def documents(files: DataFrame) -> DataFrame:
     base = sizes.groupBy("partition").agg(F.sum("n_ids").alias("n")).select("partition", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("partition_base"))
     within = Window.partitionBy("partition").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("shard_base", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(base, "partition").select("partition", "shard", (F.col("partition_base") + F.col("shard_base")).alias("base"))
-    return files.join(bases, ["partition", "shard"]).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Written, so that Spark knows its size before it chooses how to join: the shards stay where they are.
+    return files.join(scratch.save(bases, "bases"), ["partition", "shard"]).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -180,7 +180,7 @@ def test_token_files(spark, both):
     rows = sorted(both, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     scratch = Scratch(spark, "t")
     files = token_files.write(documents(spark, both), scratch, token_files.TokenFileParams(shard_tokens=20_000))
-    got = sorted(token_files.documents(files).collect(), key=lambda r: r["start"])
+    got = sorted(token_files.documents(files, scratch).collect(), key=lambda r: r["start"])
     at = 0
     for r, (i, t, _) in zip(got, rows, strict=True):
         ids = encoded(t, 2)
@@ -318,13 +318,13 @@ def test_quality(spark, small, both):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
-def test_quality_learns(spark, medium):
+def test_quality_learns(spark, large):
     """Held-out accuracy: labels of odd ids train, those of even ids are asked."""
-    docs, labels = read(spark, medium, "documents"), read(spark, medium, "labels")
+    docs, labels = read(spark, large, "documents"), read(spark, large, "labels")
     got = quality.assess(docs, labels.where("doc_id % 2 = 1")).join(labels.where("doc_id % 2 = 0"), "doc_id").where("not base_failed").select("kept", "quality").collect()
     good = [r["kept"] for r in got if r["quality"] == 1]
     bad = [r["kept"] for r in got if r["quality"] == 0]
-    assert len(got) > 100 and sum(good) / len(good) > 0.97 and sum(bad) / max(1, len(bad)) < 0.35
+    assert len(got) > 1000 and sum(good) / len(good) > 0.98 and sum(bad) / max(1, len(bad)) < 0.35
     one = quality.assess(docs, labels.where("quality = 1")).where("not base_failed").agg(F.min("kept")).first()[0]
     assert one is True
 
