@@ -257,3 +257,17 @@ def keep_one(docs: DataFrame, scratch: Scratch, params: NearParams = NearParams(
     if not keep.where("__n > 1").isEmpty():  # repeated rows of one id and text
         out = out.unionAll(joined.where("__n > 1").dropDuplicates(["__d", "__k"]).select(plain.columns))
     return out.toDF(*docs.columns)
+
+
+#: DuckDB SQL for the query: rows of doc_id, n_shingles, component_id.
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+i as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from i),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as node, doc_id as reached from documents union select r.node, e.y from r join e on r.reached = e.x)
+select r.node as doc_id, coalesce(max(n.n), 0)::BIGINT as n_shingles, min(r.reached) as component_id from r left join n on n.doc_id = r.node group by r.node
+"""

@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op4_secrets": secrets.oracle(), "op5_near_vectors": vectors.ORACLE, "op6_near_documents": near_join.ORACLE}

@@ -130,3 +130,34 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams(), carry: tuple[st
         F.size("__extra").cast("long").alias("n_entropy"),
         _joined(F.array_sort(F.concat("__base", "__extra"))).alias("spans"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query with the default parameters."""
+    p = SecretParams()
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("candidate", CANDIDATE, 0))
+    found = " union all ".join(
+        f"select doc_id, {k} as k, '{kind}' as kind, regexp_extract_all(text, {quote(pattern)}) as m, regexp_extract_all(text, {quote(pattern)}, {group}) as g, string_split_regex(text, {quote(pattern)}) as gaps from t where regexp_matches(text, {quote(pattern)})"
+        for k, (kind, pattern, group) in enumerate(kinds)
+    )
+    allowed = " or ".join(f"regexp_matches(s, {quote(a)})" for a in ALLOWED)
+    bits = f"case when regexp_matches(s, '^[0-9a-fA-F]+$') then {p.hex_bits} when regexp_matches(s, '^[0-9A-Za-z]+$') then {p.alnum_bits} else {p.base64_bits} end"
+    return f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+f as ({found}),
+x as (select doc_id, k, kind, m, g, gaps, unnest(range(1, len(m) + 1)) as i from f),
+y as (select doc_id, k, kind, m[i] as s, length(g[i]) as gl, (list_sum(list_transform(gaps[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0))::BIGINT as a from x),
+b as (select doc_id, k, kind, a, a + length(s) as z from y where k = 0 and gl >= 12 or k = 1 and length(s) >= 18 or k = 2),
+c as (select doc_id, s, a, {bits} as bits from y where k = 3 and regexp_matches(s, '[0-9]') and regexp_matches(s, '[A-Za-z]') and not ({allowed})),
+o as (select c.* from c where not exists (select 1 from b where b.doc_id = c.doc_id and b.a <= c.a and b.z >= c.a + length(c.s))),
+w as (select doc_id, s, a, bits, unnest(range(1, length(s) - {p.window} + 2)) as i from o),
+h as (select doc_id, a, bits, i, unnest(string_split(substr(s, i, {p.window}), '')) as ch from w),
+n as (select doc_id, a, bits, i, ch, count(*)::DOUBLE as n from h group by all),
+e as (select doc_id, a, bits, i from n group by doc_id, a, bits, i having -sum(n / {p.window} * log2(n / {p.window})) >= bits - 1e-9),
+q as (select doc_id, 3 as k, 'entropy' as kind, a + min(i) - 1 as p, a + max(i) - 1 + {p.window} as z from e group by doc_id, a),
+j as (select doc_id, k, kind, a, z from b union all select doc_id, k, kind, p, z from q),
+g as (select doc_id, count(case when k = 0 then 1 end) as n_assign, count(case when k = 1 then 1 end) as n_access, count(case when k = 2 then 1 end) as n_hex, count(case when k = 3 then 1 end) as n_entropy,
+  string_agg(case when k < 3 then kind || ':' || a::VARCHAR || ':' || z::VARCHAR end, ',' order by a, k) as base, string_agg(kind || ':' || a::VARCHAR || ':' || z::VARCHAR, ',' order by a, k) as spans from j group by doc_id)
+select t.doc_id, coalesce(n_assign, 0)::BIGINT as n_assign, coalesce(n_access, 0)::BIGINT as n_access, coalesce(n_hex, 0)::BIGINT as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(n_entropy, 0)::BIGINT as n_entropy, coalesce(spans, '') as spans
+from t left join g on g.doc_id = t.doc_id"""

@@ -212,3 +212,14 @@ def _spanning(node: np.ndarray, seen: np.ndarray, times: np.ndarray, a: np.ndarr
         if (root == before).all():
             break
     return pa.table({"node": pa.array(node[seen]), "n": pa.array(times[seen]), "other": pa.array(root[seen])})
+
+
+#: DuckDB SQL for the query: rows of vec_id, n_links, component_id, kept.
+ORACLE = """
+with recursive v as (select vec_id, label, embedding::DOUBLE[] as e from embeddings where label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+n as (select x, count(*) as n from l group by x),
+r as (select vec_id as node, vec_id as reached from embeddings union select r.node, l.y from r join l on r.reached = l.x)
+select r.node as vec_id, coalesce(max(n.n), 0)::BIGINT as n_links, min(r.reached) as component_id, r.node = min(r.reached) as kept from r left join n on n.x = r.node group by r.node
+"""
