@@ -119,3 +119,22 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def shielded(docs, needed: tuple[str, ...]):
     """docs with other columns than the needed ones renamed, so that they clash with nothing."""
     return docs.toDF(*(c if c in needed else f"__c{i}" for i, c in enumerate(docs.columns)))
+
+
+def bitmap(slots, bits: int) -> np.ndarray:
+    """Bits set for the values of the one column `s` of slots, below 2^bits; its size is fixed.
+
+    At most 2^(bits - 6) rows come to the driver.
+    """
+    from pyspark.sql import functions as F
+
+    words = slots.selectExpr("shiftrightunsigned(s, 6) as word", "shiftleft(1L, cast(s & 63 as int)) as bit")
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
+    return table
+
+
+def in_bitmap(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    slots = slots.astype(np.uint64)
+    return (table[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) == 1

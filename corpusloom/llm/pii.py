@@ -165,11 +165,7 @@ def _near(spans, text: str, starts: np.ndarray, ends: np.ndarray, keys: np.ndarr
 
 def _term_counts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     """(term, n_t): documents with each wanted term, and some others."""
-    slot = F.shiftrightunsigned("term", 64 - bits)
-    words = wanted.select(slot.alias("s")).selectExpr("shiftrightunsigned(s, 6) as word", "shiftleft(1L, cast(s & 63 as int)) as bit")
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most 2^(bits - 6) rows
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
+    table = kernel.bitmap(wanted.select(F.shiftrightunsigned("term", 64 - bits).alias("s")), bits)
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +178,7 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in kernel.slices(batch.column(0)):
                 _, _, first, keys = _terms(data, offsets)
-                at = keys >> np.uint64(64 - bits)
-                where = np.flatnonzero((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+                where = np.flatnonzero(kernel.in_bitmap(bitmap, keys >> np.uint64(64 - bits)))
                 doc = np.searchsorted(first, where, "right") - 1
                 order = np.lexsort((doc, keys[where]))
                 term, doc = keys[where][order], doc[order]
@@ -255,8 +250,22 @@ def redact(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) -
     """docs, its texts sanitised; other columns and null texts stay as they are."""
     found = spans(docs, scratch, params).where("spans <> ''").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("spans").alias("__spans"))
     once = scratch.save(found.groupBy("__d", "__k").agg(F.min("__spans").alias("__spans")), "asked")
-    plain = kernel.shielded(docs, ("doc_id", "text"))
-    joined = plain.join(once, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left").drop("__d", "__k")
+    # Texts that can't be asked for don't move: a bitmap of fixed size parts them from the rest.
+    plain, bits = kernel.shielded(docs, ("doc_id", "text")), 23
+    table = kernel.bitmap(once.select(F.pmod("__k", F.lit(1 << bits)).alias("s")), bits)
+    held = docs.sparkSession.sparkContext.broadcast(table)
+    slotted = plain.withColumn("__slot", F.pmod(F.xxhash64("text"), F.lit(1 << bits)))
+
+    def part(asked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = kernel.in_bitmap(held.value, batch.column(batch.num_columns - 1).to_numpy()) == asked
+                if hit.any():
+                    yield batch.filter(pa.array(hit)).select(list(range(batch.num_columns - 1)))
+
+        return slotted.mapInArrow(run, plain.schema)
+
+    joined = part(True).join(once, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left").drop("__d", "__k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,4 +276,4 @@ def redact(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) -
                 batch = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
             yield batch.select(list(range(last)))
 
-    return joined.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return joined.mapInArrow(run, plain.schema).unionAll(part(False)).toDF(*docs.columns)
