@@ -14,7 +14,8 @@ A group gives its counts and least link per vector, not its pairs.
 
 Defined results: null vectors, zero vectors and those with null, non-finite or no
 components, and vectors without a label, link with nothing. Vectors of different lengths
-never link. Repeated ids are copies like any other and their row is given each time.
+never link. Rows that repeat an id each keep their own links; a null id is a copy without a
+name, and its component is the least id among the others, or null.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernel
@@ -84,13 +85,17 @@ def codes(x: np.ndarray, params: VectorParams) -> np.ndarray:
     return np.take_along_axis(code, order, 2)
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
+def _is_usable() -> Column:
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     number = F.col("embedding").cast("array<double>")
     fine &= ~F.exists(number, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(number, lambda v: v != 0)
+    return F.coalesce(fine, F.lit(False))
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
     # The components keep their own type (floats are half as wide); -0.0 and 0.0 are one value.
     value = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0).cast("float")).otherwise(v))
-    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", F.col("label").cast("string").alias("label"), value.alias("v"))
+    return vectors.where(_is_usable()).select("vec_id", F.col("label").cast("string").alias("label"), value.alias("v"))
 
 
 def _unit(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +158,8 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, params: VectorParams = Ve
     least = by_node.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = by_node.join(least, "component").select("label", "v", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
     usable_rows = usable.join(by_node, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    rest = vectors.join(usable.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return usable_rows.unionAll(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rest = vectors.where(~_is_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return usable_rows.unionAll(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _compare(params: VectorParams):

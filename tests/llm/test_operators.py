@@ -398,6 +398,9 @@ def test_vectors(spark):
                 i += 1
     df = spark.createDataFrame([(a, b, c, "x") for a, b, c in rows], "vec_id long, embedding array<float>, label int, node string")
     got = {r["vec_id"]: r for r in vectors.near_vectors(df, Scratch(spark, "t"), vectors.VectorParams(block=16)).collect()}
+    odd = spark.createDataFrame([(None, [1.0, 2.0], 1), (5, [1.0, 2.0], 1), (5, None, 1), (None, None, 1)], "vec_id long, embedding array<float>, label int")
+    again = sorted(map(tuple, vectors.near_vectors(odd, Scratch(spark, "t")).collect()), key=str)
+    assert again == [(5, 0, 5, True), (5, 1, 5, True), (None, 0, None, True), (None, 1, 5, False)]
     links = brute_vectors(rows)
     assert len(got) == len(rows)
     parent = {k: {k} | links[k] for k in range(len(rows))}
