@@ -124,16 +124,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFrame:
     """
     bits = params.bitmap_bits
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    words = wanted.select(slot.alias("s")).selectExpr("shiftrightunsigned(s, 6) as word", "shiftleft(1L, cast(s & 63 as int)) as bit")
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most 2^(bits - 6) rows
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
+    table = kernel.bitmap(wanted.select(slot.alias("s")), bits)
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy().astype(np.uint64)
-            hit = (held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            hit = kernel.in_bitmap(held.value, batch.column(0).to_numpy())
             if hit.any():
                 made = [found for _, found in shingle_sets(batch.column(1).filter(pa.array(hit)), params.width)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "grams"])
@@ -142,17 +138,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFrame:
     return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
 
 
-def _dense(pairs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+def _dense(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs whose number of common prefix shingles leaves room for the overlap that is needed.
 
     Every common shingle up to the end of one of the prefixes is in both; what comes after
     is at most what the set has beyond its prefix.
     """
-    left = buckets.select(F.col("node").alias("a"), "token", F.col("n").alias("na"))
-    right = buckets.select(F.col("node").alias("b"), "token", F.col("n").alias("nb"))
-    shared = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    left = heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
+    right = heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("x", "y")))
     beyond = f"ceil({percent}L * greatest(na, nb) / 100) - 1"
-    return shared.where(f"{100 + percent}L * (c + {beyond}) >= {percent}L * (na + nb)").select("a", "b")
+    return both.where(f"{100 + percent}L * (c + {beyond}) >= {percent}L * (na + nb)").select("a", "b")
 
 
 def _overlap_bound(x: np.ndarray, y: np.ndarray, slices: int = 16) -> int:
@@ -198,32 +194,34 @@ def near_components(docs: DataFrame, scratch: Scratch, params: NearParams = Near
     # One document of each node; copies of a set are left out.
     some = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
+    # The prefix of each node as one row: only shared shingles are in it.
+    heads = scratch.save(buckets.groupBy("node", "n").agg(F.collect_set("token").alias("tokens")), "heads")
+
     sets = links = labels = tested = None
-    linked, last = 0, False
+    live, linked, last = buckets, 0, False
     for turn in range(params.pivot_rounds + 1):
         last = last or turn == params.pivot_rounds
         if labels is None:
-            live = buckets.withColumn("label", F.col("node"))
+            live = live.withColumn("label", F.col("node"))
         else:
-            # Only tokens whose nodes are not all in one component have anything left to compare.
-            live = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-            open_tokens = live.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-            live = live.join(open_tokens, "token")
-        live = live.select("token", "node", "n", "at", "label")
+            live = live.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         if not last:
             # The earlier place in a set, the fewer shingles it has for itself; later rounds deal another pivot.
-            key = F.struct("at", F.xxhash64("label", F.lit(turn)), "node", "n", "label") if turn else F.struct("at", F.lit(0).alias("tie"), "node", "n", "label")
-            pivot = live.groupBy("token").agg(F.min(key).alias("p")).select("token", "p.node", "p.n", "p.at", "p.label")
+            tie = F.xxhash64("label", F.lit(turn)) if turn else F.lit(0)
+            pivot = live.groupBy("token").agg(F.min(F.struct("at", tie.alias("tie"), "node", "n", "label")).alias("p"), F.count("*").alias("df")).select("token", "df", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at"), F.col("p.label").alias("p_label"))
+            met = scratch.save(live.join(pivot, "token").where("node <> p_node"), f"met-{turn}")
+            fits = _passes("l", "r", percent).replace("l.", "").replace("r.", "p_")
+            pairs = met.where(f"label <> p_label and {fits}").select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+            # A pivot has met its whole bucket and leaves; buckets of one node have nothing left to compare.
+            live = met.where("df >= 3").select("token", "node", "n", "at")
         else:
-            pivot = live
-        order = "l.node < r.node" if last else "r.node <> l.node"
-        pairs = live.alias("l").join(pivot.alias("r"), F.expr(f"l.token = r.token and l.label <> r.label and {order} and {_passes('l', 'r', percent)}"))
-        pairs = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+            pairs = live.alias("l").join(live.alias("r"), F.expr(f"l.token = r.token and l.label <> r.label and l.node < r.node and {_passes('l', 'r', percent)}"))
+            pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{turn}")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        near = scratch.save(_dense(pairs, buckets, percent), f"near-{turn}")
+        near = scratch.save(_dense(pairs, heads, percent), f"near-{turn}")
         nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if sets is not None:
             nodes = nodes.join(sets.select("node"), "node", "left_anti")
