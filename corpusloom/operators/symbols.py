@@ -231,9 +231,9 @@ def import_links(imported: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def annotations(lines: DataFrame) -> DataFrame:
-    """(file_id, line, key, values) of `@lci:key[a,b]` or `@lci:key value` marks in comments."""
-    mark = r"@lci:([a-z-]+)(?:\[([^\]]*)\]|[ \t:]+([^\s@]+))?"
-    hit = lines.where(F.col("text").contains("@lci:"))
+    """(file_id, line, key, values) of `@tool:key[a,b]` or `@tool:key value` marks in comments, whatever the tool."""
+    mark = r"@[a-z]+:([a-z-]+)(?:\[([^\]]*)\]|[ \t:]+([^\s@]+))?"
+    hit = lines.where(F.col("text").rlike("@[a-z]+:[a-z]"))
     found = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(mark), F.lit(k)).alias(n) for k, n in ((1, "key"), (2, "listed"), (3, "single"))))
     each = hit.select("file_id", "line", F.explode(found).alias("m"))
     return each.select("file_id", "line", "m.key", F.filter(F.split(F.concat("m.listed", "m.single"), r"\s*,\s*"), lambda v: v != "").alias("values"))

@@ -10,7 +10,7 @@ from corpusloom.operators import search as S
 from corpusloom.sources.files import Config
 
 FILES = {
-    "api/server.py": "from core.store import save\n\n# @lci:labels[critical]\ndef handle(request):\n    for x in request:\n        save(x)\n    return save(request)\n",
+    "api/server.py": "from core.store import save\n\n# @code:labels[critical]\ndef handle(request):\n    for x in request:\n        save(x)\n    return save(request)\n",
     "core/store.py": "import os\n\nclass Base(object):\n    pass\n\nclass Store(Base):\n    def put(self, x):\n        return write_row(x)\n\ndef save(x):\n    if x and x > 1:\n        return write_row(x)\n    return None\n\ndef write_row(x):\n    return open(x)\n",
     "core/store_test.py": "from core.store import save\n\ndef test_save():\n    assert save(1) is None\n",
     "web/app.ts": "export class App extends Base implements One, Two {\n}\n",

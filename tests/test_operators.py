@@ -90,7 +90,7 @@ def test_references_and_imports(spark):
     assert found == {(0, "os"), (0, "pkg.util"), (3, "./pkg/util")}
     links = {(r["file_id"], r["target_file"]) for r in Y.import_links(Y.imports(S.lines(files)), files).collect()}
     assert links == {(0, 1), (3, 1)}
-    marks = Y.annotations(S.lines(frame(spark, [("a.py", "# @lci:labels[critical, slow] @lci:owner team\nx = 1")]))).collect()
+    marks = Y.annotations(S.lines(frame(spark, [("a.py", "# @code:labels[critical, slow] @code:owner team\nx = 1")]))).collect()
     assert {(m["key"], tuple(m["values"])) for m in marks} == {("labels", ("critical", "slow")), ("owner", ("team",))}
     assert [(r["line"], r["n"]) for r in Y.doc_comments(S.lines(frame(spark, [("a.go", GO)]))).collect()] == [(4, 1)]
 
