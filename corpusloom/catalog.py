@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import search
-from corpusloom.plans import code, context, facts, history, index, registry, sources  # noqa: F401  they register their queries
+from corpusloom.plans import code, context, facts, history, index, registry, sources, whole  # noqa: F401  they register their queries
 from corpusloom.plans import search as search_plans  # noqa: F401
 
 

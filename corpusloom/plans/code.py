@@ -367,12 +367,12 @@ def h23_edit_risk(spark, sf):
 
 
 @query(f"with {CALLS_SQL} select src, dst from calls")
-def f01_call_graph(spark, sf):
+def f01_call_graph(spark, sf, calls=calls):
     return G.edges_of(calls(spark, sf))
 
 
 @query(f"with recursive {CALLS_SQL}, w as (select 1::bigint as root, 1::bigint as node, 0 as depth union select w.root, c.dst, w.depth + 1 from w join calls c on c.src = w.node where w.depth < 4) select root, node, min(depth) as depth from w group by root, node")
-def d15_call_tree(spark, sf):
+def d15_call_tree(spark, sf, calls=calls):
     seeds = spark.createDataFrame([(1,)], "node long")
     return G.walk(calls(spark, sf), seeds, Scratch(spark, "walk"), 4)
 
@@ -388,48 +388,48 @@ CLOSURE = f"recursive {SPARSE_SQL}, t as (select src, dst from calls union selec
 
 
 @query(f"with {CLOSURE}, n as (select src as node from calls union select dst from calls) select n.node, count(t.src)::bigint as callers from n left join t on t.dst = n.node group by n.node")
-def f03_incoming_reach(spark, sf):
-    return G.reach(sparse_calls(spark, sf), Scratch(spark, "reach"))
+def f03_incoming_reach(spark, sf, calls=sparse_calls):
+    return G.reach(calls(spark, sf), Scratch(spark, "reach"))
 
 
 @query(f"with {CLOSURE}, b as (select a.src as x, a.dst as y from t a join t b on a.src = b.dst and a.dst = b.src), c as (select x, least(x, min(y)) as component from b group by x) select component, count(*)::bigint as size from c group by component")
-def f02_cycles(spark, sf):
-    return G.cycles(sparse_calls(spark, sf), Scratch(spark, "scc"))
+def f02_cycles(spark, sf, calls=sparse_calls):
+    return G.cycles(calls(spark, sf), Scratch(spark, "scc"))
 
 
 @query(f"with recursive {SPARSE_SQL}, s as (select distinct src as node, 0 as d from calls where src % 40 = 0 union select c.dst, s.d + 1 from s join calls c on c.src = s.node where s.d < 10) select node, max(pow(0.8, d)) as strength from s where pow(0.8, d) >= 0.1 group by node")
-def f06_label_propagation(spark, sf):
-    edges = sparse_calls(spark, sf)
+def f06_label_propagation(spark, sf, calls=sparse_calls):
+    edges = calls(spark, sf)
     seeds = edges.where("src % 40 = 0").select(F.col("src").alias("node"), F.lit(1.0).alias("strength")).distinct()
     return G.propagate_labels(edges, seeds, Scratch(spark, "labels"))
 
 
 @query(f"with {CLOSURE}, n as (select src as node from calls union select dst from calls), m as (select node, cast(1 << (node % 6) as bigint) as mask from n where node % 5 = 0), x as (select t.src as node, m.mask from t join m on m.node = t.dst union all select node, mask from m) select node, bit_or(mask) as mask from x group by node")
-def f07_transitive_effects(spark, sf):
-    edges = sparse_calls(spark, sf)
+def f07_transitive_effects(spark, sf, calls=sparse_calls):
+    edges = calls(spark, sf)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     direct = nodes.where("node % 5 = 0").select("node", F.expr("shiftleft(1L, cast(node % 6 as int))").alias("mask"))
     return G.transitive_masks(edges, direct, Scratch(spark, "masks"))
 
 
 @query(f"with {CALLS_SQL}, l as (select ['presentation', 'api', 'domain', 'data'] as names) select names[src % 4 + 1] as src_layer, names[dst % 4 + 1] as dst_layer, count(*)::bigint as n from calls, l where src % 4 > dst % 4 group by 1, 2 order by n desc, 1, 2 limit 8")
-def f08_layer_violations(spark, sf):
+def f08_layer_violations(spark, sf, calls=calls):
     name = lambda c: F.element_at(F.array(*(F.lit(n) for n, _ in M.LAYERS)), (F.col(c) % 4 + 1).cast("int"))
     return M.layer_violations(calls(spark, sf).select(name("src").alias("src_layer"), name("dst").alias("dst_layer")))
 
 
 @query(None)
-def f04_betweenness(spark, sf):
-    return G.betweenness(sparse_calls(spark, sf))
+def f04_betweenness(spark, sf, calls=sparse_calls):
+    return G.betweenness(calls(spark, sf))
 
 
 @query(None)
-def f05_communities(spark, sf):
-    return G.communities(sparse_calls(spark, sf)).select("node", "community")
+def f05_communities(spark, sf, calls=sparse_calls):
+    return G.communities(calls(spark, sf)).select("node", "community")
 
 
 @query("with e as (select distinct cast(o_orderkey % 200 as bigint) as src, cast(o_custkey % 200 as bigint) as dst from orders where o_orderkey % 83 = 0), n as (select src % 7 as ca, dst % 7 as cb from e), d as (select c, count(*) as d from (select ca as c from n union all select cb from n) group by c), i as (select ca as c, count(*) as i from n where ca = cb group by ca), m as (select count(*)::double as m from e) select round(sum(coalesce(i, 0) / m - (d / (2 * m)) * (d / (2 * m))), 9) as modularity from d left join i on i.c = d.c, m")
-def f05_modularity(spark, sf):
-    edges = sparse_calls(spark, sf)
+def f05_modularity(spark, sf, calls=sparse_calls):
+    edges = calls(spark, sf)
     member = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node") % 7)
     return G.modularity(edges, member)

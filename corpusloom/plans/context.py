@@ -10,7 +10,7 @@ from corpusloom.runtime import Scratch, read
 
 
 @query(f"with {SYMBOLS_SQL}, {CALLS_SQL} select c.dst as symbol_id, 'caller' as part, s.name, min(s.path) as detail from calls c join symbols s on s.symbol_id = c.src group by 1, 2, 3")
-def l02_callers(spark, sf):
+def l02_callers(spark, sf, calls=calls):
     return C.context(symbols(spark, sf), calls(spark, sf), ["caller"]).select("symbol_id", "part", "name", "detail")
 
 
@@ -25,13 +25,13 @@ def l04_siblings(spark, sf):
 
 
 @query(f"with {SYMBOLS_SQL}, {CALLS_SQL}, i as (select dst as symbol_id, count(distinct src) as n from calls group by 1), o as (select src as symbol_id, count(distinct dst) as n from calls group by 1), b as (select s.symbol_id, coalesce(i.n, 0) as a, coalesce(o.n, 0) as z from symbols s left join i on i.symbol_id = s.symbol_id left join o on o.symbol_id = s.symbol_id) select symbol_id, a::varchar || '/' || z::varchar as name, least(1 + case when a > 20 then 6 when a > 10 then 4 when a > 5 then 2 when a > 0 then 1 else 0 end + case when z > 15 then 3 when z > 8 then 2 when z > 3 then 1 else 0 end, 10)::varchar as detail from b")
-def l13_usage(spark, sf):
+def l13_usage(spark, sf, calls=calls):
     return C.context(symbols(spark, sf), calls(spark, sf), ["usage"]).select("symbol_id", "name", "detail")
 
 
 @query(f"with recursive {SPARSE_SQL}, r as (select min(src) as node from calls), w as (select c.dst as node, 1 as depth from calls c join r on c.src = r.node union select c.dst, w.depth + 1 from w join calls c on c.src = w.node where w.depth < 10) select node, min(depth) as depth from w where node <> (select node from r) group by node")
-def d16_type_hierarchy(spark, sf):
-    edges = sparse_calls(spark, sf)
+def d16_type_hierarchy(spark, sf, calls=sparse_calls):
+    edges = calls(spark, sf)
     return C.hierarchy(edges, edges.agg(F.min("src")).first()[0], Scratch(spark, "types"))
 
 
@@ -40,14 +40,14 @@ a as (select entry, symbol_id, 0 as rank, 'self' as relation from e union all se
 m as (select entry, symbol_id, min(rank) as rank from a group by 1, 2), p as (select m.*, greatest(s.end_line - s.line, 1) * 10 as cost from m join symbols s on s.symbol_id = m.symbol_id),
 u as (select *, sum(cost) over (partition by entry order by rank, symbol_id rows unbounded preceding)::bigint as used from p)
 select entry, symbol_id, case rank when 0 then 'self' when 1 then 'callee' else 'caller' end as relation, used from u where used <= 3000""")
-def f12_manifest_expansion(spark, sf):
-    entries = read(spark, sf, "supplier").where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("entry"), F.col("s_suppkey").alias("symbol_id"))
+def f12_manifest_expansion(spark, sf, calls=calls, asked="s_suppkey % 10 = 1"):
+    entries = read(spark, sf, "supplier").where(asked).select(F.col("s_suppkey").alias("entry"), F.col("s_suppkey").alias("symbol_id"))
     return C.expand_manifest(entries, symbols(spark, sf), calls(spark, sf), 3000)
 
 
 @query(f"with recursive {SPARSE_SQL}, d as (select distinct src as node from calls where src % 40 = 0), s as (select node, 0 as d from d union select c.dst, s.d + 1 from s join calls c on c.src = s.node where s.d < 10), p as (select node, max(pow(0.8, d)) as strength from s where pow(0.8, d) >= 0.1 group by node) select p.node, case when d.node is not null then 1.0::double else p.strength end as strength, case when d.node is not null then 'direct' else 'propagated' end as how from p left join d on d.node = p.node where p.strength >= 0.5")
-def m08_annotations_query(spark, sf):
-    edges = sparse_calls(spark, sf)
+def m08_annotations_query(spark, sf, calls=sparse_calls):
+    edges = calls(spark, sf)
     seeds = edges.where("src % 40 = 0").select(F.col("src").alias("node"), F.lit(1.0).alias("strength")).distinct()
     spread = G.propagate_labels(edges, seeds, Scratch(spark, "labels"))
     return C.annotation_query(seeds.select("node", F.lit("critical").alias("label")), spread, "critical", 0.5)

@@ -52,20 +52,20 @@ def d10_complexity_growth(spark, sf):
 
 
 @query(f"with {SPARSE_SQL}, e as (select src, dst, src % 7 as ca, dst % 7 as cb from calls where src <> dst), m as (select node, node % 7 as community from (select src as node from calls union select dst from calls)), x as (select src as node, ca as community, ca = cb as same from e union all select dst, cb, ca = cb from e), d as (select community, node, count(*) as d from x group by 1, 2), h as (select community, node as hub from (select *, row_number() over (partition by community order by d desc, node) as k from d) where k = 1), c as (select community, (count(case when same then 1 end) / 2)::bigint as inside, count(case when not same then 1 end)::bigint as outside from x group by 1), s as (select community, count(*)::bigint as size from m group by 1) select s.community, size, inside, outside, hub from s join c on c.community = s.community join h on h.community = s.community")
-def e15_features(spark, sf):
-    edges = sparse_calls(spark, sf)
+def e15_features(spark, sf, calls=sparse_calls):
+    edges = calls(spark, sf)
     member = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node") % 7)
     return X.features(edges, member)
 
 
 @query(f"with recursive {SPARSE_SQL}, t as (select src, dst from calls union select t.src, c.dst from t join calls c on t.dst = c.src), n as (select src as node from calls union select dst from calls) select n.node, count(t.src)::bigint as callers from n left join t on t.dst = n.node group by n.node order by callers desc, n.node limit 10")
-def f09_load_bearing(spark, sf):
-    return X.load_bearing(sparse_calls(spark, sf), Scratch(spark, "bearing"))
+def f09_load_bearing(spark, sf, calls=sparse_calls):
+    return X.load_bearing(calls(spark, sf), Scratch(spark, "bearing"))
 
 
 @query(f"with recursive {SPARSE_SQL}, e as (select distinct src, dst from calls where src < dst), n as (select src as node from e union select dst from e), w as (select node, 0 as depth from n where node not in (select dst from e) union select e.dst, w.depth + 1 from w join e on e.src = w.node) select node, max(depth) as depth from w group by node")
-def f10_dependency_depth(spark, sf):
-    return X.dependency_depth(sparse_calls(spark, sf).where("src < dst"), Scratch(spark, "depth"))
+def f10_dependency_depth(spark, sf, calls=sparse_calls):
+    return X.dependency_depth(calls(spark, sf).where("src < dst"), Scratch(spark, "depth"))
 
 
 @query(f"with {SYMBOLS_SQL} select symbol_id, case when is_exported then 'exported ' else '' end || type || ' ' || name || ' of complexity ' || complexity::varchar || ' used by ' || fan_in::varchar as summary from symbols")

@@ -22,7 +22,7 @@ def a18_compact_rows(spark, sf):
 
 
 @query(f"with recursive {CALLS_SQL}, w as (select 1::bigint as node, 0 as depth union select c.dst, w.depth + 1 from w join calls c on c.src = w.node where w.depth < 3), m as (select node, min(depth) as depth from w group by node) select 1::bigint as root, depth, repeat('  ', depth) || node::varchar as row from m")
-def m02_tree_rows(spark, sf):
+def m02_tree_rows(spark, sf, calls=calls):
     return R.tree_rows(G.walk(calls(spark, sf), spark.createDataFrame([(1,)], "node long"), Scratch(spark, "tree"), 3))
 
 

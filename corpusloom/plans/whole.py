@@ -1,0 +1,46 @@
+"""The queries over call edges once more, named <query>_all, with the edges of all rows.
+
+The queries under the plain names, and their SQL, take a sample of line items, orders and
+suppliers.
+"""
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from corpusloom.plans import code, context, facts, sources  # noqa: F401  they register the sampled queries
+from corpusloom.plans.registry import QUERIES, SQL
+from corpusloom.runtime import read
+
+#: What the SQL of the sampled queries filters by.
+SAMPLES = (" where l_orderkey % 97 = 0", " where o_orderkey % 83 = 0", " where s_suppkey % 10 = 1")
+
+
+def all_calls(spark, sf):
+    return read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
+
+
+def all_sparse_calls(spark, sf):
+    return read(spark, sf, "orders").select((F.col("o_orderkey") % 200).alias("src"), (F.col("o_custkey") % 200).alias("dst")).distinct()
+
+
+def whole_sql(sql: str) -> str:
+    for sample in SAMPLES:
+        sql = sql.replace(sample, "")
+    return sql
+
+
+def _register(name: str, **given) -> None:
+    QUERIES[f"{name}_all"] = partial(QUERIES[name], **given)
+    if name in SQL:
+        SQL[f"{name}_all"] = whole_sql(SQL[name])
+
+
+for _name in ("f01_call_graph", "d15_call_tree", "l02_callers", "l13_usage", "f08_layer_violations", "m02_tree_rows"):
+    _register(_name, calls=all_calls)
+_register("f12_manifest_expansion", calls=all_calls, asked="true")
+for _name in (
+    "f02_cycles", "f03_incoming_reach", "f04_betweenness", "f05_communities", "f05_modularity", "f06_label_propagation", "f07_transitive_effects",
+    "f09_load_bearing", "f10_dependency_depth", "e15_features", "d16_type_hierarchy", "m08_annotations_query",
+):
+    _register(_name, calls=all_sparse_calls)
