@@ -1,14 +1,15 @@
 """Personal data: pattern spans, and terms that reveal them by co-occurrence.
 
-Patterns give the base spans. Each distinct value is a protected entity e. Terms near it
-(`window` terms to either side) may reveal it: with document counts over the whole corpus,
-the pointwise mutual information of t and e as a part of the information of e is
+Patterns give the base spans. Each distinct value is a protected entity e. Any term of the
+documents that hold it may reveal it: with document counts over the whole corpus, the
+pointwise mutual information of t and e as a part of the information of e is
 
     disclosure = 1 + log2(n(t, e) / n(t)) / log2(N / n(e)),
 
 1 if every document with t has e. Terms at or over `remove_at` are removed, at or over
-`generalise_at` generalised to their class, in the documents that hold e. A pair counts
-only if at least `support` different texts have it.
+`generalise_at` generalised to their class, wherever they occur in the documents that hold
+e. A pair counts only if at least `support` different texts have it, so only entities of
+that many texts are paired; each text is paired once, with the number of its copies.
 
 n(t) is counted over all documents for terms of such pairs. A bitmap of fixed size tells
 tasks which terms may be asked for; an exact join follows.
@@ -50,7 +51,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 @dataclass(frozen=True)
 class PiiParams:
-    window: int = 8
     support: int = 2
     remove_at: float = 0.95
     generalise_at: float = 0.85
@@ -103,8 +103,8 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_CONTEXT = "array<struct<entity:long,term:long,start:int,end:int>>"
-FOUND = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts {_CONTEXT}"
+_TERM = "array<struct<term:long,start:int,end:int,free:boolean>>"
+FOUND = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<long>, terms {_TERM}"
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,18 +113,20 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, first, kernel.span_hashes(kernel.prefix_sums(lowered), starts, ends)
 
 
-def find(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """(doc_id, text_key) and FOUND of each row: base spans, and the terms near them."""
-    window = params.window
+def _found(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key) and FOUND of each row: base spans, their entities, and all terms of a text with spans.
+
+    Terms that touch a span are not free: they count, but are not marked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, sizes, parts = [], [], []
             for first, last, data, offsets in kernel.slices(batch.column(2)):
                 asked = kernel.segment_sums(IS_DIGIT[data] | (data == 64), offsets) > 0
                 terms = None
                 for k in range(last - first):
-                    spans, near = [], []
+                    spans, entities, size = [], [], 0
                     if asked[k]:
                         text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
                         spans = base_spans(text)
@@ -133,34 +135,32 @@ def find(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
                             points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                             terms = _terms(data, offsets)
                         a, b, of, keys = (x[terms[2][k] : terms[2][k + 1]] if i != 2 else None for i, x in enumerate(terms))
-                        near = _near(spans, text, points[a] - points[offsets[k]], points[b] - points[offsets[k]], keys.view(np.int64), window)
+                        a, b, size = points[a] - points[offsets[k]], points[b] - points[offsets[k]], len(keys)
+                        free = np.ones(size, dtype=bool)
+                        for _, s, e in spans:
+                            free[np.searchsorted(b, s, "right") : np.searchsorted(a, e, "left")] = False
+                        parts.append((keys.view(np.int64), a.astype(np.int32), b.astype(np.int32), free))
+                        entities = sorted({_entity(i, text[s:e]) for i, s, e in spans})
+                    sizes.append(size)
                     listed = ",".join(f"{KINDS[i]}:{s}:{e}" for i, s, e in spans)
                     count = [sum(x[0] == i for x in spans) for i in range(4)]
-                    rows.append((*count, hashlib.sha256(listed.encode()).hexdigest(), listed, near))
+                    rows.append((*count, hashlib.sha256(listed.encode()).hexdigest(), listed, entities))
             if rows:
                 made = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), shape, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", *(f.name for f in shape)])
+                fields = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)] if parts else [pa.array([], f.type) for f in inner]
+                terms = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.StructArray.from_arrays(fields, fields=inner))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, terms], names=["doc_id", "text_key", *(f.name for f in shape), "terms"])
 
-    shape = [pa.field(f"n_{k}", pa.int64()) for k in KINDS] + [
-        pa.field("base_sha256", pa.string()),
-        pa.field("base", pa.string()),
-        pa.field("contexts", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))),
-    ]
+    inner = [pa.field("term", pa.int64()), pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("free", pa.bool_())]
+    shape = [pa.field(f"n_{k}", pa.int64()) for k in KINDS] + [pa.field("base_sha256", pa.string()), pa.field("base", pa.string()), pa.field("entities", pa.list_(pa.int64()))]
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, " + FOUND)
 
 
-def _near(spans, text: str, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, window: int) -> list[dict]:
-    """Terms within the window of each span, without those that touch a span."""
-    free = np.ones(len(keys), dtype=bool)
-    for _, s, e in spans:
-        free[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = False
-    starts, ends, keys = starts[free], ends[free], keys[free]
-    out = {}
-    for kind, s, e in spans:
-        entity, before, after = _entity(kind, text[s:e]), int(np.searchsorted(ends, s, "right")), int(np.searchsorted(starts, e, "left"))
-        for i in range(max(0, before - window), min(len(keys), after + window)):
-            out[entity, int(starts[i])] = {"entity": entity, "term": int(keys[i]), "start": int(starts[i]), "end": int(ends[i])}
-    return list(out.values())
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key), FOUND, and `contexts`: each entity with each free term of its text."""
+    free = F.filter("terms", lambda t: t["free"])
+    pair = lambda e, t: F.struct(e.alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end"))
+    return _found(docs).withColumn("contexts", F.flatten(F.transform("entities", lambda e: F.transform(free, lambda t: pair(e, t)))))
 
 
 def _term_counts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
@@ -199,14 +199,31 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
+def _holders(found: DataFrame) -> DataFrame:
+    """(entity, text_key, copies): the texts that hold each entity."""
+    return found.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").agg(F.count("*").alias("copies"))
+
+
+def _asked(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """(text_key, asked, copies) of texts that hold some of the entities: which ones."""
+    return _holders(found).join(entities.select("entity").distinct(), "entity", "left_semi").groupBy("text_key").agg(F.collect_list("entity").alias("asked"), F.max("copies").alias("copies"))
+
+
+def disclosures(docs: DataFrame, found: DataFrame, params: PiiParams = PiiParams(), scratch: Scratch | None = None) -> DataFrame:
     """(entity, term, action) for the pairs at or over a threshold."""
-    near = found.select("text_key", F.explode(F.array_distinct(F.transform("contexts", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("text_key", "p.*")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.countDistinct("text_key").alias("texts")).where(F.col("texts") >= params.support)
-    holders = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     total = found.count()
+    holders = _holders(found).groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where((F.col("texts") >= params.support) & (F.col("n_e") < total)).drop("texts")
+    held = found.where(F.size("entities") > 0).select("text_key", F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("held"))
+    within = held.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n_within"))
+    texts = held.join(_asked(found, holders), "text_key").groupBy("text_key").agg(F.first("held").alias("held"), F.first("asked").alias("asked"), F.first("copies").alias("copies"))
+    each = texts.select("copies", "held", F.explode("asked").alias("entity")).select("copies", "entity", F.explode("held").alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= params.support)
+    # n_t is at least what the texts with spans hold: pairs that this alone puts under the threshold need no count.
+    most = F.col("n_te") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - params.generalise_at)) * (1 + 1e-9)
+    pairs = pairs.join(holders, "entity").join(within, "term").where(F.col("n_within") <= most).drop("texts", "n_within")
+    pairs = scratch.save(pairs, "pairs") if scratch else pairs
     counts = _term_counts(docs, pairs.select("term").distinct(), params.bitmap_bits)
-    known = pairs.join(holders, "entity").join(counts, "term").where(F.col("n_e") < total)
+    known = pairs.join(counts, "term")
     score = 1 + F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))) / F.log2(F.lit(float(total)) / F.col("n_e"))
     return known.where(score >= params.generalise_at).select("entity", "term", F.when(score >= params.remove_at, "remove").otherwise("generalise").alias("action"))
 
@@ -214,9 +231,11 @@ def disclosures(docs: DataFrame, found: DataFrame, params: PiiParams = PiiParams
 def spans(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) -> DataFrame:
     """(doc_id, text_key), counts, base_sha256, n_terms and spans of each row."""
     kernel.tuned(docs.sparkSession)
-    found = scratch.save(find(docs, params), "found")
-    marked = scratch.save(disclosures(docs, found, params), "disclosures")
-    near = found.where(F.size("contexts") > 0).select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
+    found = scratch.save(_found(docs), "found")
+    marked = scratch.save(disclosures(docs, found, params, scratch), "disclosures")
+    free = found.where(F.size("entities") > 0).select("doc_id", "text_key", F.filter("terms", lambda t: t["free"]).alias("free"))
+    held = free.join(_asked(found, marked), "text_key").select("doc_id", "text_key", "free", F.explode("asked").alias("entity"))
+    near = held.select("doc_id", "text_key", "entity", F.explode("free").alias("t")).select("doc_id", "text_key", "entity", "t.term", "t.start", "t.end")
     each = near.join(marked, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("action").alias("action"))
     text = F.concat_ws(":", "action", F.col("start").cast("string"), F.col("end").cast("string"))
     added = each.groupBy("doc_id", "text_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", text.alias("t")))), lambda x: x["t"]), ",").alias("added"), F.count("*").alias("n_terms"))

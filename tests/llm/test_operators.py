@@ -171,6 +171,25 @@ def test_pii_terms(spark):
     assert all("Zorblax" not in t and "@" not in t for t in texts.values()) and texts[3] == rows[3][1]
 
 
+def test_pii_terms_far_away(spark):
+    fill = [f"w{k}" for k in range(40)]
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(fill, k=30)), "s") for k in range(60)]
+    for k in range(60, 64):  # the name stands far from the address, and near it
+        a = " ".join(rng.choices(fill, k=30))
+        rows.append((k, f"Zorblax {a} Quuxley {a} zo.rb@mail.example.com Zorblax {a} Zorblax {k}", "s"))
+    rows.append((64, "Quuxley far from it", "s"))  # in 4 of 5 documents with the address
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in pii.spans(docs, Scratch(spark, "t")).collect()}
+    for k in range(60, 64):
+        want = [m.start() for m in re.finditer("Zorblax", rows[k][1])]
+        assert len(want) == 3 and all(f"remove:{a}:{a + 7}" in got[k]["spans"].split(",") for a in want)
+        assert f"generalise:{rows[k][1].index('Quuxley')}" in got[k]["spans"]
+    assert all(not got[k]["spans"] for k in [*range(60), 64])
+    texts = [r["text"] for r in pii.redact(docs, Scratch(spark, "t")).where("doc_id between 60 and 63").collect()]
+    assert len(texts) == 4 and all("Zorblax" not in t and "Quuxley" not in t for t in texts)
+
+
 def encoded(text, end):
     coder = tokens.encoder(tokens.default_tokenizer()).tokenizer
     return np.array([*coder.encode(text or "", add_special_tokens=False).ids, end], "<u4")
