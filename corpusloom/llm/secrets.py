@@ -3,8 +3,9 @@
 Patterns give the base spans. Besides, each long candidate string is scanned by a sliding
 window: the Shannon entropy of its characters is kept by incremental counts, as moving the
 window changes the count of the character that leaves and of the one that enters. The
-threshold depends on the candidate's character class. A candidate on the allow list, or
-inside a base span, is suppressed.
+threshold depends on the candidate's character class. A candidate that the allow list
+matches as a whole, or inside a base span, is suppressed; a placeholder within a candidate
+suppresses the windows that overlap it.
 
 A match's place is the sum of the lengths of what split() leaves before it and of the
 matches before it. Everything is one projection: no shuffle and no Python.
@@ -35,13 +36,19 @@ ALLOWED = (
     r"^[A-Za-z]+([_/-][A-Za-z]+)+([_/-]?[0-9]{1,4})?$",
     r"(?i)(example|placeholder|changeme|xxxx|0000|1234567)",
 )
+#: The words of the last pattern, which stand anywhere in a candidate.
+PLACEHOLDERS = ("example", "placeholder", "changeme", "xxxx", "0000", "1234567")
+#: Each character of a placeholder, also where placeholders overlap.
+_IN_PLACEHOLDER = "(?i)" + "|".join(f"(?<={w[:k]}){w[k]}(?={w[k + 1 :]})" for w in PLACEHOLDERS for k in range(len(w)))
 
 
 @dataclass(frozen=True)
 class SecretParams:
     window: int = 20
-    #: Least bits per character in some window, by class: hex digits, letters and digits, base64.
+    #: Least bits per character in some window, by class: hex digits, letters, letters and digits, base64.
+    #: Words without a mark between them hold no digit, so letters alone need more.
     hex_bits: float = 3.0
+    letter_bits: float = 3.9
     alnum_bits: float = 3.6
     base64_bits: float = 3.8
 
@@ -74,7 +81,8 @@ def _joined(spans: Column) -> Column:
 def _hot(candidate: Column, params: SecretParams) -> Column:
     """(first, last): start of the first and end of the last window at the threshold; null if none."""
     wide = params.window
-    bits = F.when(candidate.rlike("^[0-9a-fA-F]+$"), params.hex_bits).when(candidate.rlike("^[0-9A-Za-z]+$"), params.alnum_bits).otherwise(params.base64_bits)
+    bits = F.when(candidate.rlike("^[0-9a-fA-F]+$"), params.hex_bits).when(candidate.rlike("^[A-Za-z]+$"), params.letter_bits).when(candidate.rlike("^[0-9A-Za-z]+$"), params.alnum_bits).otherwise(params.base64_bits)
+    masked = F.when(candidate.rlike(ALLOWED[-1]), F.regexp_replace(candidate, _IN_PLACEHOLDER, " ")).otherwise(candidate)
     logs = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(wide + 1)))
     n_log_n = lambda n: F.get(logs, n)
 
@@ -89,13 +97,15 @@ def _hot(candidate: Column, params: SecretParams) -> Column:
             begin = F.greatest(i - wide + 1, F.lit(1))
             held = count(begin, i - begin, here)
             total = acc["s"] - less + n_log_n(held + 1) - n_log_n(held)
-            high = (i >= wide) & (F.lit(math.log2(wide)) - total / wide >= x["bits"] - 1e-9)
-            return F.struct(total.alias("s"), F.when(high, F.coalesce(acc["first"], i - wide)).otherwise(acc["first"]).alias("first"), F.when(high, i).otherwise(acc["last"]).alias("last"))
+            # Characters since the last placeholder; a window that overlaps one does not count.
+            clear = F.when(here == " ", 0).otherwise(acc["clear"] + 1)
+            high = (clear >= wide) & (F.lit(math.log2(wide)) - total / wide >= x["bits"] - 1e-9)
+            return F.struct(total.alias("s"), clear.alias("clear"), F.when(high, F.coalesce(acc["first"], i - wide)).otherwise(acc["first"]).alias("first"), F.when(high, i).otherwise(acc["last"]).alias("last"))
 
-        start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("clear"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
         return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-    return F.get(F.transform(F.array(F.struct(F.split(candidate, "").alias("chars"), bits.alias("bits"))), scan), F.lit(0))
+    return F.get(F.transform(F.array(F.struct(F.split(masked, "").alias("chars"), bits.alias("bits"))), scan), F.lit(0))
 
 
 def scan(docs: DataFrame, params: SecretParams = SecretParams(), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -115,7 +125,7 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams(), carry: tuple[st
     base = F.array_sort(F.concat(_spans(F.col("__assign"), 0, "assign"), _spans(F.col("__access"), 1, "access"), _spans(F.col("__hex"), 2, "hex")))
     with_base = placed.withColumn("__base", base).drop("__t")
 
-    allowed = lambda s: ~s.rlike("[0-9]") | ~s.rlike("[A-Za-z]") | F.greatest(*(s.rlike(p) for p in ALLOWED))
+    allowed = lambda s: F.greatest(*(s.rlike(p) for p in ALLOWED[:-1]))
     asked = F.filter("__long", lambda c: ~allowed(c["s"]) & ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["start"] + F.length(c["s"]))))
     hot = F.transform(asked, lambda c: F.struct(c["start"].alias("start"), _hot(c["s"], params).alias("h")))
     extra = F.transform(F.filter(hot, lambda c: c["h"]["first"].isNotNull()), lambda c: F.struct((c["start"] + c["h"]["first"]).alias("start"), F.lit(3).alias("order"), (c["start"] + c["h"]["last"]).alias("end"), F.lit("entropy").alias("kind")))
@@ -133,7 +143,11 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams(), carry: tuple[st
 
 
 def oracle() -> str:
-    """DuckDB SQL for the query with the default parameters."""
+    """DuckDB SQL for the query with the default parameters.
+
+    It does less than scan(): it leaves out candidates without a digit or without a letter,
+    and whole candidates that hold a placeholder.
+    """
     p = SecretParams()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     kinds = (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("candidate", CANDIDATE, 0))

@@ -107,6 +107,22 @@ def test_secrets(spark, both):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_secrets_of_letters_and_near_placeholders(spark):
+    letters, key = "QwZrTyUkOpAsDfGhJmLzXcVb", "Zx9Qw3Er7Ty1Ui5Op2As8Df4"
+    rows = [
+        (1, f"a {letters} b", "s"),
+        (2, f"a {key}0000{key[::-1]} b", "s"),
+        (3, "a Zx9Qw3Er7Ty0000Ui5Op2As8Df4 b", "s"),  # each window overlaps the placeholder
+        (4, "a internationalizationservice getUserAccountInformation b", "s"),
+        (5, f"a {key}xxxxxx b", "s"),
+        (6, f"a {letters}Example b", "s"),
+        (7, f"a {key}examplexample{key} b", "s"),
+        (8, "a some-long-slug-of-words-2024 123e4567-e89b-12d3-a456-426614174000 b", "s"),
+    ]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(documents(spark, rows)).collect()}
+    assert got == {1: "entropy:2:26", 2: "entropy:2:54", 3: "", 4: "", 5: "entropy:2:26", 6: "entropy:2:26", 7: "entropy:2:63", 8: ""}
+
+
 def brute_pii(text):
     out = []
     for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
