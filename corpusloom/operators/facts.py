@@ -138,17 +138,19 @@ def load_bearing(edges: DataFrame, scratch: Scratch, top: int = 10) -> DataFrame
     return G.reach(edges, scratch).orderBy(F.col("callers").desc(), "node").limit(top)
 
 
-def dependency_depth(edges: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:
+def dependency_depth(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, depth): steps of the longest way from a root; nodes on or behind cycles are left out."""
     edges = G.edges_of(edges)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     left, done, turn = scratch.save(edges, "depth-edges"), None, 0
     rest = scratch.save(nodes, "depth-nodes")
-    while turn < rounds:
+    while True:
         free = scratch.save(rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(turn)), f"depth-{turn}")
         if free.isEmpty():
             break
         done = free if done is None else done.unionAll(free)
+        if turn % 16 == 15:
+            done = scratch.save(done, f"depth-done-{turn}")
         gone = free.select("node")
         rest = scratch.save(rest.join(gone, "node", "left_anti"), f"depth-n{turn}")
         left = scratch.save(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti"), f"depth-e{turn}")

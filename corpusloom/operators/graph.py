@@ -36,18 +36,21 @@ def walk(edges: DataFrame, seeds: DataFrame, scratch: Scratch, depth: int = 10)
     return seen
 
 
-def reach(edges: DataFrame, scratch: Scratch, depth: int = 64) -> DataFrame:
-    """(node, callers): distinct nodes from which each node is reached, itself only by a cycle."""
+def reach(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, callers): distinct nodes from which each node is reached, itself only by a cycle.
+
+    It ends when no new pair is found, as pairs are finite and none comes twice.
+    """
     back = edges_of(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     starts = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct()
     first = scratch.save(starts.join(back, starts["node"] == back["src"]).select(F.col("node").alias("root"), F.col("dst").alias("node")).distinct(), "reach-0")
-    seen = front = first
-    for turn in range(1, depth):
+    seen, front, turn = first, first, 0
+    while not front.isEmpty():
+        turn += 1
         step = front.join(back, front["node"] == back["src"]).select("root", F.col("dst").alias("node")).distinct()
         front = scratch.save(step.join(seen, ["root", "node"], "left_anti"), f"reach-{turn}")
-        if front.isEmpty():
-            break
-        seen = seen.unionAll(front)
+        # Now and then one table takes the place of the union, whose plan grows with each round.
+        seen = seen.unionAll(front) if turn % 16 else scratch.save(seen.unionAll(front), f"reach-seen-{turn}")
     counts = seen.groupBy(F.col("root").alias("node")).agg(F.count("*").alias("callers"))
     return starts.join(counts, "node", "left").select("node", F.coalesce("callers", F.lit(0)).cast("long").alias("callers"))
 

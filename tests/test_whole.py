@@ -1,8 +1,10 @@
 """Queries that leave no rows out."""
 
 from corpusloom import catalog
+from corpusloom.operators import facts
+from corpusloom.operators import graph as G
 from corpusloom.plans import whole
-from corpusloom.runtime import read
+from corpusloom.runtime import Scratch, read
 
 
 def test_edges_of_all_rows(spark, small):
@@ -23,3 +25,13 @@ def test_sql_without_samples():
     sql = catalog.oracle_sql()
     made = [sql[n] for n in sql if n.endswith("_all")]
     assert len(made) == 17 and not any(s in x for x in made for s in whole.SAMPLES)
+
+
+def test_reach_of_a_long_chain(spark):
+    line = spark.createDataFrame([(k, k + 1) for k in range(70)], "src long, dst long").coalesce(1)
+    assert {r["node"]: r["callers"] for r in G.reach(line, Scratch(spark, "t")).collect()} == {k: k for k in range(71)}
+
+
+def test_depth_of_a_long_chain(spark):
+    line = spark.createDataFrame([(k, k + 1) for k in range(103)] + [(200, 201), (201, 200), (201, 202)], "src long, dst long").coalesce(1)
+    assert {r["node"]: r["depth"] for r in facts.dependency_depth(line, Scratch(spark, "t")).collect()} == {k: k for k in range(104)}
