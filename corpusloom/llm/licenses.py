@@ -4,7 +4,8 @@ Templates and texts are sequences of lower-cased terms. Hashes of `gram` terms a
 winnowed: the least of each window of `window` hashes. Any common run of gram + window - 1
 terms then has a common fingerprint. The inverted index of the templates is small and
 fixed. Hits of one template on near diagonals make a region, and a banded local alignment
-of region and template gives matched terms, coverage and the span in the text.
+of region and template gives matched terms, coverage and the span in the text. What a
+region has left and right of a match is aligned again, so copies close by come out too.
 
 Defined results: a null or empty text has no matches. Repeated rows give their matches
 again. Offsets count code points, ends are exclusive.
@@ -12,6 +13,9 @@ again. Offsets count code points, ends are exclusive.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -127,17 +131,39 @@ def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
 
 
 def _matches(text: list[int], hits: list[tuple[int, int, int]], names: list[str], sequences: list[list[int]], params: LicenseParams) -> Iterator[tuple[str, int, float, int, int]]:
-    """Alignments of the hits' regions that cover enough of their template, each span once."""
-    regions, seen = [], set()
+    """Alignments of the hits' regions that cover enough of their template, best first, without overlaps of a template.
+
+    What is left of a region beside a match is aligned again, until nothing covers enough.
+    """
+    regions, todo, taken = [], [], defaultdict(list)
+
+    def ask(number: int, diagonal: int, low: int, high: int) -> None:
+        template = sequences[number]
+        if high - low < params.min_coverage * len(template):
+            return
+        matched, s, e = align(text[low:high], template, diagonal - low, 2 * params.band)
+        if matched >= params.min_coverage * len(template):
+            heapq.heappush(todo, (number, -matched, low + s, low + e, diagonal, low, high))
+
+    def within(spans: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+        # Spans of a template are in order and apart.
+        first = max(0, bisect.bisect_left(spans, (low, low)) - 1)
+        return [x for x in spans[first : bisect.bisect_left(spans, (high, high))] if x[1] > low]
+
     for number, diagonal, _ in sorted(hits):
         if not regions or regions[-1][0] != number or diagonal - regions[-1][1] > params.band:
             regions.append((number, diagonal))
-    for number, diagonal in regions:
-        template = sequences[number]
-        low = max(0, diagonal - params.band)
-        part = text[low : diagonal + len(template) + 2 * params.band + 1]
-        matched, s, e = align(part, template, diagonal - low, 2 * params.band)
-        found = (number, low + s, low + e)
-        if matched >= params.min_coverage * len(template) and found not in seen:
-            seen.add(found)
-            yield names[number], matched, matched / len(template), low + s, low + e
+            ask(number, diagonal, max(0, diagonal - params.band), min(len(text), diagonal + len(sequences[number]) + 2 * params.band + 1))
+    while todo:
+        number, lost, s, e, diagonal, low, high = heapq.heappop(todo)
+        near = within(taken[number], low, high)
+        if not any(a < e and s < b for a, b in near):
+            bisect.insort(taken[number], (s, e))
+            bisect.insort(near, (s, e))
+            yield names[number], -lost, -lost / len(sequences[number]), s, e
+        # The parts of the segment that no match holds.
+        at = low
+        for a, b in near:
+            ask(number, diagonal, at, a)
+            at = max(at, b)
+        ask(number, diagonal, at, high)

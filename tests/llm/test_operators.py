@@ -398,6 +398,28 @@ def test_licenses(spark, both):
     assert licenses.scan(documents(spark, both)).count() >= 0
 
 
+def test_licenses_close_together(spark):
+    lines = [licenses.TEMPLATES[n] for n in ("mit-line", "apache-2.0-line", "cc-by-nc-4.0-line")]
+    rows, want = [], {}
+    for line in lines:
+        for copies in (2, 5):
+            for gap in range(12):
+                text, at = "intro words ", []
+                for _ in range(copies):
+                    at.append((len(text), len(text) + len(line) - 1))
+                    text += line + " " + "filler " * gap
+                want[len(rows)] = at
+                rows.append((len(rows), text, "s"))
+    part = "Released under the MIT License. Published under the MIT License. Released under the MIT License."
+    rows.append((len(rows), part, "s"))
+    got = defaultdict(list)
+    for r in licenses.scan(documents(spark, rows)).collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["matched"]))
+    for k, at in want.items():
+        assert sorted(x[:2] for x in got[k]) == at, rows[k][1]
+    assert sorted(x[2] for x in got[len(rows) - 1]) == [4, 5, 5]
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     for _ in range(200):
