@@ -1,7 +1,7 @@
 """Duplicate and similar code: normalised text, token sets, similar names.
 
-Set similarity joins block on shared tokens, rarest first, and verify each pair once, so
-nothing is compared with everything.
+Similarity joins block on shared tokens or letters, rarest first, and verify each pair
+once, so nothing is compared with everything.
 """
 
 from __future__ import annotations
@@ -56,14 +56,29 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 
 def similar_names(names: DataFrame, least: float = 0.9) -> DataFrame:
-    """(a, b, score): distinct names of one type that are alike by Jaro-Winkler.
+    """(type, a, b, score): distinct names of one type that are alike by Jaro-Winkler.
 
-    Names are blocked by type and by each of their parts, and by their first two letters.
+    With k letters of common prefix (k <= 4), a pair at the threshold has a Jaro score of
+    (least - k / 10) / (1 - k / 10) or more, so for m common letters m / |a| + m / |b| >=
+    `share`, and m >= (share - 1) n for either length n. Names that agree in type and k
+    letters therefore share one of the rarest n - m + 1 letters of each side, where a letter
+    is counted with its occurrence. No pair at the threshold is lost.
     """
-    parts = F.array_union(T.split_identifier(F.col("name")), F.array(F.concat(F.lit("^"), F.substring(T.fold(F.col("name")), 1, 2))))
-    keyed = names.select("type", "name").distinct().withColumn("key", F.explode(parts))
-    a, b = keyed.withColumnRenamed("name", "a"), keyed.withColumnRenamed("name", "b")
-    pairs = a.join(b, ["type", "key"]).where("a < b").select("type", "a", "b").distinct()
+    chars = F.split("name", "")
+    letters = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == c)).cast("string")))
+    each = names.select("type", "name").where("name <> ''").distinct().withColumn("letters", letters).withColumn("n", F.size("letters"))
+    counts = each.select(F.explode("letters").alias("letter")).groupBy("letter").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("type", "name").orderBy("df", "letter"))
+    ranked = each.select("type", "name", "n", F.explode("letters").alias("letter")).join(counts, "letter").withColumn("r", rank)
+    shares = {k: 3 * max(0.0, (least - k / 10) / (1 - k / 10)) - 1 for k in range(5)}
+    classes = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(share).alias("share")) for k, share in shares.items()))
+    keyed = ranked.withColumn("c", F.explode(classes)).select("type", "name", "n", "letter", "r", "c.k", "c.share").where(F.col("n") >= F.col("k"))
+    common = F.greatest(F.ceil((F.col("share") - 1) * F.col("n") - 1e-9), F.lit(1))
+    keyed = keyed.where(F.col("r") <= F.col("n") - common + 1).withColumn("prefix", F.substring("name", F.lit(1), F.col("k")))
+    keys = ["type", "k", "prefix", "letter", "share"]
+    a, b = keyed.select(*keys, F.col("name").alias("a"), F.col("n").alias("n_a")), keyed.select(*keys, F.col("name").alias("b"), F.col("n").alias("n_b"))
+    fewer, more = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    pairs = a.join(b, keys).where((F.col("a") < F.col("b")) & (1 + fewer / more >= F.col("share") - 1e-9)).select("type", "a", "b").distinct()
     return pairs.withColumn("score", jaro_winkler_udf("a", "b")).where(F.col("score") >= least)
 
 

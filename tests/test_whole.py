@@ -1,8 +1,13 @@
 """Queries that leave no rows out."""
 
+import itertools
+import random
+
 from corpusloom import catalog
+from corpusloom.functions.names import jaro_winkler
 from corpusloom.operators import facts
 from corpusloom.operators import graph as G
+from corpusloom.operators import similar
 from corpusloom.plans import whole
 from corpusloom.runtime import Scratch, read
 
@@ -35,3 +40,21 @@ def test_reach_of_a_long_chain(spark):
 def test_depth_of_a_long_chain(spark):
     line = spark.createDataFrame([(k, k + 1) for k in range(103)] + [(200, 201), (201, 200), (201, 202)], "src long, dst long").coalesce(1)
     assert {r["node"]: r["depth"] for r in facts.dependency_depth(line, Scratch(spark, "t")).collect()} == {k: k for k in range(104)}
+
+
+def test_similar_names_against_brute_force(spark):
+    rng, names = random.Random(6), {"counter", "xcounter", "handler", "ahndler", "a", "ab", "abc", "", "naïve日本", "naïve日木"}
+    for word in ("getUserName", "parse_config", "handler", "readAll", "counterValue"):
+        for _ in range(25):
+            chars = list(word)
+            for _ in range(rng.randrange(1, 4)):
+                at, what = rng.randrange(len(chars)), rng.randrange(3)
+                chars[at : at + 1] = [[], [chars[at], rng.choice("abxyz")], [rng.choice("abxyz")]][what]
+            names.add("".join(chars))
+    rows = [(kind, n) for kind in ("function", "class") for n in sorted(names) if kind == "function" or rng.random() < 0.5]
+    frame = spark.createDataFrame([*rows, ("class", None)], "type string, name string")
+    for least in (0.9, 0.8, 0.6):
+        got = [(r["type"], r["a"], r["b"]) for r in similar.similar_names(frame, least).collect()]
+        want = {(t, a, b) for t in ("function", "class") for a, b in itertools.permutations([n for k, n in rows if k == t], 2) if a < b and jaro_winkler(a, b) >= least}
+        assert set(got) == want and len(got) == len(want)
+        assert least < 0.9 or {("function", "counter", "xcounter"), ("function", "ahndler", "handler")} <= want
