@@ -6,7 +6,8 @@ the expansion lengths, a range of ids is decoded without expanding the rest.
 
 Compression works in rounds on a shard of bounded size: the most frequent pairs that occur
 often enough become rules and are replaced from left to right without overlap, until no
-pair is frequent or 16-bit symbols are used up.
+pair is frequent or 16-bit symbols are used up. The first `rounds` rounds share the symbols
+out among them, further ones take what is left.
 
 The files are Parquet rows in the shared folder (one blob per shard with its documents),
 so any store that Spark reads can hold them. Range partitions by doc_id give the order.
@@ -17,6 +18,7 @@ that repeat an id follow each other in the order of their texts.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -61,8 +63,8 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int =
     seq = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     most_rules = max(0, (1 << 16) - vocabulary)
-    for turn in range(rounds):
-        share = -(-(most_rules - len(rules)) // (rounds - turn))
+    for turn in itertools.count():
+        share = -(-(most_rules - len(rules)) // max(1, rounds - turn))
         if len(seq) < 2 or share < 1:
             break
         pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]

@@ -420,6 +420,19 @@ def test_licenses_close_together(spark):
     assert sorted(x[2] for x in got[len(rows) - 1]) == [4, 5, 5]
 
 
+def test_token_files_pair_until_nothing_is_frequent():
+    rng = np.random.default_rng(8)
+    for ids in (np.tile(rng.integers(0, 50257, 1000), 1000), rng.integers(0, 60, 50_000), np.zeros(5000, np.int64)):
+        ids = ids.astype(np.uint32)
+        blob = token_files.compress(ids, 50257)
+        _, rules, _, seq = token_files._parts(blob)
+        assert (token_files.decompress(blob) == ids).all()
+        assert len(rules) == (1 << 16) - 50257 or max(Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)).values(), default=0) < 8
+    blob = token_files.compress(np.tile(np.arange(1000, dtype=np.uint32), 1000), 50257)
+    _, rules, _, seq = token_files._parts(blob)
+    assert len(rules) + len(seq) < 3000
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     for _ in range(200):
