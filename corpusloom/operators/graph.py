@@ -55,9 +55,12 @@ def reach(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return starts.join(counts, "node", "left").select("node", F.coalesce("callers", F.lit(0)).cast("long").alias("callers"))
 
 
-def fixpoint(edges: DataFrame, start: DataFrame, value: str, better: Column, combine, scratch: Scratch, rounds: int, name: str) -> DataFrame:
-    """(node, value): each round sends `better` along the edges and combines it with what is there."""
-    now, edges = scratch.save(start.select("node", value), f"{name}-0"), edges_of(edges)
+def fixpoint(edges: DataFrame, start: DataFrame, value: str, better: Column, combine, scratch: Scratch, rounds: int, name: str, repeats: bool = False) -> DataFrame:
+    """(node, value): each round sends `better` along the edges and combines it with what is there.
+
+    Repeated edges count once, or with `repeats` each.
+    """
+    now, edges = scratch.save(start.select("node", value), f"{name}-0"), edges if repeats else edges_of(edges)
     before = None
     for turn in range(1, rounds + 1):
         sent = now.join(edges, now["node"] == edges["src"]).select(F.col("dst").alias("node"), better.alias(value))
@@ -69,9 +72,22 @@ def fixpoint(edges: DataFrame, start: DataFrame, value: str, better: Column, com
     return now
 
 
-def propagate_labels(edges: DataFrame, seeds: DataFrame, scratch: Scratch, decay: float = 0.8, least: float = 0.1, rounds: int = 10) -> DataFrame:
-    """(node, strength): the strongest seed along the edges, decayed by each step, above a floor."""
-    out = fixpoint(edges, seeds.select("node", F.col("strength").cast("double").alias("strength")), "strength", F.when(F.col("strength") * decay >= least, F.col("strength") * decay), F.max, scratch, rounds, "labels")
+def propagate_labels(edges: DataFrame, seeds: DataFrame, scratch: Scratch, decay: float = 0.8, least: float = 0.1, rounds: int = 10, mode: str = "decay", direction: str = "down") -> DataFrame:
+    """(node, strength): labels of the seeds spread along the edges (down), against them (up), or both ways.
+
+    Modes: `decay` is the strongest seed, decayed by each step, above a floor; `max` the
+    strongest seed; `reachability` 1 for what is reached, while seeds keep their strength;
+    `accumulation` adds the strengths of the neighbours in each round.
+    """
+    once = edges_of(edges)
+    back = once.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = {"down": once, "up": back, "both": once.unionAll(back)}[direction]
+    start, value = seeds.select("node", F.col("strength").cast("double").alias("strength")), F.col("strength")
+    sent, combine = {"decay": (F.when(value * decay >= least, value * decay), F.max), "max": (value, F.max), "reachability": (F.lit(1.0), F.max), "accumulation": (value, F.sum)}[mode]
+    out = fixpoint(ways, start, "strength", sent, combine, scratch, rounds, "labels", mode == "accumulation")
+    if mode == "reachability":
+        own = start.groupBy("node").agg(F.max("strength").alias("own"))
+        out = out.join(own, "node", "left").select("node", F.coalesce("own", "strength").alias("strength"))
     return out.where("strength is not null")
 
 

@@ -58,3 +58,22 @@ def test_similar_names_against_brute_force(spark):
         want = {(t, a, b) for t in ("function", "class") for a, b in itertools.permutations([n for k, n in rows if k == t], 2) if a < b and jaro_winkler(a, b) >= least}
         assert set(got) == want and len(got) == len(want)
         assert least < 0.9 or {("function", "counter", "xcounter"), ("function", "ahndler", "handler")} <= want
+
+
+def test_label_modes_and_directions(spark):
+    pairs, seeds = [(1, 2), (2, 1), (2, 3), (3, 4), (5, 3), (6, 6)], {1: 0.5, 5: 1.0}
+    edges, start = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame(list(seeds.items()), "node long, strength double")
+    for direction in ("down", "up", "both"):
+        ways = pairs * (direction != "up") + [(b, a) for a, b in pairs] * (direction != "down")
+        for mode in ("reachability", "accumulation", "max"):
+            want = dict(seeds)
+            for _ in range(3):
+                old = dict(want)
+                for a, b in ways:
+                    if a in old:
+                        if mode == "accumulation":
+                            want[b] = want.get(b, 0.0) + old[a]
+                        elif b not in want or mode == "max":
+                            want[b] = 1.0 if mode == "reachability" else max(want.get(b, 0.0), old[a])
+            got = G.propagate_labels(edges, start, Scratch(spark, "t"), rounds=3, mode=mode, direction=direction).collect()
+            assert {r["node"]: round(r["strength"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}, (mode, direction)
