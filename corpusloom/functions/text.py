@@ -7,6 +7,7 @@ characters are [A-Za-z0-9_], columns and offsets count bytes.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +46,30 @@ PRIORITIES = {10: ["go", "rs", "py", "js", "ts"], 8: ["java", "cpp", "c", "h"],
 CODE_EXTENSIONS = [e for _, exts in LANGUAGES.values() for e in exts] + OTHER_CODE
 
 
+#: Items of an array that a running value goes over at once.
+_RUN = 256
+
+
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """out(state, value) for each item of an array, the state going on by step(state, value); linear in the array.
+
+    Appending to an array copies it, so items are appended within runs, and runs to the result.
+    """
+    first = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  binds c once
+
+    def run(state: Column, part: Column) -> Column:
+        start = F.struct(state.alias("s"), F.array().cast(f"array<{kind}>").alias("o"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.concat(acc["o"], F.array(out(acc["s"], x))).alias("o")))
+
+    def whole(held: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / _RUN).cast("int")), lambda b: F.slice(held, b * _RUN + 1, _RUN))
+        start = F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("o"))
+        joined = F.aggregate(parts, start, lambda acc, part: first(run(acc["s"], part), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o"))))
+        return F.when(F.size(held) > 0, F.flatten(joined["o"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return first(values, whole)
+
+
 def fold(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

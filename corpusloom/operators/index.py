@@ -75,18 +75,13 @@ def overlap_candidates(grams: DataFrame, pattern: str) -> DataFrame:
 
 def postings(files: DataFrame) -> DataFrame:
     """(token, file_id, first_offset): folded runs of three or more word characters, with the first byte offset."""
+    # A word's offset is a running sum of the bytes of what stands before it.
     pattern = "[A-Za-z0-9_]+"
-    # Within a line, what stands between tokens has the same order, so an offset is a running sum of byte lengths.
-    held = line_offsets(files).select("file_id", "start_offset", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("words"))
-    start = F.struct(F.col("start_offset").alias("at"), F.array().cast("array<struct<token:string,at:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.octet_length(x["gap"])
-        return F.struct((begin + F.octet_length(x["word"])).cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(T.fold(x["word"]).alias("token"), begin.cast("long").alias("at")))).alias("out"))
-
-    pairs = F.arrays_zip(F.slice("gaps", F.lit(1), F.size("words")).alias("gap"), F.col("words").alias("word"))
-    placed = held.select("file_id", F.explode(F.aggregate(pairs, start, step, lambda a: a["out"])).alias("x")).where(F.length("x.token") >= 3)
-    return placed.groupBy(F.col("x.token").alias("token"), "file_id").agg(F.min("x.at").alias("first_offset"))
+    pairs = F.arrays_zip(F.split("content", pattern, -1).alias("gap"), F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("word"))
+    after = lambda at, x: (at + F.octet_length(x["gap"]) + F.coalesce(F.octet_length(x["word"]), F.lit(0))).cast("long")
+    placed = T.running(pairs, F.lit(0).cast("long"), after, lambda at, x: F.struct(x["word"].alias("token"), (at + F.octet_length(x["gap"])).cast("long").alias("at")), "struct<token:string,at:bigint>")
+    words = files.select("file_id", F.explode(placed).alias("x")).where(F.length("x.token") >= 3)
+    return words.groupBy(T.fold(F.col("x.token")).alias("token"), "file_id").agg(F.min("x.at").alias("first_offset"))
 
 
 # Extensions that are binary.

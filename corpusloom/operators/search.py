@@ -26,13 +26,9 @@ def lines(files: DataFrame) -> DataFrame:
 
 def line_offsets(files: DataFrame) -> DataFrame:
     """(file_id, line, start_offset, text): byte offset of each line's start."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct((acc["at"] + F.octet_length(s) + 1).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-
     parts = F.split("content", "\n")
-    zipped = files.select("file_id", parts.alias("text"), F.aggregate(parts, start, step, lambda a: a["out"]).alias("start_offset"))
+    starts = T.running(parts, F.lit(0).cast("long"), lambda at, s: (at + F.octet_length(s) + 1).cast("long"), lambda at, s: at, "bigint")
+    zipped = files.select("file_id", parts.alias("text"), starts.alias("start_offset"))
     made = zipped.select("file_id", F.posexplode(F.arrays_zip("text", "start_offset")).alias("line", "x"))
     return made.select("file_id", (F.col("line") + 1).cast("long").alias("line"), F.col("x.start_offset").alias("start_offset"), F.col("x.text").alias("text"))
 
