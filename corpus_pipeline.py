@@ -1,4 +1,12 @@
-"""From raw documents to packed sequences: quality, near copies, personal data, mix, packing."""
+"""From raw documents to packed sequences: quality, near copies, personal data, mix, packing.
+
+Defined results: null, empty and short texts fail the length rule and go. Rows that repeat
+id and text stay once. Of a group of near copies the row of the least id stays; rows without
+an id stay only where no near copy has one. Null sources are a source of their own. Further
+columns are kept as they are until packing, whose rows are pieces of documents; a document
+that the mix repeats is packed as often. Empty tables give an empty result; without labels
+the rules decide alone.
+"""
 
 from __future__ import annotations
 
