@@ -4,16 +4,17 @@ A shard file holds rules (pairs of symbols), the expansion length of each rule,
 sequence of symbols. Symbols below the vocabulary's size are ids, the others rules. With
 the expansion lengths, a range of ids is decoded without expanding the rest.
 
-Compression works in rounds on a shard of bounded size: the most frequent pairs that occur
-often enough become rules and are replaced from left to right without overlap, until no
-pair is frequent or 16-bit symbols are used up. The first `rounds` rounds share the symbols
-out among them, further ones take what is left.
+Compression works in rounds on a shard of bounded size: the most frequent pairs of those
+that occur `min_count` times (a rule costs as much as four symbols) become rules and are
+replaced from left to right without overlap, until no pair is so frequent or the symbols are
+used up: 2^16, for a larger vocabulary the next power of two. The first `rounds` rounds
+share the symbols out among them, further ones take what is left.
 
 The files are Parquet rows in the shared folder (one blob per shard with its documents),
 so any store that Spark reads can hold them. Range partitions by doc_id give the order.
 
 Defined results: a null or empty text holds the end id alone; null ids come first; rows
-that repeat an id follow each other in the order of their texts.
+that repeat an id follow each other in the order of their texts' hashes, then of the texts.
 """
 
 from __future__ import annotations
@@ -49,54 +50,60 @@ class TokenFileParams:
 _SLOTS = 20
 
 
-def _frequent_pairs(pair: np.ndarray, slot: np.ndarray, min_count: int, most: int) -> np.ndarray:
+def _frequent_pairs(pair: np.ndarray, min_count: int, most: int) -> np.ndarray:
     """The most frequent of the adjacent pairs, by falling count, then pair."""
-    pair = pair[np.bincount(slot, minlength=1 << _SLOTS)[slot] >= min_count]
-    pair.sort()
-    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(pair)))
-    found, count = pair[first[count >= min_count]], count[count >= min_count]
-    return found[np.lexsort((found, -count))[:most]]
+    ordered = np.sort(pair)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    count = np.diff(np.append(first, len(ordered)))
+    often = count >= min_count
+    found, count = ordered[first[often]], count[often]
+    return found[np.argsort(-count, kind="stable")[:most]]
 
 
 def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int = 8) -> bytes:
-    seq = ids.astype(np.uint32)
-    rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    most_rules = max(0, (1 << 16) - vocabulary)
+    # Two bytes a symbol where the vocabulary leaves room for rules, else four.
+    limit = 1 << max(16, vocabulary.bit_length())
+    half = 16 if limit == 1 << 16 else 32
+    word, wide = (np.uint16, np.uint32) if half == 16 else (np.uint32, np.uint64)
+    spread, shift = (wide(0x9E3779B1), wide(32 - _SLOTS)) if half == 16 else (wide(0x9E3779B97F4A7C15), wide(64 - _SLOTS))
+    seq = ids.astype(word)
+    rules, lengths = np.zeros((0, 2), word), np.zeros(0, np.uint32)
     for turn in itertools.count():
-        share = -(-(most_rules - len(rules)) // max(1, rounds - turn))
+        share = -(-(limit - vocabulary - len(rules)) // max(1, rounds - turn))
         if len(seq) < 2 or share < 1:
             break
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-        pairs = _frequent_pairs(pair, slot, min_count, share)
+        pair = seq[:-1].astype(wide)
+        pair <<= wide(half)
+        pair |= seq[1:]
+        pairs = _frequent_pairs(pair, min_count, share)
         if not len(pairs):
             break
         # A table from slot to pair finds occurrences without a search; of pairs that share
         # a slot the most frequent one is taken, the others wait for the next round.
-        at = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int32)
         table = np.full(1 << _SLOTS, -1, np.int32)
-        table[at[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        rule = table[slot]
+        table[(pairs[::-1] * spread) >> shift] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        rule = table[(pair * spread) >> shift]
         where = np.flatnonzero(rule >= 0)
-        where = where[pairs[rule[where]] == pair[where]]
+        rule = rule[where]
+        same = pairs[rule] == pair[where]
+        where, rule = where[same], rule[same]
         # Overlapping occurrences: in each run of neighbours take every second, from the left.
-        run = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - run) % 2 == 0]
+        place = np.arange(len(where))
+        run = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, place, 0))
+        every = (place - run) % 2 == 0
+        where, rule = where[every], rule[every]
         taken = np.zeros(len(pairs), dtype=bool)
-        taken[rule[where]] = True
-        number = np.cumsum(taken) - 1
+        taken[rule] = True
         used = pairs[taken]
-        fresh = np.column_stack((used >> np.uint64(32), used & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+        fresh = np.column_stack((used >> wide(half), used & wide((1 << half) - 1))).astype(word)
+        seq[where] = (vocabulary + len(rules) + np.cumsum(taken) - 1)[rule]
+        keep = np.ones(len(seq), dtype=bool)
+        keep[where + 1] = False
+        seq = seq[keep]
         size = np.concatenate((np.ones(vocabulary, np.uint32), lengths))
-        seq = seq.copy()
-        seq[where] = (vocabulary + len(rules) + number[rule[where]]).astype(np.uint32)
-        drop = np.ones(len(seq), dtype=bool)
-        drop[where + 1] = False
-        seq = seq[drop]
         rules, lengths = np.concatenate((rules, fresh)), np.concatenate((lengths, size[fresh[:, 0]] + size[fresh[:, 1]]))
-    kind = "<u2" if vocabulary + len(rules) <= 1 << 16 else "<u4"
-    head = _HEAD.pack(MAGIC, vocabulary, len(rules), int(kind[-1]), len(seq))
+    kind = f"<u{half // 8}"
+    head = _HEAD.pack(MAGIC, vocabulary, len(rules), half // 8, len(seq))
     return b"".join((head, rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), seq.astype(kind).tobytes()))
 
 
@@ -122,25 +129,36 @@ def _expand(seq: np.ndarray, vocabulary: int, rules: np.ndarray) -> np.ndarray:
     return seq
 
 
+class Shard:
+    """Random access to a shard: a range of ids expands only the symbols that hold it."""
+
+    def __init__(self, blob: bytes):
+        self.vocabulary, self.rules, lengths, self.seq = _parts(blob)
+        size = np.ones(len(self.seq), np.int64)
+        rule = self.seq >= self.vocabulary
+        size[rule] = lengths[self.seq[rule] - self.vocabulary]
+        self.end = np.cumsum(size)
+
+    def ids(self, start: int, length: int) -> np.ndarray:
+        """The ids at start:start+length."""
+        if length <= 0 or not len(self.end):
+            return np.zeros(0, np.uint32)
+        a, b = np.searchsorted(self.end, start, "right"), np.searchsorted(self.end, start + length, "left")
+        base = int(self.end[a - 1]) if a else 0
+        return _expand(self.seq[a : b + 1], self.vocabulary, self.rules)[start - base : start - base + length]
+
+
 def decompress(blob: bytes) -> np.ndarray:
     vocabulary, rules, _, seq = _parts(blob)
     return _expand(seq, vocabulary, rules)
 
 
 def decode_range(blob: bytes, start: int, length: int) -> np.ndarray:
-    """The ids at start:start+length, expanding only the symbols that hold them."""
-    vocabulary, rules, lengths, seq = _parts(blob)
-    size = np.ones(len(seq), np.int64)
-    rule = seq >= vocabulary
-    size[rule] = lengths[seq[rule] - vocabulary]
-    end = np.cumsum(size)
-    if length <= 0 or not len(end):
-        return np.zeros(0, np.uint32)
-    a, b = np.searchsorted(end, start, "right"), np.searchsorted(end, start + length, "left")
-    base = int(end[a - 1]) if a else 0
-    return _expand(seq[a : b + 1], vocabulary, rules)[start - base : start - base + length]
+    return Shard(blob).ids(start, length)
 
 
+#: Ids that are expanded at once when documents are read.
+RANGE_IDS = 1 << 17
 SHARD_SCHEMA = "partition int, shard int, n_ids long, doc_ids array<long>, lengths array<long>, grammar binary"
 
 
@@ -175,19 +193,29 @@ def write(docs: DataFrame, scratch: Scratch, params: TokenFileParams = TokenFile
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The hash of the text deals the rows of one id, or of none, over several ranges.
+    order = (F.col("doc_id").asc_nulls_first(), F.col("text_key"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     return scratch.save(ordered.mapInArrow(shards, SHARD_SCHEMA), "tokens")
 
 
 def documents(files: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each document's place and checksum, decoded from the shards."""
+    """Each document's place and checksum, decoded from the shards a range of ids at a time."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.select(["base", "doc_ids", "lengths", "grammar"]).to_pylist():
-                ids, lengths = decompress(row["grammar"]).astype("<u4"), np.array(row["lengths"], np.int64)
-                start = np.cumsum(lengths) - lengths
-                crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(start.tolist(), lengths.tolist(), strict=True)]
+                shard, lengths, crc = Shard(row["grammar"]), np.array(row["lengths"], np.int64), []
+                end = np.cumsum(lengths)
+                start, first = end - lengths, 0
+                while first < len(lengths):
+                    # So many documents as fill a range, one at least.
+                    base = int(start[first])
+                    last = max(first + 1, int(np.searchsorted(end, base + RANGE_IDS, "right")))
+                    ids = shard.ids(base, int(end[last - 1]) - base).astype("<u4")
+                    crc += [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip((start[first:last] - base).tolist(), lengths[first:last].tolist(), strict=True)]
+                    first = last
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start + row["base"]), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # Two levels: a window over partitions (one row each), another within each partition.

@@ -24,6 +24,9 @@ MOST_CACHED = 1_500_000
 _SPACE_LEADS_3 = ((0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
 _SPACE_PAIRS = ((0xC2, 0x85), (0xC2, 0xA0))
 
+#: Bytes that may be, or begin, white space of any kind.
+_ODD_BYTE = np.isin(np.arange(256), [*range(33), 127, 0xC2, 0xE1, 0xE2, 0xE3])
+
 
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the chunks: document starts, and white space after what can't be white space."""
@@ -66,6 +69,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        mark = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -79,10 +84,29 @@ class ChunkEncoder:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the chunks in an order of their own, their numbers, and which chunks these are.
+
+        Chunks of at most one space and then nothing like white space go through the library
+        as one text, joined by newlines: a newline between them is a token by itself.
+        """
+        raw = data.tobytes()
+        cut = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        odd = np.concatenate(([0], np.cumsum(_ODD_BYTE[data])))
+        first = np.minimum(starts + (data[starts] == 32), ends - 1)
+        plain = (odd[ends] == odd[first]) if self.mark is not None else np.zeros(len(cut), dtype=bool)
+        joined, single = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids = counts = np.zeros(0, np.int64)
+        if len(joined):
+            text = b"\n".join([cut[k] for k in joined.tolist()]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            marks = np.flatnonzero(ids == self.mark)
+            counts = np.diff(marks, prepend=-1, append=len(ids)) - 1
+            ids = np.delete(ids, marks)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([cut[k].decode() for k in single.tolist()], add_special_tokens=False)] if len(single) else []
+        rest = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.concatenate((ids, np.fromiter((i for x in found for i in x), np.int64, int(rest.sum()))))
+        return ids.astype(np.uint32), np.concatenate((counts, rest)), np.concatenate((joined, single))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents joined, and where each document's ids start (one more at the end)."""
@@ -107,8 +131,8 @@ class ChunkEncoder:
             missing &= ~hit
         new = np.flatnonzero(missing)
         if len(new):
-            raw = data.tobytes()
-            ids, counts = self._encode([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            ids, counts, order = self._encode(data, starts[first[new]], ends[first[new]])
+            new = new[order]
             place[new] = self._keep(ids) + np.concatenate(([0], np.cumsum(counts)[:-1]))
             count[new] = counts
             add = new[keep[new]]
