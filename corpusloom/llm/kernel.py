@@ -37,21 +37,27 @@ _tables: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n + 1 of each."""
-    if not _tables or len(_tables[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        made = []
-        for factor in (_BASE, _INVERSE):
-            row = np.full(size, factor, dtype=np.uint64)
-            row[0] = 1
-            made.append(np.multiply.accumulate(row))
+    """Powers of the base and of its inverse, at least n + 1 of each; those beyond a slice aren't kept."""
+    if _tables and len(_tables[0]) > n:
+        return _tables[0], _tables[1]
+    made = []
+    for factor in (_BASE, _INVERSE):
+        row = np.full(max(n, SLICE_BYTES) + 2, factor, dtype=np.uint64)
+        row[0] = 1
+        made.append(np.multiply.accumulate(row, out=row))
+    if n <= SLICE_BYTES + 1:
         _tables[:] = made
-    return _tables[0], _tables[1]
+    return made[0], made[1]
 
 
 def tuned(spark) -> None:
-    """Arrow batches small enough for very long texts; shuffle files go when their query ends."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches small enough for very long texts; shuffle files go when their query ends.
+
+    Both are settings of the session, as Spark reads them when a plan runs, and stay set.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
@@ -112,7 +118,10 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
 
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[i]:first[i+1]] for each i."""
-    sums = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=None if values.dtype.kind == "f" else np.int64)))
+    if values.dtype.kind == "f":  # each segment by itself, so that a sum doesn't depend on its neighbours
+        sums = np.add.reduceat(np.append(values, 0.0), first[:-1]) if len(first) > 1 else np.zeros(0)
+        return np.where(first[1:] > first[:-1], sums, 0.0)
+    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)))
     return sums[first[1:]] - sums[first[:-1]]
 
 
@@ -138,3 +147,20 @@ def bitmap(slots, bits: int) -> np.ndarray:
 def in_bitmap(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     slots = slots.astype(np.uint64)
     return (table[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
+
+
+def parted(docs, slot, slots, bits: int):
+    """(rest, asked): the rows of docs whose slot isn't among the values of the one column `s` of slots, and those whose is."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(slots, bits))  # fixed size
+    slotted, schema = docs.withColumn("__slot", slot), docs.schema
+
+    def part(asked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = in_bitmap(held.value, batch.column(batch.num_columns - 1).to_numpy()) == asked
+                if hit.any():
+                    yield batch.filter(pa.array(hit)).select(list(range(batch.num_columns - 1)))
+
+        return slotted.mapInArrow(run, schema)
+
+    return part(False), part(True)

@@ -1,25 +1,31 @@
 """Jaccard self-join on word shingles, by rare-first prefixes.
 
 Two texts link when intersection / union of their shingle sets is at least the threshold.
-The method: order all shingles by rarity (a counting sketch of fixed size over the whole
-corpus, then the hash); only the first (1 - t) n + 1 shingles of a set of n can be the
-first common one of a link. Candidates share such a shingle and pass the length filter and
-the positional filter there; then the number of common prefix shingles and the suffix
-filter, in slices, bound their overlap, and what is left is verified once per pair on the
-full sets.
+The method: order all shingles by rarity, the number of sets that hold them, then the hash;
+only the first (1 - t) n + 1 shingles of a set of n can be the first common one of a link.
+Candidates share such a shingle and pass the length filter and the positional filter there,
+then the suffix filter: shingles counted in slices of the hash range bound the overlap
+before the sets are fetched. What is left is verified once per pair on the sets.
+
+Rarity is exact. One pass over the texts deals each set's shingles to buckets of the hash
+range, as packed blocks; a bucket sorts its shingles and returns those that more than one
+set holds to their sets. A shingle that no other set holds comes first in the order and
+can't be common, so it is counted and left out from then on: prefixes, filters and
+verification need only the shared shingles. Sets that hold too few of these are done.
 
 What is asked for are components, so a group of near copies need not give all its pairs.
-In pivot rounds each shared shingle compares its documents with one pivot, the document
-that has the shingle earliest; components follow. After these, a last join compares every
-remaining pair that shares a prefix shingle and isn't yet in one component, so no link
-between different components is lost.
+In pivot rounds each shingle compares its sets with one pivot, the one that has it earliest;
+components follow. After these, a last join compares every remaining pair that shares a
+prefix shingle and isn't yet in one component, so no link between different components is lost.
 
-Identical sets are one node (a 64-bit hash of the set), so exact copies cost nothing.
+Equal texts are cut once: they are known by 128 bits of hashes. A bitmap of fixed size says
+which rows to cut; where it says so for more than one row of a text, the copies are sets that
+link with each other, as equal sets of different texts are.
 
 Defined results: a null, empty or wordless text has no set and links with nothing; its
 component is its own id. Repeated ids are one document with several texts: each row gets
 the least component of its own set. Null ids get a null component unless their set has
-another id.
+another id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import kernel
 from corpusloom.llm.components import components
 from corpusloom.llm.shingles import shingle_sets
+from corpusloom.llm.skew import join_hot
 from corpusloom.runtime import Scratch
 
 
@@ -42,174 +49,231 @@ from corpusloom.runtime import Scratch
 class NearParams:
     width: int = 5
     percent: int = 80
-    sketch_bits: int = 16
-    bitmap_bits: int = 23
+    #: Size of the bitmap of rows to cut.
+    bitmap_bits: int = 24
+    #: Slices of the suffix filter.
+    slices: int = 64
+    #: Shingles of a bucket; a bucket is what a task holds at once.
+    bucket_tokens: int = 1 << 20
+    #: Rarity is told apart up to so many sets: from there on, only the hash orders.
+    most_rarity: int = 1 << 10
     #: Most rounds with pivots; the last join of all remaining pairs follows in any case.
     pivot_rounds: int = 4
 
 
-def _node(found: np.ndarray) -> int:
-    """Hash of a set, as a signed 64-bit number."""
-    if not len(found):
-        return 0
-    total, both = found.sum(dtype=np.uint64, keepdims=True), np.bitwise_xor.reduce(kernel.mix(found), keepdims=True)
-    folded = kernel.mix(total * np.uint64(0x9E3779B97F4A7C15) + both + np.uint64(len(found)))
-    return int(folded.view(np.int64)[0])
+_ROWS = "bucket int, base long, tokens binary, owners binary, node long, k1 long, k2 long, n int"
 
 
-def _scan(docs: DataFrame, params: NearParams) -> DataFrame:
-    """Rows of documents (doc_id, n, node), and of the sketch (bucket, times) per task."""
-    width, bits = params.width, params.sketch_bits
+def _least(n: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap with any other set that a set of n needs: all of percent n."""
+    return -(-percent * n // 100)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for row, found in shingle_sets(batch.column(2), width):
-                n[row], node[row] = len(found), _node(found)
-                sketch += np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(node, mask=n == 0), none, none], names=names)
-        seen = np.flatnonzero(sketch)
-        none = pa.nulls(len(seen), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(seen), pa.array(sketch[seen])], names=names)
 
-    names = ["doc_id", "text_key", "n", "node", "bucket", "times"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, node long, bucket long, times long")
+def _dealt(docs: DataFrame, keys: DataFrame, buckets: int, params: NearParams) -> DataFrame:
+    """Shingles as packed blocks by bucket, and a row (node, k1, k2, n) for each text that was cut."""
+    bits, width = params.bitmap_bits, params.width
+    slot = F.pmod(F.xxhash64("doc_id", "k1"), F.lit(1 << bits))
+    table = kernel.bitmap(keys.select(slot.alias("s")), bits)
+    held = docs.sparkSession.sparkContext.broadcast(table)  # fixed size
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
+    def block(**columns) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[n], t) if n in columns else pa.nulls(rows, t) for n, t in zip(names, types, strict=True)], names=names)
 
-def _sketch(scan: DataFrame, params: NearParams) -> np.ndarray:
-    """Occurrences in each bucket of shingles: at most 2^sketch_bits rows come to the driver."""
-    got = scan.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
-    out = np.zeros(1 << params.sketch_bits, np.int64)
-    out[got["bucket"].to_numpy()] = got["times"].to_numpy()
-    return out
+    def packed(base: int, tokens: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        token, owner = np.concatenate(tokens), np.concatenate(owners)
+        bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, token, owner = bucket[order], token[order], owner[order]
+        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        ends = [*at[1:].tolist(), len(bucket)]
+        cut = list(zip(at.tolist(), ends, strict=True))
+        return block(bucket=bucket[at].astype(np.int32), base=[base] * len(at), tokens=[token[a:b].tobytes() for a, b in cut], owners=[owner[a:b].tobytes() for a, b in cut])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _prefixes(docs: DataFrame, sketch, params: NearParams) -> DataFrame:
-    """(token, node, n, at) for the prefix of each set, in rare-first order."""
-    width, bits, percent = params.width, params.sketch_bits, params.percent
+        base, count = TaskContext.get().partitionId() << 32, 0
+        tokens, owners, size = [], [], 0
+        for batch in batches:
+            hit = kernel.in_bitmap(held.value, batch.column(0).to_numpy())
+            if not hit.any():
+                continue
+            batch = batch.filter(pa.array(hit))
+            rows, sizes, first = [], [], count
+            for row, found in shingle_sets(batch.column(3), width):
+                if len(found):
+                    rows.append(row)
+                    sizes.append(len(found))
+                    tokens.append(found)
+                    owners.append(np.full(len(found), count, np.uint32))
+                    size, count = size + len(found), count + 1
+                if size >= params.bucket_tokens:
+                    yield packed(base, tokens, owners)
+                    tokens, owners, size = [], [], 0
+            if rows:
+                node, at = np.arange(first, count) + base, pa.array(rows)
+                yield block(bucket=(node % buckets).astype(np.int32), node=node, k1=batch.column(1).take(at), k2=batch.column(2).take(at), n=sizes)
+        if size:
+            yield packed(base, tokens, owners)
+
+    return docs.select(slot.alias("slot"), "k1", "k2", "text").mapInArrow(run, _ROWS)
+
+
+_SHARED = "node long, token long, rarity int, k1 long, k2 long, n int"
+
+
+def _shared(dealt: DataFrame, params: NearParams) -> DataFrame:
+    """(node, token, rarity) of the shingles that more than one set holds; rows of nodes go through.
+
+    dealt is sorted by bucket within partitions. A bucket that grows gives out the sets of
+    shingles that reached the most rarity, so a shingle of many sets is not held.
+    """
+    most = params.most_rarity
+
+    def counted(token: np.ndarray, node: np.ndarray, final: bool):
+        """What is complete, as (node, token, rarity), and what is kept."""
+        order = np.argsort(token, kind="stable")
+        token, node = token[order], node[order]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        times = np.diff(np.append(first, len(token)))
+        each = np.repeat(np.minimum(times, most), times)
+        out = each >= (2 if final else most)
+        return (node[out], token[out], each[out]), (token[~out], node[~out])
+
+    def rows(node, token, rarity) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(node), 1 << 18):
+            n = len(node[a : a + (1 << 18)])
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node[a : a + n]), pa.array(token[a : a + n].view(np.int64)), pa.array(rarity[a : a + n].astype(np.int32)), none, none, pa.nulls(n, pa.int32())], names=names)
+
+    names = [x.split()[0] for x in _SHARED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tokens, nodes, size, hot = None, [], [], 0, np.zeros(0, np.uint64)
         for batch in batches:
-            tokens, nodes, sizes, places = [], [], [], []
-            for _, found in shingle_sets(batch.column(0), width):
-                n = len(found)
-                if not n:
-                    continue
-                keep = n - -(-percent * n // 100) + 1
-                rarity = sketch.value[(found >> np.uint64(64 - bits)).astype(np.int64)]
-                first = found[np.lexsort((found, rarity))[:keep]]
-                tokens.append(first.view(np.int64))
-                nodes.append(np.full(len(first), _node(found)))
-                sizes.append(np.full(len(first), n, np.int32))
-                places.append(np.arange(len(first), dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places)], names=["token", "node", "n", "at"])
-
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, at int")
-
-
-def _passes(a: str, b: str, percent: int) -> str:
-    """Length and positional filter at a shared token; exact in whole numbers."""
-    most = f"least({a}.n - {a}.at, {b}.n - {b}.at)"
-    return f"100L * least({a}.n, {b}.n) >= {percent}L * greatest({a}.n, {b}.n) and {100 + percent}L * {most} >= {percent}L * ({a}.n + {b}.n)"
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFrame:
-    """(node, grams) of the wanted (node, doc_id), one document for each node.
-
-    Texts aren't shuffled: a bitmap of fixed size tells tasks which documents may be wanted,
-    only these are cut into shingles, and a join by node leaves out the rest.
+            passed = batch.column(4).is_valid()
+            through = batch.filter(passed)
+            if through.num_rows:
+                none = pa.nulls(through.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([through.column(4), none, pa.nulls(through.num_rows, pa.int32()), *through.columns[5:]], names=names)
+            blocks = batch.filter(pa.compute.invert(passed))
+            for bucket, base, token, owner in zip(blocks.column(0).to_pylist(), blocks.column(1).to_pylist(), blocks.column(2), blocks.column(3), strict=True):
+                if bucket != current:
+                    if tokens:
+                        yield from rows(*counted(np.concatenate(tokens), np.concatenate(nodes), True)[0])
+                    current, tokens, nodes, size, hot = bucket, [], [], 0, np.zeros(0, np.uint64)
+                token = np.frombuffer(token.as_buffer(), np.uint64)
+                node = np.frombuffer(owner.as_buffer(), np.uint32).astype(np.int64) + base
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                    known = hot[at] == token
+                    if known.any():
+                        yield from rows(node[known], token[known], np.full(int(known.sum()), most))
+                        token, node = token[~known], node[~known]
+                tokens.append(token)
+                nodes.append(node)
+                size += len(token)
+                if size > 4 * params.bucket_tokens:
+                    out, (token, node) = counted(np.concatenate(tokens), np.concatenate(nodes), False)
+                    yield from rows(*out)
+                    hot = np.union1d(hot, out[1])
+                    tokens, nodes, size = [token], [node], len(token)
+                    # What stays is held at most `most` times each; wait until as much again has come.
+                    if size > 2 * params.bucket_tokens:
+                        size = 0
+        if tokens:
+            yield from rows(*counted(np.concatenate(tokens), np.concatenate(nodes), True)[0])
+
+    return dealt.mapInArrow(run, _SHARED)
+
+
+_NODES = "node long, n int, grams binary, prefix array<long>, first int, parts array<int>"
+
+
+def _nodes(listed: DataFrame, params: NearParams) -> DataFrame:
+    """From (node, n, shared): the shared shingles in the order of their hashes, those in the prefix, and the slices' sizes.
+
+    `first` is the place of the prefix's first shared shingle: so many stand before it that no other set holds.
     """
-    bits = params.bitmap_bits
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    table = kernel.bitmap(wanted.select(slot.alias("s")), bits)
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    percent, slices = params.percent, params.slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = kernel.in_bitmap(held.value, batch.column(0).to_numpy())
-            if hit.any():
-                made = [found for _, found in shingle_sets(batch.column(1).filter(pa.array(hit)), params.width)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "grams"])
-
-    made = docs.select(slot.alias("slot"), "text").mapInArrow(run, "node long, grams binary")
-    return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
+            held = batch.column(2)
+            bounds, values = held.offsets.to_numpy(), held.values
+            rarity, token = values.field("rarity").to_numpy(), values.field("token").to_numpy().view(np.uint64)
+            grams, prefix, first, parts = [], [], [], []
+            for n, a, b in zip(batch.column(1).to_numpy().tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                mine, rare = token[a:b], rarity[a:b]
+                alone = n - (b - a)
+                order = np.lexsort((mine, rare))[: max(0, n - int(_least(n, percent)) + 1 - alone)]
+                prefix.append(mine[order].view(np.int64))
+                first.append(alone)
+                mine = np.sort(mine)
+                grams.append(mine.tobytes())
+                parts.append(np.bincount((mine >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32), minlength=slices))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(grams, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(first, pa.int32()), pa.array(parts, pa.list_(pa.int32()))],
+                names=[x.split()[0] for x in _NODES.split(", ")],
+            )
+
+    return listed.mapInArrow(run, _NODES)
 
 
-def _dense(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose number of common prefix shingles leaves room for the overlap that is needed.
-
-    Every common shingle up to the end of one of the prefixes is in both; what comes after
-    is at most what the set has beyond its prefix.
-    """
-    left = heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
-    right = heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("x", "y")))
-    beyond = f"ceil({percent}L * greatest(na, nb) / 100) - 1"
-    return both.where(f"{100 + percent}L * (c + {beyond}) >= {percent}L * (na + nb)").select("a", "b")
+def _passes(a: str, b: str, percent: int) -> str:
+    """Length and positional filter at a shared shingle; exact in whole numbers."""
+    most = f"least({a}.n - {a}.at, {b}.n - {b}.at)"
+    return f"100L * least({a}.n, {b}.n) >= {percent}L * greatest({a}.n, {b}.n) and {100 + percent}L * {most} >= {percent}L * ({a}.n + {b}.n)"
 
 
-def _overlap_bound(x: np.ndarray, y: np.ndarray, slices: int = 16) -> int:
-    """Suffix filter: in slices of the common order, no more than the smaller part is shared."""
-    cuts = y[np.linspace(0, len(y), slices + 1).astype(np.int64)[1:-1]] if len(y) > slices else y
-    return int(np.minimum(np.diff(np.searchsorted(x, cuts), prepend=0, append=len(x)), np.diff(np.searchsorted(y, cuts), prepend=0, append=len(y))).sum())
+def _suffix(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: in each slice of the hashes no more than the smaller part is common."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("y"))
+    bound = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v)
+    return pairs.join(left, "a").join(right, "b").where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; shingles that one set alone holds aren't common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = percent * (len(x) + len(y))
-                if (100 + percent) * _overlap_bound(x, y) < need:
-                    keep.append(False)
-                    continue
-                both = np.concatenate((x, y))
+            for total, x, y in zip(batch.column(2).to_numpy().tolist(), batch.column(3), batch.column(4), strict=True):
+                both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
                 both.sort()
-                keep.append(bool((100 + percent) * int((both[1:] == both[:-1]).sum()) >= need))
+                keep.append(bool((100 + percent) * int((both[1:] == both[:-1]).sum()) >= percent * total))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na").cast("long") + F.col("nb")).alias("total"), "x", "y")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, scratch: Scratch, params: NearParams = NearParams()) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) of each row of docs."""
-    spark = docs.sparkSession
-    kernel.tuned(spark)
+def _linked(nodes: DataFrame, scratch: Scratch, params: NearParams) -> DataFrame | None:
+    """(node, component) of the nodes with links; none where there are none."""
     percent = params.percent
-    scan = scratch.save(_scan(docs, params), "scan")
-    rows = scan.where("bucket is null").select("doc_id", "text_key", "n", "node")
-    sketch = spark.sparkContext.broadcast(_sketch(scan, params))  # fixed size
-
-    prefixes = _prefixes(docs, sketch, params)
-    shared = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    buckets = scratch.save(prefixes.join(shared, "token").distinct(), "buckets")
-    # One document of each node; copies of a set are left out.
-    some = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
-    # The prefix of each node as one row: only shared shingles are in it.
-    heads = scratch.save(buckets.groupBy("node", "n").agg(F.collect_set("token").alias("tokens")), "heads")
-
-    sets = links = labels = tested = None
-    live, linked, last = buckets, 0, False
+    entries = nodes.select("node", "n", "first", F.posexplode("prefix").alias("place", "token"))
+    live = entries.select("token", "node", "n", (F.col("first") + F.col("place")).alias("at"))
+    links = labels = tested = None
+    linked, last = 0, False
     for turn in range(params.pivot_rounds + 1):
         last = last or turn == params.pivot_rounds
         if labels is None:
             live = live.withColumn("label", F.col("node"))
         else:
             live = live.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        live = scratch.save(live, f"live-{turn}")
         if not last:
             # The earlier place in a set, the fewer shingles it has for itself; later rounds deal another pivot.
             tie = F.xxhash64("label", F.lit(turn)) if turn else F.lit(0)
-            pivot = live.groupBy("token").agg(F.min(F.struct("at", tie.alias("tie"), "node", "n", "label")).alias("p"), F.count("*").alias("df")).select("token", "df", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at"), F.col("p.label").alias("p_label"))
-            met = scratch.save(live.join(pivot, "token").where("node <> p_node"), f"met-{turn}")
+            pivot = live.groupBy("token").agg(F.min(F.struct("at", tie.alias("tie"), "node", "n", "label")).alias("p"), F.count("*").alias("df")).where("df > 1").select("token", "df", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at"), F.col("p.label").alias("p_label"))
+            met = scratch.save(join_hot(live, pivot, ["token"], ["node"]).where("node <> p_node"), f"met-{turn}")
             fits = _passes("l", "r", percent).replace("l.", "").replace("r.", "p_")
             pairs = met.where(f"label <> p_label and {fits}").select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
             # A pivot has met its whole bucket and leaves; buckets of one node have nothing left to compare.
@@ -221,39 +285,79 @@ def near_components(docs: DataFrame, scratch: Scratch, params: NearParams = Near
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{turn}")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        near = scratch.save(_dense(pairs, heads, percent), f"near-{turn}")
-        nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets.select("node"), "node", "left_anti")
-        wanted = scratch.save(some.join(nodes, "node"), f"wanted-{turn}")
-        more = scratch.save(_sets(docs, wanted, params), f"sets-{turn}")
-        sets = more if sets is None else sets.unionAll(more)
-        found = scratch.save(_verify(near, sets, percent), f"links-{turn}")
+        near = scratch.save(_suffix(pairs, nodes, percent), f"near-{turn}")
+        found = scratch.save(_verify(near, nodes, percent), f"links-{turn}")
+        scratch.drop(f"near-{turn}")
         links = found if links is None else links.unionAll(found)
         fresh = found.count()
         linked += fresh
-        if fresh or labels is None:
+        if fresh:
             labels = components(links, scratch, f"nodes-{turn}")
+        scratch.drop(f"live-{turn}")
+        if turn:
+            scratch.drop(f"met-{turn - 1}")
         if last:
             break
         # Pivots are for large groups: once they find little, the last join does the rest.
-        last = 20 * fresh < linked
+        last = 20 * fresh <= linked
+    return labels
 
-    # Component numbers are nodes; the result names each by its least document.
-    named = rows.join(labels, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+def near_components(docs: DataFrame, scratch: Scratch, params: NearParams = NearParams()) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) of each row of docs."""
+    spark = docs.sparkSession
+    kernel.tuned(spark)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), "text")
+    rows = scratch.save(keyed.select("doc_id", "k1", "k2", F.octet_length(text).alias("bytes")), "rows")
+    keys = scratch.save(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("bytes").alias("bytes")), "keys")
+
+    # Texts have a word in six bytes, or less; what a bucket holds is bounded by this alone.
+    total = (keys.agg(F.sum("bytes")).first()[0] or 0) // 6
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * max(2, -(-total // (parts * params.bucket_tokens)))
+    dealt = _dealt(keyed, keys, buckets, params).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    shared = scratch.save(_shared(dealt, params), "shared")
+    cut = shared.where("token is null").select("node", "k1", "k2", "n")
+
+    # Only sets that hold enough shared shingles can link; the shingles of the others go.
+    tokens = shared.where("token is not null").select("node", "token", "rarity")
+    able = tokens.groupBy("node").agg(F.count("*").alias("held")).join(cut.select("node", "n"), "node").where(f"100L * held >= {params.percent}L * n").select("node", "n")
+    listed = tokens.join(able, "node").groupBy("node", "n").agg(F.collect_list(F.struct("rarity", "token")).alias("shared"))
+    nodes = scratch.save(_nodes(listed, params), "nodes")
+    labels = _linked(nodes, scratch, params)
+
+    # A text's set, its component, and the component's least document.
+    sets = cut.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.min("n").alias("n"))
+    named = keys.drop("bytes").join(sets, ["k1", "k2"], "left")
+    if labels is None:
+        named = named.withColumn("component_id", F.lit(None).cast("long"))
+    else:
+        named = scratch.save(named.join(labels, "node", "left"), "named")
+        least = scratch.save(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+        named = join_hot(named, least, ["component"], ["k1"])
+    named = scratch.save(named.select("k1", "k2", F.when(F.col("n").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles")), "texts")
+    out = join_hot(rows, named, ["k1", "k2"], ["doc_id"])
+    return out.select("doc_id", F.col("k1").alias("text_key"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, params: NearParams = NearParams()) -> DataFrame:
-    """docs with one row of each component, that of the least id; texts without words all stay once."""
-    found = near_components(docs, scratch, params).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = scratch.save(found.groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).agg(F.count("*").alias("__n")), "keep")
+    """docs with one row of each component, that of the least id; texts without words all stay once.
+
+    Texts that surely stay don't move: a bitmap of fixed size parts them from those that an
+    exact join then decides on. A row that repeats id and text stays once.
+    """
+    found = near_components(docs, scratch, params)
+    each = found.groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).agg(F.count("*").alias("__n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__kept"))
+    asked = scratch.save(each.where("__n > 1 or not __kept"), "asked")
     plain = kernel.shielded(docs, ("doc_id", "text"))
-    joined = plain.join(keep, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")))
-    out = joined.where("__n = 1").select(plain.columns)
-    if not keep.where("__n > 1").isEmpty():  # repeated rows of one id and text
-        out = out.unionAll(joined.where("__n > 1").dropDuplicates(["__d", "__k"]).select(plain.columns))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    bits = params.bitmap_bits
+    rest, open_ = kernel.parted(plain, F.pmod(F.xxhash64("doc_id", key), F.lit(1 << bits)), asked.select(F.pmod(F.xxhash64("__d", "__k"), F.lit(1 << bits)).alias("s")), bits)
+    joined = open_.join(asked, F.col("doc_id").eqNullSafe(F.col("__d")) & (key == F.col("__k")), "left")
+    out = rest.unionAll(joined.where("__n is null").select(plain.columns))
+    if not asked.where("__kept").isEmpty():
+        out = out.unionAll(joined.where("__kept").dropDuplicates(["__d", "__k"]).select(plain.columns))
     return out.toDF(*docs.columns)
 
 

@@ -16,7 +16,8 @@ tasks which terms may be asked for; an exact join follows.
 
 Defined results: a null or empty text has no spans. Copies count as documents, but are one
 text for the support. Rows that repeat id and text get the same spans; an entity that all
-documents hold has no information and reveals nothing. Offsets count code points, ends are
+documents hold has no information and reveals nothing. Spans are listed by kind (the base
+kinds, then generalise and remove), then start. Offsets count code points, ends are
 exclusive. Terms are runs of ASCII letters, digits and non-ASCII characters, A-Z lowered.
 """
 
@@ -238,13 +239,28 @@ def spans(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) ->
     near = held.select("doc_id", "text_key", "entity", F.explode("free").alias("t")).select("doc_id", "text_key", "entity", "t.term", "t.start", "t.end")
     each = near.join(marked, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("action").alias("action"))
     text = F.concat_ws(":", "action", F.col("start").cast("string"), F.col("end").cast("string"))
-    added = each.groupBy("doc_id", "text_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", text.alias("t")))), lambda x: x["t"]), ",").alias("added"), F.count("*").alias("n_terms"))
+    added = each.groupBy("doc_id", "text_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("action", "start", text.alias("t")))), lambda x: x["t"]), ",").alias("added"), F.count("*").alias("n_terms"))
     added = added.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "added", "n_terms")
     both = found.join(added, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_key") == F.col("__k")), "left")
     listed = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "added")
     return both.select("doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"), listed.alias("spans"))
 
 
+#: The classes that terms are generalised to, the narrowest first that fits.
+_CLASSES = (
+    ("YEAR", re.compile(r"(?:19|20)[0-9]{2}")),
+    ("NUMBER", re.compile(r"[0-9]+")),
+    ("CODE", re.compile(r"(?=.*[0-9]).+")),
+    ("ACRONYM", re.compile(r"[A-Z]{2,6}")),
+    ("NAME", re.compile(r"[A-Z].*")),
+    ("WORD", re.compile(r".*")),
+)
+
+
+def _class(term: str) -> str:
+    return next(name for name, form in _CLASSES if form.fullmatch(term) or name == "NAME" and term[:1].isupper() or name == "WORD")
+
+
 def _cover(text: str, listed: str) -> str:
     """The text with each span replaced by its kind; spans that touch are replaced as one."""
     if not listed:
@@ -259,7 +275,7 @@ def _cover(text: str, listed: str) -> str:
     out, at = [], 0
     for s, e, k in merged:
         term = text[s:e]
-        kind = ("NUMBER" if term.isdigit() else "NAME" if term[:1].isupper() else "WORD") if k == "generalise" else "REMOVED" if k == "remove" else k.upper()
+        kind = _class(term) if k == "generalise" else "REMOVED" if k == "remove" else k.upper()
         out += [text[at:s], f"[{kind}]"]
         at = e
     return "".join([*out, text[at:]])
@@ -271,20 +287,8 @@ def redact(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) -
     once = scratch.save(found.groupBy("__d", "__k").agg(F.min("__spans").alias("__spans")), "asked")
     # Texts that can't be asked for don't move: a bitmap of fixed size parts them from the rest.
     plain, bits = kernel.shielded(docs, ("doc_id", "text")), 23
-    table = kernel.bitmap(once.select(F.pmod("__k", F.lit(1 << bits)).alias("s")), bits)
-    held = docs.sparkSession.sparkContext.broadcast(table)
-    slotted = plain.withColumn("__slot", F.pmod(F.xxhash64("text"), F.lit(1 << bits)))
-
-    def part(asked: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = kernel.in_bitmap(held.value, batch.column(batch.num_columns - 1).to_numpy()) == asked
-                if hit.any():
-                    yield batch.filter(pa.array(hit)).select(list(range(batch.num_columns - 1)))
-
-        return slotted.mapInArrow(run, plain.schema)
-
-    joined = part(True).join(once, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left").drop("__d", "__k")
+    rest, asked = kernel.parted(plain, F.pmod(F.xxhash64("text"), F.lit(1 << bits)), once.select(F.pmod("__k", F.lit(1 << bits)).alias("s")), bits)
+    joined = asked.join(once, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left").drop("__d", "__k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,4 +299,4 @@ def redact(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) -
                 batch = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
             yield batch.select(list(range(last)))
 
-    return joined.mapInArrow(run, plain.schema).unionAll(part(False)).toDF(*docs.columns)
+    return joined.mapInArrow(run, plain.schema).unionAll(rest).toDF(*docs.columns)
