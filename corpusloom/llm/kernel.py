@@ -7,7 +7,8 @@ polynomial over 64 bits, read from prefix sums, then mixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,22 @@ def tuned(spark) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run for mapInArrow; at its end the worker, which Spark keeps for later tasks, gives back what it freed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := _trim():
+            trim(0)
+
+    return whole
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, offsets) of runs of documents; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -161,6 +178,6 @@ def parted(docs, slot, slots, bits: int):
                 if hit.any():
                     yield batch.filter(pa.array(hit)).select(list(range(batch.num_columns - 1)))
 
-        return slotted.mapInArrow(run, schema)
+        return slotted.mapInArrow(tidy(run), schema)
 
     return part(False), part(True)

@@ -66,8 +66,8 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def assign(docs: DataFrame, scratch: Scratch, params: MixParams = MixParams()) -> DataFrame:
-    """docs with size, source_size, target and copies."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
+    """docs with size, source_size, target and copies; columns of docs with these names give way."""
+    sized = docs.drop("size", "source_size", "target", "copies", "rate", "__source").withColumn("size", word_count(F.col("text")))
     sums = scratch.save(targets(sized.select("source", "size"), params).coalesce(1), "targets").select(F.col("source").alias("__source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")

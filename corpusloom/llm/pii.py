@@ -154,7 +154,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
     inner = [pa.field("term", pa.int64()), pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("free", pa.bool_())]
     shape = [pa.field(f"n_{k}", pa.int64()) for k in KINDS] + [pa.field("base_sha256", pa.string()), pa.field("base", pa.string()), pa.field("entities", pa.list_(pa.int64()))]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, " + FOUND)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(kernel.tidy(run), "doc_id long, text_key long, " + FOUND)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
             term, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return docs.select("text").mapInArrow(kernel.tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def _holders(found: DataFrame) -> DataFrame:
@@ -299,4 +299,4 @@ def redact(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) -
                 batch = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
             yield batch.select(list(range(last)))
 
-    return joined.mapInArrow(run, plain.schema).unionAll(rest).toDF(*docs.columns)
+    return joined.mapInArrow(kernel.tidy(run), plain.schema).unionAll(rest).toDF(*docs.columns)

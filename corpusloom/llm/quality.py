@@ -1,6 +1,6 @@
 """Quality rules: fixed repetition and length rules, then a calibrated linear classifier.
 
-The classifier is a logistic regression on hashed word and byte n-grams, fitted on a
+The classifier is a logistic regression on hashed words, word pairs and character triples, fitted on a
 bounded sample of labelled rows and scored in Arrow batches. Counts are of the whole text.
 
 Defined results: a null or empty text has no words and fails the length rule. With fewer
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import kernel
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
-_MULTIPLIER = np.uint32(2654435761)
+_MULTIPLIERS = np.array([2654435761, 2246822519], np.uint32)
+_GROUPS = 3
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ class QualityParams:
 
 @dataclass(frozen=True)
 class Classifier:
-    """weights: words, then byte 4-grams; probability of good = sigmoid(slope * score + shift)."""
+    """weights: words, word pairs, character triples; probability of good = sigmoid(slope * score + shift)."""
 
     bits: int
     weights: np.ndarray = field(repr=False)
@@ -47,31 +48,27 @@ class Classifier:
     shift: float = 0.0
 
 
-def ngram_slots(data: np.ndarray, words: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature slots of the words and of the byte 4-grams, and each document's first 4-gram."""
-    of_words = (words >> np.uint64(64 - bits)).astype(np.int32)
-    count = np.maximum(np.diff(offsets) - 3, 0)
+def ngram_slots(data: np.ndarray, words: np.ndarray, word_of: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Feature slots of words, word pairs and character triples, each with every document's first one."""
+    pairs, pair_of = kernel.windows(words, word_of, 2)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    point_of = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    count = np.maximum(np.diff(point_of) - 2, 0)
     first = np.concatenate(([0], np.cumsum(count)))
-    wide = data.astype(np.uint32)
-    if len(wide) < 4:
-        return of_words, np.zeros(0, np.int32), first
-    grams = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-    within = np.ones(len(data) + 4, dtype=bool)
-    for k in (1, 2, 3):
-        within[np.maximum(offsets[1:] - k, 0)] &= offsets[1:] < k
-    grams = grams[within[: len(grams)]] if len(offsets) > 2 else grams
-    slots = (grams * _MULTIPLIER) >> np.uint32(32 - bits)
-    return of_words, slots.astype(np.int32) + (1 << bits), first
+    at = np.arange(first[-1]) + np.repeat(point_of[:-1] - first[:-1], count)
+    triples = ((points[at] * _MULTIPLIERS[0] ^ points[at + 1]) * _MULTIPLIERS[1] ^ points[at + 2]) * _MULTIPLIERS[0]
+    slot = lambda x, group, width: (x >> x.dtype.type(width - bits)).astype(np.int32) + (group << bits)
+    return [(slot(words, 0, 64), word_of), (slot(pairs, 1, 64), pair_of), (slot(triples, 2, 32), first)]
 
 
 def _features(column: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for first, last, data, offsets in kernel.slices(column):
         starts, ends, word_of = kernel.runs(~kernel.IS_SPACE[data], offsets)
         words = kernel.span_hashes(kernel.prefix_sums(data), starts, ends)
-        of_words, of_grams, gram_of = ngram_slots(data, words, offsets, bits)
+        groups = ngram_slots(data, words, word_of, offsets, bits)
         for k in range(last - first):
             slots, values = [], []
-            for found, at in ((of_words, word_of), (of_grams, gram_of)):
+            for found, at in groups:
                 seen, times = np.unique(found[at[k] : at[k + 1]], return_counts=True)
                 slots.append(seen)
                 values.append(times / max(1, at[k + 1] - at[k]))
@@ -100,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams) -> Classifier
 
     # The sample has a fixed bound of rows, so it may be broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = chosen.mapInArrow(vectors, "doc_id long, label int, slots array<int>, amounts array<float>").toArrow()
+    got = chosen.mapInArrow(kernel.tidy(vectors), "doc_id long, label int, slots array<int>, amounts array<float>").toArrow()
     got = got.take(np.argsort(got["doc_id"].to_numpy(), kind="stable"))
     label = got["label"].to_numpy().astype(np.float64)
     if not 0 < label.sum() < len(label):
@@ -110,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams) -> Classifier
     index, amount = slots.flatten().to_numpy(), got["amounts"].combine_chunks().flatten().to_numpy().astype(np.float64)
     rows = np.repeat(np.arange(len(label)), np.diff(ptr))
     held = np.arange(len(label)) % params.holdout == 0
-    size = 2 << bits
+    size = _GROUPS << bits
 
     # Scale each feature by the root of its mean, as common and rare n-grams differ by decades.
     mean = np.bincount(index, weights=amount, minlength=size) / len(label)
@@ -212,7 +209,7 @@ def assess(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPa
     fields = [f for f in docs.select(*carry).schema]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SCHEMA])
     names = [f.name for f in fields] + [part.split()[0] for part in SCHEMA.split(", ")]
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(kernel.tidy(score), schema)
 
 
 def _score_slice(data: np.ndarray, offsets: np.ndarray, model: Classifier | None, params: QualityParams) -> list[np.ndarray]:
@@ -221,9 +218,8 @@ def _score_slice(data: np.ndarray, offsets: np.ndarray, model: Classifier | None
     failed = (n < params.min_words) | (100 * counts["n_repeat_words"] > params.max_repeat_percent * n)
     probability = np.ones(len(n))
     if model is not None:
-        of_words, of_grams, gram_of = ngram_slots(data, words, offsets, model.bits)
         score = np.zeros(len(n))
-        for slots, at in ((of_words, word_of), (of_grams, gram_of)):
+        for slots, at in ngram_slots(data, words, word_of, offsets, model.bits):
             score += kernel.segment_sums(model.weights[slots].astype(np.float64), at) / np.maximum(np.diff(at), 1)
         probability = 1 / (1 + np.exp(-np.clip(model.slope * score + model.shift, -50, 50)))
     return [*(counts[k].astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed, probability, ~failed & (probability >= params.min_probability)]

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import running
+
 #: The base kinds in their order, with their patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -55,19 +57,12 @@ class SecretParams:
 
 def _placed(text: Column, pattern: str, groups: tuple[int, ...]) -> Column:
     """Array of (start, end, g) for each match; g is the length of the last of `groups`."""
-    found = F.struct(F.split(text, pattern, -1).alias("gaps"), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"m{g}") for g in groups))
-
-    def place(x: Column) -> Column:
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,g:int>>").alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["gaps"], i))
-            end = start + F.length(F.get(x["m0"], i))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.length(F.get(x[f"m{groups[-1]}"], i)).alias("g")))).alias("out"))
-
-        return F.when(F.size(x["m0"]) == 0, empty["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["m0"]) - 1), empty, step, lambda acc: acc["out"]))
-
-    return F.when(text.rlike(pattern), F.get(F.transform(F.array(found), place), F.lit(0))).otherwise(F.array().cast("array<struct<start:int,end:int,g:int>>"))
+    kind = "array<struct<start:int,end:int,g:int>>"
+    parts = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), *(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.length).alias(f"m{g}") for g in groups))
+    # The last gap has no match.
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["m0"]).alias("end"), x[f"m{groups[-1]}"].alias("g"))
+    placed = running(F.filter(parts, lambda x: x["m0"].isNotNull()), F.lit(0), lambda at, x: at + x["gap"] + x["m0"], span, kind[6:-1])
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(kind))
 
 
 def _spans(found: Column, order: int, kind: str) -> Column:
@@ -87,25 +82,42 @@ def _hot(candidate: Column, params: SecretParams) -> Column:
     n_log_n = lambda n: F.get(logs, n)
 
     def scan(x: Column) -> Column:
-        chars = x["chars"]
-        count = lambda start, length, c: F.size(F.filter(F.slice(chars, start, length), lambda y: y == c))
+        # Each character is a number in the candidate's alphabet; counts holds one count a number.
+        codes = x["codes"]
 
         def step(acc: Column, i: Column) -> Column:
-            here, gone = F.get(chars, i - 1), F.get(chars, i - wide - 1)
-            out = F.when(i > wide, count(i - wide, F.lit(wide), gone)).otherwise(0)
-            less = F.when(i > wide, n_log_n(out) - n_log_n(out - 1)).otherwise(0.0)
-            begin = F.greatest(i - wide + 1, F.lit(1))
-            held = count(begin, i - begin, here)
+            here, gone = F.get(codes, i - 1), F.when(i > wide, F.get(codes, i - wide - 1)).otherwise(-1)
+            out, held = F.get(acc["counts"], gone), F.get(acc["counts"], here)
+            held = F.when(here == gone, held - 1).otherwise(held)
+            less = F.when(gone >= 0, n_log_n(out) - n_log_n(out - 1)).otherwise(0.0)
             total = acc["s"] - less + n_log_n(held + 1) - n_log_n(held)
+            counts = F.transform(acc["counts"], lambda n, k: n + F.when(k == here, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
             # Characters since the last placeholder; a window that overlaps one does not count.
-            clear = F.when(here == " ", 0).otherwise(acc["clear"] + 1)
+            clear = F.when(here == x["blank"], 0).otherwise(acc["clear"] + 1)
             high = (clear >= wide) & (F.lit(math.log2(wide)) - total / wide >= x["bits"] - 1e-9)
-            return F.struct(total.alias("s"), clear.alias("clear"), F.when(high, F.coalesce(acc["first"], i - wide)).otherwise(acc["first"]).alias("first"), F.when(high, i).otherwise(acc["last"]).alias("last"))
+            return F.struct(total.alias("s"), counts.alias("counts"), clear.alias("clear"), F.when(high, F.coalesce(acc["first"], i - wide)).otherwise(acc["first"]).alias("first"), F.when(high, i).otherwise(acc["last"]).alias("last"))
+
+        start = F.struct(F.lit(0.0).alias("s"), x["none"].alias("counts"), F.lit(0).alias("clear"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("clear"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    bind = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    coded = lambda x: F.struct(
+        F.transform(x["chars"], lambda c: (F.array_position(x["letters"], c) - 1).cast("int")).alias("codes"),
+        (F.array_position(x["letters"], " ") - 1).cast("int").alias("blank"),
+        F.transform(x["letters"], lambda c: F.lit(0)).alias("none"),
+        bits.alias("bits"),
+    )
+    return bind(bind(bind(F.split(masked, ""), lambda c: F.struct(c.alias("chars"), F.array_distinct(c).alias("letters"))), coded), scan)
 
-    return F.get(F.transform(F.array(F.struct(F.split(masked, "").alias("chars"), bits.alias("bits"))), scan), F.lit(0))
+
+def _outside(found: Column, base: Column) -> Column:
+    """The candidates that no base span holds whole: one pass over both, in the order of their starts."""
+    kind = "struct<start:int,order:int,end:int,s:string>"
+    empty = F.lit(None).cast("string")
+    spans = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("order"), b["end"].alias("end"), empty.alias("s")))
+    asked = F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("order"), (c["start"] + F.length(c["s"])).alias("end"), c["s"].alias("s")))
+    free = running(F.array_sort(F.concat(spans, asked)), F.lit(0), lambda most, x: F.when(x["order"] == 0, F.greatest(most, x["end"])).otherwise(most), lambda most, x: F.when((x["order"] == 1) & (x["end"] > most), x), kind)
+    return F.filter(free, lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame, params: SecretParams = SecretParams(), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -126,7 +138,7 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams(), carry: tuple[st
     with_base = placed.withColumn("__base", base).drop("__t")
 
     allowed = lambda s: F.greatest(*(s.rlike(p) for p in ALLOWED[:-1]))
-    asked = F.filter("__long", lambda c: ~allowed(c["s"]) & ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["start"] + F.length(c["s"]))))
+    asked = F.when(F.size("__long") > 0, _outside(F.filter("__long", lambda c: ~allowed(c["s"])), F.col("__base")))
     hot = F.transform(asked, lambda c: F.struct(c["start"].alias("start"), _hot(c["s"], params).alias("h")))
     extra = F.transform(F.filter(hot, lambda c: c["h"]["first"].isNotNull()), lambda c: F.struct((c["start"] + c["h"]["first"]).alias("start"), F.lit(3).alias("order"), (c["start"] + c["h"]["last"]).alias("end"), F.lit("entropy").alias("kind")))
     extra = F.coalesce(extra, F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
@@ -143,11 +155,7 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams(), carry: tuple[st
 
 
 def oracle() -> str:
-    """DuckDB SQL for the query with the default parameters.
-
-    It does less than scan(): it leaves out candidates without a digit or without a letter,
-    and whole candidates that hold a placeholder.
-    """
+    """DuckDB SQL for the query with the default parameters."""
     p = SecretParams()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     kinds = (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("candidate", CANDIDATE, 0))
@@ -155,18 +163,20 @@ def oracle() -> str:
         f"select doc_id, {k} as k, '{kind}' as kind, regexp_extract_all(text, {quote(pattern)}) as m, regexp_extract_all(text, {quote(pattern)}, {group}) as g, string_split_regex(text, {quote(pattern)}) as gaps from t where regexp_matches(text, {quote(pattern)})"
         for k, (kind, pattern, group) in enumerate(kinds)
     )
-    allowed = " or ".join(f"regexp_matches(s, {quote(a)})" for a in ALLOWED)
-    bits = f"case when regexp_matches(s, '^[0-9a-fA-F]+$') then {p.hex_bits} when regexp_matches(s, '^[0-9A-Za-z]+$') then {p.alnum_bits} else {p.base64_bits} end"
+    allowed = " or ".join(f"regexp_matches(s, {quote(a)})" for a in ALLOWED[:-1])
+    bits = f"case when regexp_matches(s, '^[0-9a-fA-F]+$') then {p.hex_bits} when regexp_matches(s, '^[A-Za-z]+$') then {p.letter_bits} when regexp_matches(s, '^[0-9A-Za-z]+$') then {p.alnum_bits} else {p.base64_bits} end"
+    # A placeholder overlaps a window if the window, longer by all but one of its characters on both sides, holds it.
+    near = " or ".join(f"contains(lower(substr(s, greatest(1, i - {len(w) - 1}), least(i - 1, {len(w) - 1}) + {p.window + len(w) - 1})), '{w}')" for w in PLACEHOLDERS)
     return f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 f as ({found}),
 x as (select doc_id, k, kind, m, g, gaps, unnest(range(1, len(m) + 1)) as i from f),
 y as (select doc_id, k, kind, m[i] as s, length(g[i]) as gl, (list_sum(list_transform(gaps[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0))::BIGINT as a from x),
 b as (select doc_id, k, kind, a, a + length(s) as z from y where k = 0 and gl >= 12 or k = 1 and length(s) >= 18 or k = 2),
-c as (select doc_id, s, a, {bits} as bits from y where k = 3 and regexp_matches(s, '[0-9]') and regexp_matches(s, '[A-Za-z]') and not ({allowed})),
+c as (select doc_id, s, a, {bits} as bits from y where k = 3 and not ({allowed})),
 o as (select c.* from c where not exists (select 1 from b where b.doc_id = c.doc_id and b.a <= c.a and b.z >= c.a + length(c.s))),
 w as (select doc_id, s, a, bits, unnest(range(1, length(s) - {p.window} + 2)) as i from o),
-h as (select doc_id, a, bits, i, unnest(string_split(substr(s, i, {p.window}), '')) as ch from w),
+h as (select doc_id, a, bits, i, unnest(string_split(substr(s, i, {p.window}), '')) as ch from w where not ({near})),
 n as (select doc_id, a, bits, i, ch, count(*)::DOUBLE as n from h group by all),
 e as (select doc_id, a, bits, i from n group by doc_id, a, bits, i having -sum(n / {p.window} * log2(n / {p.window})) >= bits - 1e-9),
 q as (select doc_id, 3 as k, 'entropy' as kind, a + min(i) - 1 as p, a + max(i) - 1 + {p.window} as z from e group by doc_id, a),

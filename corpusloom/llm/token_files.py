@@ -197,7 +197,7 @@ def write(docs: DataFrame, scratch: Scratch, params: TokenFileParams = TokenFile
     order = (F.col("doc_id").asc_nulls_first(), F.col("text_key"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    return scratch.save(ordered.mapInArrow(shards, SHARD_SCHEMA), "tokens")
+    return scratch.save(ordered.mapInArrow(kernel.tidy(shards), SHARD_SCHEMA), "tokens")
 
 
 def documents(files: DataFrame, scratch: Scratch) -> DataFrame:
@@ -225,4 +225,4 @@ def documents(files: DataFrame, scratch: Scratch) -> DataFrame:
     within = Window.partitionBy("partition").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("shard_base", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(base, "partition").select("partition", "shard", (F.col("partition_base") + F.col("shard_base")).alias("base"))
     # Written, so that Spark knows its size before it chooses how to join: the shards stay where they are.
-    return files.join(scratch.save(bases, "bases"), ["partition", "shard"]).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(scratch.save(bases, "bases"), ["partition", "shard"]).mapInArrow(kernel.tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")

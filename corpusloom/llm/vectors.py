@@ -44,7 +44,7 @@ class VectorParams:
 
 
 def _signs(tables: int, width: int, size: int, seed: int) -> np.ndarray:
-    bits = kernel.mix(np.arange(tables * width * 3 * size, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+    bits = kernel.mix(np.arange(tables * width * 3 * size, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     return np.where(bits >> np.uint64(63), 1.0, -1.0).reshape(tables * width, 3, size)
 
 
@@ -128,7 +128,7 @@ def _entries(nodes: DataFrame, params: VectorParams) -> DataFrame:
                     names=["node", "label", "d", "tab", "code", "home"],
                 )
 
-    return nodes.select("node", "label", "v").mapInArrow(run, "node long, label string, d int, tab int, code long, home boolean")
+    return nodes.select("node", "label", "v").mapInArrow(kernel.tidy(run), "node long, label string, d int, tab int, code long, home boolean")
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, params: VectorParams = VectorParams()) -> DataFrame:
@@ -180,14 +180,17 @@ def _compare(params: VectorParams):
         a, b = np.nonzero(close)
         if not len(a):
             return empty
-        made = codes(unit[:, : size[0]], params)
+        # Only vectors with something close are hashed again.
+        near, place = np.unique(np.concatenate((q[a], k[b]))), np.zeros(len(node), np.int64)
+        place[near] = np.arange(len(near))
+        made = codes(unit[near, : size[0]], params)
         # A pair counts where it first meets: no earlier table, and the looker with the larger
         # node only if the other doesn't look into its bucket here.
         qa, kb = q[a], k[b]
         first = np.ones(len(a), dtype=bool)
         for t in range(tab + 1):
-            forth = (made[qa, t, :] == made[kb, t, :1]).any(axis=1)
-            back = (made[kb, t, :] == made[qa, t, :1]).any(axis=1)
+            forth = (made[place[qa], t, :] == made[place[kb], t, :1]).any(axis=1)
+            back = (made[place[kb], t, :] == made[place[qa], t, :1]).any(axis=1)
             if t < tab:
                 first &= ~(forth | back)
             else:

@@ -26,3 +26,33 @@ def test_stages(spark, small):
 def test_run_is_repeatable(spark, small):
     a, b = (sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) for _ in range(2))
     assert a and a == b
+
+
+def test_stages_of_odd_rows(spark, small, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ties pass each stage with their columns."""
+    good = read(spark, small, "documents").select("text").where("length(text) between 400 and 2000").orderBy("doc_id").limit(30)
+    texts = [r[0] for r in good.collect()]
+    rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)] + [(40, texts[0], None, None, None), (41, " ".join(texts) * 40, "en", "s1", 1)]
+    rows += [(0, texts[0], "en", "s0", len(texts[0]))] * 2 + [(50, None, "en", "s0", 0), (51, "", "en", "s0", 0), (None, texts[1], "en", "s1", 5), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    read(spark, small, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    at, scratch = read(spark, str(tmp_path), "documents"), Scratch(spark, "t")
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        made = scratch.save(stage(spark, at, str(tmp_path)), f"{number}")
+        assert made.schema.names == docs.columns, name
+        if name == "near duplicates":
+            ids = [r[0] for r in made.select("doc_id").collect()]
+            assert ids.count(0) == 1 and 40 not in ids and ids.count(1) == 1 and None not in ids
+        at = made
+    packed = corpus_pipeline.pack(spark, at, str(tmp_path)).collect()
+    assert packed and all(r["offset"] + r["length"] <= 2048 for r in packed)
+
+
+def test_run_of_empty_tables(spark, small, tmp_path):
+    for name in ("documents", "labels"):
+        read(spark, small, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    read(spark, small, "documents").write.parquet(f"{tmp_path}/x/documents.parquet")
+    read(spark, small, "labels").limit(0).write.parquet(f"{tmp_path}/x/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/x").count() > 0
