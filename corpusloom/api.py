@@ -117,14 +117,15 @@ class Corpus:
         if synonyms and self.config.synonyms:
             found = S.synonym_search(files, pattern, [list(g) for g in self.config.synonyms])
         else:
-            found = S.hits(files, S.regex(pattern) if regex else S.literal(pattern, ignore_case, whole_word))
+            # Kinds are chosen before the cap of a file.
+            found = S.hits(files, S.regex(pattern) if regex else S.literal(pattern, ignore_case, whole_word), None if kinds else S.PER_FILE_CAP)
         if kinds:
             found = X.hits_in(found, self.symbols, kinds)
         return S.ranked(S.scored(found, pattern), max or self.config.max_results).select("path", "line", "column", "score", "text")
 
     def query(self, text: str, max: int | None = None) -> DataFrame:
         """Search by query syntax: `file:*.py word -other`."""
-        return S.ranked(S.scored(S.run_query(self.files, text), " ".join(S.parse_query(text)["terms"])), max or self.config.max_results)
+        return S.ranked(S.scored(S.run_query(self.files, text, lambda: self.symbols), " ".join(S.parse_query(text)["terms"])), max or self.config.max_results)
 
     def grep(self, pattern: str, before: int = 0, after: int = 0, invert: bool = False) -> DataFrame:
         test = S.literal(pattern)
@@ -175,8 +176,8 @@ class Corpus:
         """(name, path, own, mask, is_pure): effect bits of functions from what they call, and by calls of calls."""
         own = self.references.where("source_symbol is not null").groupBy(F.col("source_symbol").alias("node")).agg(F.bit_or(M.effect_mask(F.col("referenced_name"))).alias("own"))
         functions = self.symbols.where("type in ('function', 'method')").select(F.col("symbol_id").alias("node"), "name", "path").join(own, "node", "left").na.fill(0, ["own"])
-        far = G.transitive_masks(self.calls, functions.select("node", F.col("own").alias("mask")), self.scratch)
-        return functions.join(far, "node").select("name", "path", "own", "mask", (F.col("mask") == 0).alias("is_pure"))
+        far = G.transitive_effects(self.calls, functions.select("node", F.col("own").alias("mask")), M.PROPAGATED, self.scratch)
+        return functions.join(far, "node").select("name", "path", "own", "mask", "confidence", (F.col("mask") == 0).alias("is_pure"))
 
     def code_insight(self, mode: str = "overview") -> DataFrame:
         package = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)

@@ -56,8 +56,8 @@ def usage(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Fan in, fan out and edit risk of each symbol."""
     inward = calls.groupBy(F.col("dst").alias("symbol_id")).agg(F.countDistinct("src").alias("fan_in"))
     outward = calls.groupBy(F.col("src").alias("symbol_id")).agg(F.countDistinct("dst").alias("fan_out"))
-    both = symbols.select("symbol_id").join(inward, "symbol_id", "left").join(outward, "symbol_id", "left").na.fill(0, ["fan_in", "fan_out"])
-    risk = M.edit_risk(F.col("fan_in"), F.col("fan_out"))
+    both = symbols.select("symbol_id", "name", "complexity").join(inward, "symbol_id", "left").join(outward, "symbol_id", "left").na.fill(0, ["fan_in", "fan_out"])
+    risk = M.change_impact(F.col("fan_in"), F.col("fan_out"), F.col("complexity"), F.col("name"))
     return part(both, "usage", F.concat_ws("/", F.col("fan_in").cast("string"), F.col("fan_out").cast("string")), risk)
 
 

@@ -2,7 +2,7 @@
 
 Loops join the frontier with the edges and write it to the shared folder at each round;
 they stop when nothing changes. Visited sets are anti-joins. Nothing is collected but
-counts; betweenness and communities, which are bounded by a number of nodes, run in tasks.
+counts; betweenness and communities run in tasks that hold a graph's edges, up to a bound.
 """
 
 from __future__ import annotations
@@ -91,10 +91,19 @@ def propagate_labels(edges: DataFrame, seeds: DataFrame, scratch: Scratch, decay
     return out.where("strength is not null")
 
 
-def transitive_masks(calls: DataFrame, direct: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:
-    """(node, mask): the effects of a function or any it calls, as bits."""
+def transitive_effects(calls: DataFrame, direct: DataFrame, propagated: int, scratch: Scratch, rounds: int = 100, decay: float = 0.95, floor: float = 0.3) -> DataFrame:
+    """(node, mask, confidence): the effects of a function, and those bits of `propagated` of any it calls.
+
+    A function with such an effect of its own has confidence 1; each call from it outwards
+    takes `decay`, down to the floor; the nearest counts. 0 is a mask of other effects alone.
+    """
     up = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return fixpoint(up, direct.select("node", F.col("mask").cast("long").alias("mask")), "mask", F.col("mask"), F.bit_or, scratch, rounds, "masks")
+    own = direct.select("node", F.col("mask").cast("long").alias("mask"))
+    sent = own.select("node", F.col("mask").bitwiseAND(propagated).alias("mask")).where("mask <> 0")
+    far = fixpoint(up, sent, "mask", F.col("mask"), F.bit_or, scratch, rounds, "masks")
+    near = fixpoint(up, sent.select("node", F.lit(1.0).alias("confidence")), "confidence", F.greatest(F.lit(floor), F.col("confidence") * decay), F.max, scratch, rounds, "confidence")
+    masks = own.unionByName(far).groupBy("node").agg(F.bit_or("mask").alias("mask"))
+    return masks.join(near, "node", "left").select("node", "mask", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -137,18 +146,17 @@ def _adjacency(pairs: Iterator[tuple]) -> dict:
     return out
 
 
-def betweenness(edges: DataFrame, most_nodes: int = 2000, batches: int = 32) -> DataFrame:
+def betweenness(edges: DataFrame, most_edges: int = 1_000_000, batches: int = 256) -> DataFrame:
     """(node, score): Brandes' shortest-path shares over (n-1)(n-2), in batches of sources.
 
-    Only for graphs of at most `most_nodes` nodes, whose edges each batch then holds; for
-    larger graphs there are no rows.
+    Each batch holds all edges, so a graph of more than `most_edges` is refused.
     """
     edges = edges_of(edges)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    n = nodes.count()
-    if n > most_nodes:
-        nodes = nodes.limit(0)
-    held = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).toPandas() if n <= most_nodes else pd.DataFrame({"src": [], "dst": []})
+    n, m = nodes.count(), edges.count()
+    if m > most_edges:
+        raise ValueError(f"a graph of {m} edges is over the bound of {most_edges}")
+    held = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).toPandas()
     shared = edges.sparkSession.sparkContext.broadcast(list(zip(held["src"].tolist(), held["dst"].tolist(), strict=True)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -76,13 +76,29 @@ def problematic(functions: DataFrame, top: int = 5) -> DataFrame:
     return out.where("risk >= 5").orderBy(F.col("risk").desc(), "symbol_id").limit(top)
 
 
-def debt(functions: DataFrame, top: int = 5) -> DataFrame:
-    """(file_id, functions, indebted, ratio, band): files by the share of functions with debt."""
-    bad = (F.col("complexity") > LOW) | (F.col("end_line") - F.col("line") > LONG_FUNCTION)
-    out = functions.groupBy("file_id").agg(F.count("*").alias("functions"), _count(bad).alias("indebted"))
-    ratio = F.round(F.col("indebted") / F.col("functions"), 6)
-    band = F.when(F.col("ratio") >= 0.5, "high").when(F.col("ratio") >= 0.2, "medium").otherwise("low")
-    return out.withColumn("ratio", ratio).withColumn("band", band).orderBy(F.col("ratio").desc(), "file_id").limit(top)
+# Debt is complexity or uses above these; files count with more such symbols than the third.
+DEBT_COMPLEXITY, DEBT_USES, DEBT_FILE = 15, 10, 5
+# Working time by the share of symbols with debt.
+REMEDIATION = ((0.05, "1 day"), (0.10, "1 week"), (0.20, "2 weeks"), (0.30, "1 month"))
+
+
+def _indebted() -> Column:
+    return (F.col("complexity") > DEBT_COMPLEXITY) | (F.col("fan_in") > DEBT_USES)
+
+
+def debt(symbols: DataFrame) -> DataFrame:
+    """(symbols, indebted, ratio, remediation) of all symbols: the share with debt, and the time it takes."""
+    out = symbols.agg(F.count("*").alias("symbols"), _count(_indebted()).alias("indebted"))
+    time = F.lit("3+ months")
+    for share, name in reversed(REMEDIATION):
+        time = F.when(F.col("indebted") < share * F.greatest("symbols", F.lit(1)), name).otherwise(time)
+    return out.select("symbols", "indebted", F.round(F.col("indebted") / F.greatest("symbols", F.lit(1)), 6).alias("ratio"), time.alias("remediation"))
+
+
+def debt_components(symbols: DataFrame, top: int = 5) -> DataFrame:
+    """(file_id, issues) of the files with the most symbols with debt."""
+    out = symbols.where(_indebted()).groupBy("file_id").agg(F.count("*").alias("issues")).where(F.col("issues") > DEBT_FILE)
+    return out.orderBy(F.col("issues").desc(), "file_id").limit(top)
 
 
 def coupling(edges: DataFrame) -> DataFrame:
@@ -115,20 +131,34 @@ def modules(symbols: DataFrame, depth: int = 2) -> DataFrame:
     return most.join(files, "module").select("module", "files", "functions", F.round(F.col("most") / F.col("functions"), 6).alias("cohesion"), F.round(1 / (1 + F.col("functions") / 10), 6).alias("stability"))
 
 
-# Layers by words in a path, from the top down.
-LAYERS = (("presentation", "ui|view|web|page|component"), ("api", "api|handler|controller|route|server"), ("domain", "service|domain|core|model|logic"), ("data", "db|data|store|repo|cache"))
-
-
-def layer(path: Column) -> Column:
-    out = F.lit("other")
-    for name, words in reversed(LAYERS):
-        out = F.when(T.fold(path).rlike(f"(^|[/_.-])({words})"), name).otherwise(out)
+# Layers by words in a symbol's name; what classes and functions say comes first.
+CLASS_LAYERS = (("Application Layer", "service|manager"), ("Domain Layer", "model|entity"), ("Data Layer", "repository|dao"), ("Presentation Layer", "component|view"))
+FUNCTION_LAYERS = (("Presentation Layer", "render"), ("Data Layer", "save|load"), ("Domain Layer", "validate|compute"))
+LAYERS = (
+    ("Presentation Layer", "component|view|page|screen|ui|widget|button|input|modal|dialog|layout|template|render|display"),
+    ("Application Layer", "service|manager|facade|application|app|controller|handler|command|interactor|usecase"),
+    ("Domain Layer", "domain|model|entity|aggregate|valueobject|business|logic|rule|constraint|validation"),
+    ("Data Layer", "repository|dao|dataaccess|persistence|storage|database|sql|mapper|orm"),
+    ("Infrastructure Layer", "config|adapter|driver|client|http|https|api|logger|log|metric|cache|queue|message"),
+    ("Utility Layer", "util|helper|tool|common|shared|core|base"),
+)
+# The layers that calls should go down; the others have no place among them.
+LAYERS_DOWN = ("Presentation Layer", "Application Layer", "Domain Layer", "Data Layer")
+
+
+def layer(name: Column, kind: Column) -> Column:
+    out, low = F.lit("Utility Layer"), T.fold(name)
+    for label, words in reversed(LAYERS):
+        out = F.when(low.rlike(words), label).otherwise(out)
+    for kinds, rules in ((("function", "method"), FUNCTION_LAYERS), (("class", "struct", "interface"), CLASS_LAYERS)):
+        for label, words in reversed(rules):
+            out = F.when(kind.isin(*kinds) & low.rlike(words), label).otherwise(out)
     return out
 
 
 def layer_violations(edges: DataFrame, top: int = 8) -> DataFrame:
     """(src_layer, dst_layer, n): calls from a lower layer up to a higher one."""
-    depth = lambda c: F.array_position(F.array(*(F.lit(n) for n, _ in LAYERS)), F.col(c))
+    depth = lambda c: F.array_position(F.array(*map(F.lit, LAYERS_DOWN)), F.col(c))
     up = edges.where((depth("src_layer") > depth("dst_layer")) & (depth("dst_layer") > 0))
     return up.groupBy("src_layer", "dst_layer").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "src_layer", "dst_layer").limit(top)
 
@@ -153,9 +183,10 @@ def unknown_words(names: DataFrame, known: list[str], least: int = 2, top: int =
 
 
 def importance(symbols: DataFrame, top: int) -> DataFrame:
-    """(symbol_id, score): uses, complexity and export in one number."""
-    score = F.round(2.0 * F.col("fan_in") + 0.5 * F.col("complexity") + F.when(F.col("is_exported"), 5.0).otherwise(0.0), 6)
-    return symbols.select("symbol_id", score.alias("score")).orderBy(F.col("score").desc(), "symbol_id").limit(top)
+    """(symbol_id, score): uses, raised for exports, entry points, handlers and complexity."""
+    score = F.col("fan_in").cast("double") * F.when(F.col("is_exported"), 1.5).otherwise(1.0) * F.when(F.col("name").isin("main", "Main"), 2.0).otherwise(1.0)
+    score = score * F.when(T.fold(F.col("name")).rlike("handler|controller|service"), 1.3).otherwise(1.0) * (1 + F.greatest("complexity", F.lit(0)) / 20)
+    return symbols.select("symbol_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "symbol_id").limit(top)
 
 
 def structure(files: DataFrame) -> DataFrame:
@@ -179,51 +210,75 @@ def purity_summary(effects: DataFrame) -> DataFrame:
     return effects.agg(F.count("*").alias("functions"), _count(pure).alias("pure"), F.round(_count(pure) / F.greatest(F.count("*"), F.lit(1)), 6).alias("ratio"))
 
 
-# Effect bits, and what the names of callees say about effects.
-EFFECTS = {"io": 1, "network": 2, "database": 4, "throw": 8, "concurrency": 16, "global": 32}
-EFFECT_NAMES = (("io", "print|write|read|open|close|flush|log"), ("network", "http|fetch|send|recv|dial|listen"), ("database", "query|exec|insert|select|commit"), ("throw", "throw|raise|panic|abort"), ("concurrency", "lock|unlock|spawn|go|async|await"))
+# Effect bits.
+EFFECTS = {
+    "param-write": 1 << 0, "receiver-write": 1 << 1, "global-write": 1 << 2, "closure-write": 1 << 3, "field-write": 1 << 4, "io": 1 << 5, "database": 1 << 6, "network": 1 << 7,
+    "throw": 1 << 8, "channel": 1 << 9, "async": 1 << 10, "external-call": 1 << 11, "dynamic-call": 1 << 12, "reflection": 1 << 13, "uncertain": 1 << 14, "indirect-write": 1 << 15,
+}
+# The effects that a caller has from what it calls.
+PROPAGATED = sum(EFFECTS[k] for k in ("param-write", "receiver-write", "io", "network", "database", "channel", "throw", "global-write", "uncertain", "external-call", "dynamic-call"))
+# Effects by what a callee's name starts with; the first that fits.
+EFFECT_NAMES = (
+    ("io", "print|fprint|puts|fputs|printf|fprintf|scanf|fscanf|fopen|fread|fwrite|open|close|log|logger"),
+    ("network", "send|recv|fetch|dial|listen|accept|connect|request|httpget|httppost"),
+    ("database", "query|execute|prepare|transaction|commit|rollback"),
+    ("throw", "panic|raise|throw|abort"),
+    ("dynamic-call", "eval|exec"),
+)
 
 
 def effect_mask(callee: Column) -> Column:
-    """Bits for what a callee's name starts with."""
-    out = F.lit(0).cast("long")
-    for kind, words in EFFECT_NAMES:
-        out = out.bitwiseOR(F.when(T.fold(callee).rlike(f"^({words})"), EFFECTS[kind]).otherwise(0).cast("long"))
-    return out
+    """The bit for what a callee's name starts with."""
+    out = F.lit(0)
+    for kind, words in reversed(EFFECT_NAMES):
+        out = F.when(T.fold(callee).rlike(f"^({words})"), EFFECTS[kind]).otherwise(out)
+    return out.cast("long")
+
+
+def breaking_risk(fan_in: Column, fan_out: Column) -> Column:
+    most = F.greatest(fan_in, fan_out)
+    return F.when(most > 10, "high").when(most > 3, "medium").otherwise("low")
 
 
-def edit_risk(fan_in: Column, fan_out: Column) -> Column:
-    """1 to 10 from how many use a symbol and how many it uses."""
-    inward = F.when(fan_in > 20, 6).when(fan_in > 10, 4).when(fan_in > 5, 2).when(fan_in > 0, 1).otherwise(0)
-    outward = F.when(fan_out > 15, 3).when(fan_out > 8, 2).when(fan_out > 3, 1).otherwise(0)
-    return F.least(F.lit(1) + inward + outward, F.lit(10)).cast("int")
+def change_impact(fan_in: Column, fan_out: Column, complexity: Column, name: Column) -> Column:
+    """1 to 10: from the symbols that use it and that it uses, its complexity, and whether its name is public."""
+    half = lambda c, most: F.least(F.floor(c / 2), F.lit(most))
+    score = 1 + half(fan_in, 5) + half(fan_out, 3) + F.when(complexity > 10, 2).otherwise(0) + F.when(name.rlike("^[A-Z]"), 2).otherwise(0)
+    return F.least(score, F.lit(10)).cast("int")
 
 
 def change_findings(changed: DataFrame) -> DataFrame:
-    """(symbol_id, finding, severity): complexity, length, nesting, growth and lost purity of changed symbols."""
+    """(symbol_id, finding, severity): complexity, length, nesting, growth and lost purity of changed functions."""
     n = F.col("end_line") - F.col("line")
-    growth = (F.col("complexity") - F.col("old_complexity")) / F.greatest(F.col("old_complexity"), F.lit(1))
-    mark = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("finding"), F.lit(severity).alias("severity")))
+    growth = F.floor((F.col("complexity") - F.col("old_complexity")) * 100 / F.col("old_complexity"))
+    mark = lambda when, name, severe: F.when(when, F.struct(F.lit(name).alias("finding"), F.when(severe, "critical").otherwise("warning").alias("severity")))
+    never = F.lit(False)
     found = F.array(
-        mark(F.col("complexity") > 10, "high-complexity", "warning"),
-        mark(n > 100, "long-function", "warning"),
-        mark(F.col("nesting") > 4, "deep-nesting", "warning"),
-        mark(F.col("old_complexity").isNotNull() & (growth >= 0.5), "complexity-growth", "warning"),
-        mark(F.coalesce(F.col("old_pure") & ~F.col("pure"), F.lit(False)), "purity-lost", "info"),
+        mark(F.col("complexity") > 10, "high-complexity", F.col("complexity") > 20),
+        mark(n > 100, "long-function", n > 200),
+        mark(F.col("nesting") > 4, "deep-nesting", F.col("nesting") > 6),
+        mark((F.col("old_complexity") > 0) & (F.col("complexity") > F.col("old_complexity")) & (growth >= 50), "complexity-growth", never),
+        mark(F.coalesce(F.col("old_pure") & ~F.col("pure"), never), "purity-lost", never),
     )
-    return changed.select("symbol_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("symbol_id", "f.*")
+    made = changed.where(F.col("type").isin("function", "method")).select("symbol_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
+    return made.select("symbol_id", "f.*")
 
 
-# Weight of a finding by severity.
-SEVERITY_WEIGHT = {"critical": 0.4, "warning": 0.15, "info": 0.05}
+# Weight of a finding by its kind and severity.
+FINDING_WEIGHT = {
+    "duplicate": {"critical": 0.15, "warning": 0.08, "info": 0.03},
+    "naming": {"critical": 0.10, "warning": 0.05, "info": 0.02},
+    "metrics": {"critical": 0.12, "warning": 0.06, "info": 0.02},
+}
 
 
-def change_risk(findings: DataFrame) -> DataFrame:
-    """(findings, risk): the sum of severity weights, at most 1."""
+def change_risk(findings: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(findings, risk), per group or in all, of rows (kind, severity): the sum of weights, at most 1."""
     weight = F.lit(0.0)
-    for name, value in SEVERITY_WEIGHT.items():
-        weight = F.when(F.col("severity") == name, value).otherwise(weight)
-    return findings.agg(F.count("*").alias("findings"), F.round(F.least(F.coalesce(F.sum(weight), F.lit(0.0)), F.lit(1.0)), 6).alias("risk"))
+    for kind, weights in FINDING_WEIGHT.items():
+        for severity, value in weights.items():
+            weight = F.when((F.col("kind") == kind) & (F.col("severity") == severity), value).otherwise(weight)
+    return findings.groupBy(*(group or [])).agg(F.count("*").alias("findings"), F.round(F.least(F.coalesce(F.sum(weight), F.lit(0.0)), F.lit(1.0)), 6).alias("risk"))
 
 
 def name_counts(symbols: DataFrame, top: int = 25) -> DataFrame:

@@ -51,7 +51,7 @@ def literal(pattern: str, ignore_case: bool = False, whole_word: bool = False) -
     return test
 
 
-_UNPORTABLE = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<|[*+?}]\+|\(\?>")
+_UNPORTABLE = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<|[*+?}]\+|\(\?>|\[\^?\]|\[[^\]]*(?:\[|&&)")
 
 
 def checked_regex(pattern: str) -> str | None:
@@ -66,15 +66,21 @@ def checked_regex(pattern: str) -> str | None:
 
 
 def literal_seed(pattern: str) -> str:
-    """The longest literal run of three or more characters that each match must hold, or ''."""
-    if "|" in pattern or "(?" in pattern:
+    """The longest literal run of three or more characters that each match must hold, or ''.
+
+    Only literals at the top of the parsed pattern count: what stands in a group, a class, an
+    alternative or a repetition ends a run.
+    """
+    tree = re._parser.parse(pattern)
+    if tree.state.flags & (re.IGNORECASE | re.VERBOSE):
         return ""
-    bare = re.sub(r"\\[A-Za-z0-9]", "\0", pattern)
-    bare = re.sub(r"\[[^\]]*\]|\([^)]*\)", "\0", bare)
-    bare = re.sub(r".[*?]|.\{[^}]*\}", "\0", bare)
-    bare = re.sub(r"\\(.)", r"\1", re.sub(r"[.^$+]", "\0", bare))
-    runs = [r for r in bare.split("\0") if len(r) >= 3]
-    return max(runs, key=len, default="")
+    runs = [""]
+    for kind, value in tree:
+        if kind is re._constants.LITERAL:
+            runs[-1] += chr(value)
+        else:
+            runs.append("")
+    return max((r for r in runs if len(r) >= 3), key=len, default="")
 
 
 def regex(pattern: str) -> Callable[[Column], Column]:
@@ -223,24 +229,45 @@ def parse_query(text: str) -> dict[str, list[str]]:
     return out
 
 
-def run_query(files: DataFrame, text: str) -> DataFrame:
-    """Lines for a parsed query: every term, no excluded one, in files that fit a `file:` glob."""
+def run_query(files: DataFrame, text: str, symbols: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Lines for a parsed query: every term, in files that fit a `file:` glob.
+
+    `kind:` and `symbol:` ask for the smallest symbol around the line: its type, and a part of
+    its name, whatever the case. What is excluded stands neither in the line nor in the path.
+    """
     asked = parse_query(text)
     if globs := asked.get("file", []) + asked.get("path", []):
         base = T.base_name(F.col("path"))
         files = files.where(F.greatest(*(F.col("path").rlike(T.glob_regex(g)) | base.rlike(T.glob_regex(g)) for g in globs), F.lit(False)))
     if langs := asked.get("lang"):
         files = files.where(T.language(F.col("path")).isin(langs))
+    excluded = [x.translate(str.maketrans(T.UPPER, T.LOWER)) for x in asked["excluded"]]
+    for term in excluded:
+        files = files.where(~T.fold(F.col("path")).contains(term))
 
     def test(s: Column) -> Column:
         out = F.lit(True)
         for term in asked["terms"]:
             out &= s.contains(term)
-        for term in asked["excluded"]:
-            out &= ~s.contains(term)
+        for term in excluded:
+            out &= ~T.fold(s).contains(term)
         return out
 
-    return hits(files, test, None)
+    found = hits(files, test, None)
+    kinds, names = ([x.lower() for x in asked.get(k, []) if x] for k in ("kind", "symbol"))
+    if not kinds and not names:
+        return found
+    if symbols is None:
+        raise ValueError("kind: and symbol: need the table of symbols")
+    from corpusloom.operators.symbols import enclosing
+
+    known = symbols()
+    around = enclosing(found.select("file_id", F.col("line").alias("at")).distinct(), known).join(known.select("symbol_id", T.fold(F.col("type")).alias("kind"), T.fold(F.col("name")).alias("symbol")), "symbol_id")
+    if kinds:
+        around = around.where(F.col("kind").isin(kinds))
+    if names:
+        around = around.where(F.greatest(*(F.col("symbol").contains(x) for x in names), F.lit(False)))
+    return found.join(around.select("file_id", F.col("at").alias("line")).distinct(), ["file_id", "line"], "left_semi")
 
 
 def in_scopes(files: DataFrame, scopes: list[str]) -> DataFrame:

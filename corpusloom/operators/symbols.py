@@ -48,11 +48,28 @@ def members(symbols: DataFrame, outer: str, inner: str) -> DataFrame:
     return i.join(o, ["file_id", "band"]).where("line >= a and end_line <= z").groupBy("class_id").agg(F.count("*").alias("n"))
 
 
-def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(ref_id, target_symbol): the best candidate of the name: same file, family, exported, no test, first."""
-    c = symbols.select(F.col("name").alias("referenced_name"), "symbol_id", F.col("file_id").alias("target_file"), F.col("family").alias("target_family"), "is_exported", "is_test")
-    joined = references.join(c, "referenced_name")
-    order = F.struct((F.col("file_id") != F.col("target_file")).alias("other_file"), (F.col("family") != F.col("target_family")).alias("other_family"), (~F.col("is_exported")).alias("hidden"), "is_test", "symbol_id")
+def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(ref_id, target_symbol): the best candidate of a reference's name.
+
+    `Type.name` means the symbol of that name whose receiver_type is Type; where there is none,
+    the name alone counts. A symbol of the same file comes next, then those of the same language
+    family (or of an unknown one): if the file imports the name the first, else the first
+    exported one, else the first outside tests, else the first. Other families never link.
+    """
+    dot = F.col("referenced_name").rlike("[.]")
+    asked = references.select("ref_id", "file_id", "family", F.substring_index("referenced_name", ".", -1).alias("name"), F.when(dot, F.regexp_replace("referenced_name", "[.][^.]*$", "")).alias("receiver"))
+    if imports is not None:
+        known = imports.select("file_id", F.col("imported_name").alias("name"), F.lit(True).alias("imported")).distinct()
+        asked = asked.join(known, ["file_id", "name"], "left")
+    else:
+        asked = asked.withColumn("imported", F.lit(None).cast("boolean"))
+    receiver = F.col("receiver_type") if "receiver_type" in symbols.columns else F.lit(None).cast("string")
+    c = symbols.select("name", "symbol_id", F.col("file_id").alias("target_file"), F.col("family").alias("target_family"), "is_exported", "is_test", receiver.alias("receiver_type"))
+    typed, near = F.coalesce(F.col("receiver") == F.col("receiver_type"), F.lit(False)), F.col("file_id") == F.col("target_file")
+    family, target = F.coalesce("family", F.lit("unknown")), F.coalesce("target_family", F.lit("unknown"))
+    joined = asked.join(c, "name").where(typed | near | (family == target) | (family == "unknown") | (target == "unknown"))
+    hidden = ~F.col("is_exported") & F.col("imported").isNull()
+    order = F.struct((~typed).alias("untyped"), (~near).alias("far"), hidden.alias("hidden"), (hidden & F.col("is_test")).alias("test"), "symbol_id")
     return joined.groupBy("ref_id").agg(F.min(order).alias("k")).select("ref_id", F.col("k.symbol_id").alias("target_symbol"))
 
 

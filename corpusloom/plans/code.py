@@ -17,7 +17,7 @@ SYMBOLS_SQL = """symbols as (select p_partkey as symbol_id, cast(p_partkey % 99
  'src/' || p_brand || '/' || lower(p_type) || '.go' as path from part)"""
 REFERENCES_SQL = """refs as (select l_orderkey * 10 + l_linenumber as ref_id, l_partkey as target_symbol, cast(l_orderkey % 100 as bigint) as file_id, cast(l_orderkey % 900 as bigint) as line,
  case l_returnflag when 'A' then 'import' else 'call' end as type, case l_linestatus when 'F' then 'tight' else 'loose' end as strength from lineitem)"""
-CALLS_SQL = "calls as (select distinct cast(l_suppkey as bigint) as src, cast(l_partkey % 100 + 1 as bigint) as dst from lineitem where l_orderkey % 97 = 0)"
+CALLS_SQL = "calls as (select distinct cast(l_suppkey as bigint) as src, cast(l_partkey % 100 + 1 as bigint) as dst from lineitem)"
 
 
 def symbols(spark, sf):
@@ -39,7 +39,7 @@ def references(spark, sf):
 
 
 def calls(spark, sf):
-    return read(spark, sf, "lineitem").where("l_orderkey % 97 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
+    return read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
 
 
 # Names
@@ -132,9 +132,9 @@ def d12_similar_documents(spark, sf):
     return D.similar_pairs(left, right, 0.3)
 
 
-@query(None)
+@query("with n as (select distinct p_type as type, p_name as name from part) select a.type, a.name as a, b.name as b, round(jaro_winkler_similarity(a.name, b.name), 6) as score from n a join n b on a.type = b.type and a.name < b.name where jaro_winkler_similarity(a.name, b.name) >= 0.9")
 def d13_similar_names(spark, sf):
-    return D.similar_names(read(spark, sf, "part").select(F.col("p_type").alias("type"), F.col("p_name").alias("name")))
+    return D.similar_names(read(spark, sf, "part").select(F.col("p_type").alias("type"), F.col("p_name").alias("name"))).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {NAMES_SQL}, w as (select unnest({SPLIT}) as word from names), c as (select word, count(*)::bigint as n from w group by word) select v.short, v.long, a.n as n_short, b.n as n_long from (values ('xml', 'widget'), ('v', 'parser'), ('zz', 'customer')) v(short, long) join c a on a.word = v.short join c b on b.word = v.long")
@@ -174,12 +174,20 @@ def d06_methods_in_classes(spark, sf):
     return Y.members(symbols(spark, sf), "class", "method")
 
 
-@query(f"""with {SYMBOLS_SQL}, asked as (select s_suppkey as ref_id, 'red widget' as referenced_name, cast(s_suppkey % 100 as bigint) as file_id, 'go' as family from supplier),
-r as (select a.ref_id, s.symbol_id, row_number() over (partition by a.ref_id order by a.file_id <> s.file_id, a.family <> s.family, not s.is_exported, s.is_test, s.symbol_id) as k from asked a join symbols s on s.name = a.referenced_name)
+ASKED_SQL = """asked as (select s_suppkey as ref_id, case when s_suppkey % 3 = 0 then 'T' || (s_suppkey % 70) || '.red widget' else 'red widget' end as referenced_name, 'red widget' as bare, case when s_suppkey % 3 = 0 then 'T' || (s_suppkey % 70) end as receiver,
+ s_suppkey % 100 as file_id, ['go', 'unknown', 'zig', 'rust'][s_suppkey % 4 + 1] as family, s_suppkey % 100 in (select s_suppkey % 100 from supplier where s_suppkey % 5 = 0) as imported from supplier)"""
+
+
+@query(f"""with {SYMBOLS_SQL}, {ASKED_SQL}, c as (select a.*, s.symbol_id, coalesce('T' || (s.symbol_id % 50) = a.receiver, false) as typed, a.file_id = s.file_id as near, s.is_exported, s.is_test, s.family as target_family from asked a join symbols s on s.name = a.bare),
+r as (select ref_id, symbol_id, row_number() over (partition by ref_id order by not typed, not near, not imported and not is_exported, not imported and not is_exported and is_test, symbol_id) as k from c where typed or near or family = target_family or family = 'unknown')
 select ref_id, symbol_id as target_symbol from r where k = 1""")
 def d07_resolved_references(spark, sf):
-    asked = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("ref_id"), F.lit("red widget").alias("referenced_name"), (F.col("s_suppkey") % 100).alias("file_id"), F.lit("go").alias("family"))
-    return Y.resolve(asked, symbols(spark, sf))
+    k, s = F.col("s_suppkey"), symbols(spark, sf)
+    receiver = F.when(k % 3 == 0, F.concat(F.lit("T"), (k % 70).cast("string"), F.lit(".")))
+    family = F.element_at(F.array(*map(F.lit, ("go", "unknown", "zig", "rust"))), (k % 4 + 1).cast("int"))
+    asked = read(spark, sf, "supplier").select(k.alias("ref_id"), F.concat(F.coalesce(receiver, F.lit("")), F.lit("red widget")).alias("referenced_name"), (k % 100).alias("file_id"), family.alias("family"))
+    imports = read(spark, sf, "supplier").where("s_suppkey % 5 = 0").select((k % 100).alias("file_id"), F.lit("red widget").alias("imported_name"))
+    return Y.resolve(asked, s.withColumn("receiver_type", F.concat(F.lit("T"), (F.col("symbol_id") % 50).cast("string"))), imports)
 
 
 @query(f"with {REFERENCES_SQL} select target_symbol, count(*)::bigint as uses, count(distinct file_id)::bigint as files, count(case when strength = 'tight' then 1 end)::bigint as tight from refs where type <> 'import' group by target_symbol")
@@ -245,9 +253,14 @@ def e02_health(spark, sf):
     return M.health(functions(spark, sf))
 
 
-@query(f"with {SYMBOLS_SQL} select file_id, count(*)::bigint as functions, count(case when complexity > 10 or end_line - line > 50 then 1 end)::bigint as indebted, round(count(case when complexity > 10 or end_line - line > 50 then 1 end)::double / count(*), 6) as ratio, case when count(case when complexity > 10 or end_line - line > 50 then 1 end)::double / count(*) >= 0.5 then 'high' when count(case when complexity > 10 or end_line - line > 50 then 1 end)::double / count(*) >= 0.2 then 'medium' else 'low' end as band from symbols where type <> 'class' group by file_id order by ratio desc, file_id limit 5")
+@query(f"with {SYMBOLS_SQL}, d as (select count(*)::bigint as symbols, count(case when complexity > 15 or fan_in > 10 then 1 end)::bigint as indebted from symbols) select symbols, indebted, round(indebted::double / symbols, 6) as ratio, case when indebted < 0.05 * symbols then '1 day' when indebted < 0.10 * symbols then '1 week' when indebted < 0.20 * symbols then '2 weeks' when indebted < 0.30 * symbols then '1 month' else '3+ months' end as remediation from d")
 def e03_debt(spark, sf):
-    return M.debt(functions(spark, sf))
+    return M.debt(symbols(spark, sf))
+
+
+@query(f"with {SYMBOLS_SQL} select file_id, count(*)::bigint as issues from symbols where complexity > 15 or fan_in > 10 group by file_id having count(*) > 5 order by issues desc, file_id limit 5")
+def e03_debt_components(spark, sf):
+    return M.debt_components(symbols(spark, sf))
 
 
 @query(f"with {SYMBOLS_SQL} select symbol_id, name, complexity, greatest(end_line - line, 1) as lines, round(least(0.7 * complexity + 0.03 * greatest(end_line - line, 1), 10.0), 6)::double as risk from symbols where type <> 'class' and (complexity > 10 or end_line - line > 50)")
@@ -304,10 +317,20 @@ def e10_modules(spark, sf):
     return M.modules(symbols(spark, sf))
 
 
-@query(f"with {FILES_SQL} select case file_id % 4 when 0 then 'api' when 1 then 'domain' when 2 then 'data' else 'other' end as layer, count(*)::bigint as files, sum(size)::bigint as bytes from files group by 1")
+WORDS = ("OrderService", "user_model", "loadAll", "renderList", "HttpClient", "validateInput", "sqlMapper", "x", "PageView", "computeLog")
+LAYERED_SQL = f"layered as (select *, {list(WORDS)!r}[symbol_id % 10 + 1] as word from symbols)"
+LAYER_SQL = """case when type in ('class', 'struct', 'interface') and (w like '%service%' or w like '%manager%') then 'Application Layer' when type in ('class', 'struct', 'interface') and (w like '%model%' or w like '%entity%') then 'Domain Layer'
+ when type in ('class', 'struct', 'interface') and (w like '%repository%' or w like '%dao%') then 'Data Layer' when type in ('class', 'struct', 'interface') and (w like '%component%' or w like '%view%') then 'Presentation Layer'
+ when type in ('function', 'method') and w like '%render%' then 'Presentation Layer' when type in ('function', 'method') and (w like '%save%' or w like '%load%') then 'Data Layer' when type in ('function', 'method') and (w like '%validate%' or w like '%compute%') then 'Domain Layer'
+ when regexp_matches(w, 'component|view|page|screen|ui|widget|button|input|modal|dialog|layout|template|render|display') then 'Presentation Layer' when regexp_matches(w, 'service|manager|facade|app|controller|handler|command|interactor|usecase') then 'Application Layer'
+ when regexp_matches(w, 'domain|model|entity|aggregate|valueobject|business|logic|rule|constraint|validation') then 'Domain Layer' when regexp_matches(w, 'repository|dao|dataaccess|persistence|storage|database|sql|mapper|orm') then 'Data Layer'
+ when regexp_matches(w, 'config|adapter|driver|client|http|api|log|metric|cache|queue|message') then 'Infrastructure Layer' else 'Utility Layer' end"""
+
+
+@query(f"with {SYMBOLS_SQL}, {LAYERED_SQL} select {LAYER_SQL} as layer, type, count(*)::bigint as symbols from (select *, lower(word) as w from layered) group by 1, 2")
 def e11_layers(spark, sf):
-    path = F.element_at(F.array(*map(F.lit, ("x/handlers/a.go", "x/service/b.go", "x/store.go", "x/y.go"))), (F.col("file_id") % 4 + 1).cast("int"))
-    return files(spark, sf).groupBy(M.layer(path).alias("layer")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("symbol_id") % 10 + 1).cast("int"))
+    return symbols(spark, sf).groupBy(M.layer(word, F.col("type")).alias("layer"), "type").agg(F.count("*").alias("symbols"))
 
 
 @query(f"with {NAMES_SQL}, w as (select unnest({SPLIT}) as word from names), d as (select v.domain, count(distinct w.word)::bigint as terms, count(*)::bigint as n from w join (values ('paint', 'red'), ('paint', 'blue'), ('text', 'xml'), ('text', 'parser')) v(domain, word) on v.word = w.word group by 1) select *, round(least(1.0, log10(n + 1) / 3), 6) as confidence from d")
@@ -320,9 +343,10 @@ def e13_unknown_words(spark, sf):
     return M.unknown_words(names(spark, sf), ["widget", "customer", "red"])
 
 
-@query(f"with {SYMBOLS_SQL} select symbol_id, round(2.0 * fan_in + 0.5 * complexity + case when is_exported then 5.0 else 0.0 end, 6)::double as score from symbols order by score desc, symbol_id limit 20")
+@query(f"with {SYMBOLS_SQL}, {LAYERED_SQL} select symbol_id, round(fan_in::double * case when is_exported then 1.5 else 1.0 end * case when word in ('main', 'Main') then 2.0 else 1.0 end * case when regexp_matches(lower(word), 'handler|controller|service') then 1.3 else 1.0 end * (1 + complexity / 20.0::double), 6) as score from layered order by score desc, symbol_id limit 20")
 def e14_critical_functions(spark, sf):
-    return M.importance(symbols(spark, sf), 20)
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("symbol_id") % 10 + 1).cast("int"))
+    return M.importance(symbols(spark, sf).withColumn("name", word), 20)
 
 
 @query(f"with {FILES_SQL} select case file_id % 5 when 0 then 'py' when 1 then 'md' when 2 then 'json' when 3 then 'go' else 'bin' end as extension, case file_id % 5 when 0 then 'code' when 1 then 'documentation' when 2 then 'config' when 3 then 'test' else 'unknown' end as category, count(*)::bigint as files, 3::bigint as depth from files group by 1, 2")
@@ -351,16 +375,37 @@ def e27_top_symbols(spark, sf):
     return Y.reference_stats(references(spark, sf)).select("target_symbol", "uses").orderBy(F.col("uses").desc(), "target_symbol").limit(10)
 
 
-@query(f"""with {SYMBOLS_SQL}, f as (select symbol_id, 'high-complexity' as finding, 'warning' as severity from symbols where complexity > 10 union all select symbol_id, 'long-function', 'warning' from symbols where end_line - line > 100
-union all select symbol_id, 'complexity-growth', 'warning' from symbols where (complexity - fan_in) / greatest(fan_in, 1)::double >= 0.5 union all select symbol_id, 'purity-lost', 'info' from symbols where is_exported and is_test) select * from f""")
+FINDINGS_SQL = """f as (select symbol_id, 'high-complexity' as finding, case when complexity > 20 then 'critical' else 'warning' end as severity from symbols where complexity > 10 and type in ('function', 'method')
+union all select symbol_id, 'long-function', case when end_line - line > 200 then 'critical' else 'warning' end from symbols where end_line - line > 100 and type in ('function', 'method')
+union all select symbol_id, 'deep-nesting', case when fan_in % 9 > 6 then 'critical' else 'warning' end from symbols where fan_in % 9 > 4 and type in ('function', 'method')
+union all select symbol_id, 'complexity-growth', 'warning' from symbols where fan_in > 0 and complexity > fan_in and floor((complexity - fan_in) * 100.0 / fan_in) >= 50 and type in ('function', 'method')
+union all select symbol_id, 'purity-lost', 'warning' from symbols where is_exported and is_test and type in ('function', 'method'))"""
+
+
+@query(f"with {SYMBOLS_SQL}, {FINDINGS_SQL} select * from f")
 def m15_change_findings(spark, sf):
     s = symbols(spark, sf)
-    return M.change_findings(s.select("*", F.lit(0).alias("nesting"), F.col("fan_in").alias("old_complexity"), F.col("is_exported").alias("old_pure"), (~F.col("is_test")).alias("pure")))
+    return M.change_findings(s.select("*", (F.col("fan_in") % 9).alias("nesting"), F.col("fan_in").alias("old_complexity"), F.col("is_exported").alias("old_pure"), (~F.col("is_test")).alias("pure")))
+
+
+@query(f"with {SYMBOLS_SQL}, g as (select ['duplicate', 'naming', 'metrics'][symbol_id % 3 + 1] as kind, ['critical', 'warning', 'info'][complexity % 3 + 1] as severity, file_id from symbols), w as (select file_id, case kind when 'duplicate' then case severity when 'critical' then 0.15 when 'warning' then 0.08 else 0.03 end when 'naming' then case severity when 'critical' then 0.10 when 'warning' then 0.05 else 0.02 end else case severity when 'critical' then 0.12 when 'warning' then 0.06 else 0.02 end end::double as weight from g) select file_id, count(*)::bigint as findings, round(least(sum(weight), 1.0), 6) as risk from w group by file_id")
+def e23_change_risk(spark, sf):
+    pick = lambda words, c: F.element_at(F.array(*map(F.lit, words)), (F.col(c) % 3 + 1).cast("int"))
+    found = symbols(spark, sf).select("file_id", pick(("duplicate", "naming", "metrics"), "symbol_id").alias("kind"), pick(("critical", "warning", "info"), "complexity").alias("severity"))
+    return M.change_risk(found, ["file_id"])
+
+
+@query(f"with {SYMBOLS_SQL}, {LAYERED_SQL} select symbol_id, least(1 + least(fan_in // 2, 5) + least(methods // 2, 3) + case when complexity > 10 then 2 else 0 end + case when regexp_matches(word, '^[A-Z]') then 2 else 0 end, 10)::bigint as impact, case when fan_in > 10 or methods > 10 then 'high' when fan_in > 3 or methods > 3 then 'medium' else 'low' end as breaking_risk from layered")
+def h23_change_impact(spark, sf):
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("symbol_id") % 10 + 1).cast("int"))
+    s = symbols(spark, sf)
+    return s.select("symbol_id", M.change_impact(F.col("fan_in"), F.col("methods"), F.col("complexity"), word).cast("long").alias("impact"), M.breaking_risk(F.col("fan_in"), F.col("methods")).alias("breaking_risk"))
 
 
-@query(f"with {SYMBOLS_SQL} select symbol_id, least(1 + case when fan_in > 20 then 6 when fan_in > 10 then 4 when fan_in > 5 then 2 when fan_in > 0 then 1 else 0 end + case when methods > 15 then 3 when methods > 8 then 2 when methods > 3 then 1 else 0 end, 10) as risk from symbols")
-def h23_edit_risk(spark, sf):
-    return symbols(spark, sf).select("symbol_id", M.edit_risk(F.col("fan_in"), F.col("methods")).alias("risk"))
+@query("with n as (select unnest(['printAll', 'fopen', 'logger', 'sendMail', 'HTTPGet', 'recvFrom', 'queryRows', 'execute', 'exec', 'evalExpr', 'panicNow', 'Raise', 'compute', 'closeAll', 'acceptOne', 'rollback']) as name) select name, case when regexp_matches(lower(name), '^(print|fprint|puts|fputs|printf|fprintf|scanf|fscanf|fopen|fread|fwrite|open|close|log|logger)') then 32 when regexp_matches(lower(name), '^(send|recv|fetch|dial|listen|accept|connect|request|httpget|httppost)') then 128 when regexp_matches(lower(name), '^(query|execute|prepare|transaction|commit|rollback)') then 64 when regexp_matches(lower(name), '^(panic|raise|throw|abort)') then 256 when regexp_matches(lower(name), '^(eval|exec)') then 4096 else 0 end::bigint as mask from n")
+def h17_effects_of_names(spark, sf):
+    names = ("printAll", "fopen", "logger", "sendMail", "HTTPGet", "recvFrom", "queryRows", "execute", "exec", "evalExpr", "panicNow", "Raise", "compute", "closeAll", "acceptOne", "rollback")
+    return spark.createDataFrame([(n,) for n in names], "name string").select("name", M.effect_mask(F.col("name")).alias("mask"))
 
 
 # Graphs
@@ -377,11 +422,12 @@ def d15_call_tree(spark, sf, calls=calls):
     return G.walk(calls(spark, sf), seeds, Scratch(spark, "walk"), 4)
 
 
-SPARSE_SQL = "calls as (select distinct cast(o_orderkey % 200 as bigint) as src, cast(o_custkey % 200 as bigint) as dst from orders where o_orderkey % 83 = 0)"
+#: Each customer calls one of a quarter of its number: trees of as many nodes that lead to a few cycles.
+SPARSE_SQL = "calls as (select distinct c_custkey as src, c_custkey // 4 + c_nationkey % 5 + 1 as dst from customer)"
 
 
 def sparse_calls(spark, sf):
-    return read(spark, sf, "orders").where("o_orderkey % 83 = 0").select((F.col("o_orderkey") % 200).alias("src"), (F.col("o_custkey") % 200).alias("dst")).distinct()
+    return read(spark, sf, "customer").selectExpr("c_custkey as src", "c_custkey div 4 + c_nationkey % 5 + 1 as dst").distinct()
 
 
 CLOSURE = f"recursive {SPARSE_SQL}, t as (select src, dst from calls union select t.src, c.dst from t join calls c on t.dst = c.src)"
@@ -404,17 +450,17 @@ def f06_label_propagation(spark, sf, calls=sparse_calls):
     return G.propagate_labels(edges, seeds, Scratch(spark, "labels"))
 
 
-@query(f"with {CLOSURE}, n as (select src as node from calls union select dst from calls), m as (select node, cast(1 << (node % 6) as bigint) as mask from n where node % 5 = 0), x as (select t.src as node, m.mask from t join m on m.node = t.dst union all select node, mask from m) select node, bit_or(mask) as mask from x group by node")
+@query(f"with {CLOSURE}, n as (select src as node from calls union select dst from calls), m as (select node, cast(1 << (node % 6) as bigint) as mask from n where node % 5 = 0), x as (select t.src as node, m.mask & 24039 as mask from t join m on m.node = t.dst union all select node, mask from m), k as (select node, bit_or(mask) as mask from x group by node), w as (select node, 0 as d from m where mask & 24039 <> 0 union select c.src, w.d + 1 from w join calls c on c.dst = w.node where w.d < 40), f as (select node, round(greatest(0.3, pow(0.95, min(d))), 6) as confidence from w group by node) select k.node, k.mask, coalesce(f.confidence, 0.0)::double as confidence from k left join f on f.node = k.node where k.mask <> 0")
 def f07_transitive_effects(spark, sf, calls=sparse_calls):
     edges = calls(spark, sf)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     direct = nodes.where("node % 5 = 0").select("node", F.expr("shiftleft(1L, cast(node % 6 as int))").alias("mask"))
-    return G.transitive_masks(edges, direct, Scratch(spark, "masks"))
+    return G.transitive_effects(edges, direct, M.PROPAGATED, Scratch(spark, "masks")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"with {CALLS_SQL}, l as (select ['presentation', 'api', 'domain', 'data'] as names) select names[src % 4 + 1] as src_layer, names[dst % 4 + 1] as dst_layer, count(*)::bigint as n from calls, l where src % 4 > dst % 4 group by 1, 2 order by n desc, 1, 2 limit 8")
+@query(f"with {CALLS_SQL}, l as (select ['Presentation Layer', 'Application Layer', 'Domain Layer', 'Data Layer'] as names) select names[src % 4 + 1] as src_layer, names[dst % 4 + 1] as dst_layer, count(*)::bigint as n from calls, l where src % 4 > dst % 4 group by 1, 2 order by n desc, 1, 2 limit 8")
 def f08_layer_violations(spark, sf, calls=calls):
-    name = lambda c: F.element_at(F.array(*(F.lit(n) for n, _ in M.LAYERS)), (F.col(c) % 4 + 1).cast("int"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, M.LAYERS_DOWN)), (F.col(c) % 4 + 1).cast("int"))
     return M.layer_violations(calls(spark, sf).select(name("src").alias("src_layer"), name("dst").alias("dst_layer")))
 
 
@@ -428,7 +474,7 @@ def f05_communities(spark, sf, calls=sparse_calls):
     return G.communities(calls(spark, sf)).select("node", "community")
 
 
-@query("with e as (select distinct cast(o_orderkey % 200 as bigint) as src, cast(o_custkey % 200 as bigint) as dst from orders where o_orderkey % 83 = 0), n as (select src % 7 as ca, dst % 7 as cb from e), d as (select c, count(*) as d from (select ca as c from n union all select cb from n) group by c), i as (select ca as c, count(*) as i from n where ca = cb group by ca), m as (select count(*)::double as m from e) select round(sum(coalesce(i, 0) / m - (d / (2 * m)) * (d / (2 * m))), 9) as modularity from d left join i on i.c = d.c, m")
+@query(f"with {SPARSE_SQL}, e as (select src, dst from calls), n as (select src % 7 as ca, dst % 7 as cb from e), d as (select c, count(*) as d from (select ca as c from n union all select cb from n) group by c), i as (select ca as c, count(*) as i from n where ca = cb group by ca), m as (select count(*)::double as m from e) select round(sum(coalesce(i, 0) / m - (d / (2 * m)) * (d / (2 * m))), 9) as modularity from d left join i on i.c = d.c, m")
 def f05_modularity(spark, sf, calls=sparse_calls):
     edges = calls(spark, sf)
     member = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node") % 7)

@@ -24,7 +24,7 @@ def l04_siblings(spark, sf):
     return C.context(symbols(spark, sf), calls(spark, sf), ["siblings"]).select("symbol_id", "name", "detail")
 
 
-@query(f"with {SYMBOLS_SQL}, {CALLS_SQL}, i as (select dst as symbol_id, count(distinct src) as n from calls group by 1), o as (select src as symbol_id, count(distinct dst) as n from calls group by 1), b as (select s.symbol_id, coalesce(i.n, 0) as a, coalesce(o.n, 0) as z from symbols s left join i on i.symbol_id = s.symbol_id left join o on o.symbol_id = s.symbol_id) select symbol_id, a::varchar || '/' || z::varchar as name, least(1 + case when a > 20 then 6 when a > 10 then 4 when a > 5 then 2 when a > 0 then 1 else 0 end + case when z > 15 then 3 when z > 8 then 2 when z > 3 then 1 else 0 end, 10)::varchar as detail from b")
+@query(f"with {SYMBOLS_SQL}, {CALLS_SQL}, i as (select dst as symbol_id, count(distinct src) as n from calls group by 1), o as (select src as symbol_id, count(distinct dst) as n from calls group by 1), b as (select s.symbol_id, s.complexity, s.name as word, coalesce(i.n, 0) as a, coalesce(o.n, 0) as z from symbols s left join i on i.symbol_id = s.symbol_id left join o on o.symbol_id = s.symbol_id) select symbol_id, a::varchar || '/' || z::varchar as name, least(1 + least(a // 2, 5) + least(z // 2, 3) + case when complexity > 10 then 2 else 0 end + case when regexp_matches(word, '^[A-Z]') then 2 else 0 end, 10)::varchar as detail from b")
 def l13_usage(spark, sf, calls=calls):
     return C.context(symbols(spark, sf), calls(spark, sf), ["usage"]).select("symbol_id", "name", "detail")
 
@@ -35,13 +35,13 @@ def d16_type_hierarchy(spark, sf, calls=sparse_calls):
     return C.hierarchy(edges, edges.agg(F.min("src")).first()[0], Scratch(spark, "types"))
 
 
-@query(f"""with {SYMBOLS_SQL}, {CALLS_SQL}, e as (select s_suppkey as entry, s_suppkey as symbol_id from supplier where s_suppkey % 10 = 1),
+@query(f"""with {SYMBOLS_SQL}, {CALLS_SQL}, e as (select s_suppkey as entry, s_suppkey as symbol_id from supplier),
 a as (select entry, symbol_id, 0 as rank, 'self' as relation from e union all select e.entry, c.dst, 1, 'callee' from e join calls c on c.src = e.symbol_id union all select e.entry, c.src, 2, 'caller' from e join calls c on c.dst = e.symbol_id),
 m as (select entry, symbol_id, min(rank) as rank from a group by 1, 2), p as (select m.*, greatest(s.end_line - s.line, 1) * 10 as cost from m join symbols s on s.symbol_id = m.symbol_id),
 u as (select *, sum(cost) over (partition by entry order by rank, symbol_id rows unbounded preceding)::bigint as used from p)
 select entry, symbol_id, case rank when 0 then 'self' when 1 then 'callee' else 'caller' end as relation, used from u where used <= 3000""")
-def f12_manifest_expansion(spark, sf, calls=calls, asked="s_suppkey % 10 = 1"):
-    entries = read(spark, sf, "supplier").where(asked).select(F.col("s_suppkey").alias("entry"), F.col("s_suppkey").alias("symbol_id"))
+def f12_manifest_expansion(spark, sf, calls=calls):
+    entries = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("entry"), F.col("s_suppkey").alias("symbol_id"))
     return C.expand_manifest(entries, symbols(spark, sf), calls(spark, sf), 3000)
 
 

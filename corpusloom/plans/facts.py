@@ -26,7 +26,7 @@ def h29_production_files(spark, sf):
     return files(spark, sf).where(X.is_production(F.col("path"))).select("path")
 
 
-KIND_SQL = f"{LINES_SQL}, {SYMBOLS_SQL}, h as (select file_id, line from lines where contains(text, 'tion')), j as (select h.file_id, h.line, s.type, row_number() over (partition by h.file_id, h.line order by s.end_line - s.line, s.line, s.symbol_id) as k from h join symbols s on s.file_id = h.file_id and h.line between s.line and s.end_line)"
+KIND_SQL = f"{LINES_SQL}, {SYMBOLS_SQL}, h as (select file_id, line from lines where contains(text, 'tion')), j as (select h.file_id, h.line, s.type, s.symbol_id, row_number() over (partition by h.file_id, h.line order by s.end_line - s.line, s.line, s.symbol_id) as k from h join symbols s on s.file_id = h.file_id and h.line between s.line and s.end_line)"
 
 
 @query(f"with {KIND_SQL} select file_id, line from j where k = 1 and type = 'method'")
@@ -34,12 +34,17 @@ def c17_hits_in_methods(spark, sf):
     return X.hits_in(S.hits(files(spark, sf), S.literal("tion"), None).select("file_id", "line"), symbols(spark, sf), ["method"])
 
 
+@query(f"with {KIND_SQL} select j.file_id, j.line from j join symbols s on s.symbol_id = j.symbol_id where k = 1 and j.type in ('method', 'class') and contains(lower(s.name), 'red')")
+def c28_kind_and_symbol(spark, sf):
+    return S.run_query(files(spark, sf), "kind:Method kind:class symbol:RED tion", lambda: symbols(spark, sf)).select("file_id", "line")
+
+
 @query(f"with {KIND_SQL} select h.file_id, h.line from h where not exists (select 1 from j where j.file_id = h.file_id and j.line = h.line)")
 def c30_top_level_hits(spark, sf):
     return X.hits_in(S.hits(files(spark, sf), S.literal("tion"), None).select("file_id", "line"), symbols(spark, sf), ["top-level"])
 
 
-@query(f"with {LINES_SQL} select path, line, (70.0 + {BOOST_SQL} + {0.5 * T.pattern_complexity('th.*tion')}) * 0.7 as score from lines where regexp_matches(text, 'th.*tion')")
+@query(f"with {LINES_SQL} select path, line, (70.0 + {BOOST_SQL} + 4.0) * 0.7 as score from lines where regexp_matches(text, 'th.*tion')")
 def c19_regex_fallback(spark, sf):
     return X.with_fallback(files(spark, sf), "th.*tion")
 
@@ -63,9 +68,9 @@ def f09_load_bearing(spark, sf, calls=sparse_calls):
     return X.load_bearing(calls(spark, sf), Scratch(spark, "bearing"))
 
 
-@query(f"with recursive {SPARSE_SQL}, e as (select distinct src, dst from calls where src < dst), n as (select src as node from e union select dst from e), w as (select node, 0 as depth from n where node not in (select dst from e) union select e.dst, w.depth + 1 from w join e on e.src = w.node) select node, max(depth) as depth from w group by node")
+@query(f"with recursive {SPARSE_SQL}, e as (select distinct src, dst from calls where src > dst), n as (select src as node from e union select dst from e), w as (select node, 0 as depth from n where node not in (select dst from e) union select e.dst, w.depth + 1 from w join e on e.src = w.node) select node, max(depth) as depth from w group by node")
 def f10_dependency_depth(spark, sf, calls=sparse_calls):
-    return X.dependency_depth(calls(spark, sf).where("src < dst"), Scratch(spark, "depth"))
+    return X.dependency_depth(calls(spark, sf).where("src > dst"), Scratch(spark, "depth"))
 
 
 @query(f"with {SYMBOLS_SQL} select symbol_id, case when is_exported then 'exported ' else '' end || type || ' ' || name || ' of complexity ' || complexity::varchar || ' used by ' || fan_in::varchar as summary from symbols")

@@ -7,7 +7,9 @@ from corpusloom.operators import search as S
 from corpusloom.plans.registry import BOOST_SQL, CATEGORY_SQL, FILES_SQL, LINES_SQL, PAGES_SQL, files, pages, query
 
 # Score of a literal in SQL: base - no symbol + category + half the complexity.
-SCORE = lambda p: f"70.0 + {BOOST_SQL} + {0.5 * T.pattern_complexity(p)}"
+#: Complexity of the patterns asked for: characters, 2 for each camel hump, 1 for each underscore or digit.
+COMPLEXITY = {"edth": 4, "the ": 4, "tion": 4}
+SCORE = lambda p: f"70.0 + {BOOST_SQL} + {0.5 * COMPLEXITY[p]}"
 FOLD = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -138,7 +140,12 @@ def c27_seeded_regex(spark, sf):
     return S.hits(files(spark, sf), S.regex("inter[a-z]* .nd"), None).select("file_id", "line")
 
 
-@query(f"with {LINES_SQL} select file_id, line, text from lines where path like '%.py' and contains(text, 'tion') and contains(text, 'that') and not contains(text, 'edth')")
+@query(f"with {LINES_SQL} select file_id, line from lines where regexp_matches(text, '((abc)?inter)?[a-z]* that|\\x74hat$')")
+def c27_nested_groups(spark, sf):
+    return S.hits(files(spark, sf), S.regex(r"((abc)?inter)?[a-z]* that|\x74hat$"), None).select("file_id", "line")
+
+
+@query(f"with {LINES_SQL} select file_id, line, text from lines where path like '%.py' and contains(text, 'tion') and contains(text, 'that') and not contains(lower(text), 'edth') and not contains(lower(path), 'edth')")
 def c28_query_syntax(spark, sf):
     return S.run_query(files(spark, sf), "file:*.py tion that -edth").select("file_id", "line", "text")
 

@@ -7,7 +7,7 @@ import re
 import subprocess
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -66,7 +66,11 @@ def scan(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame
         keep &= F.greatest(*(F.col("path").rlike(T.glob_regex(g)) for g in config.include), F.lit(False))
     chosen = listed.where(keep).where(~is_binary(F.col("path"), F.col("content")))
     texts = chosen.withColumn("content", F.decode("content", "UTF-8")).withColumn("priority", T.priority(F.col("path")))
-    return texts.orderBy(F.col("priority").desc(), "path").limit(config.max_file_count).select(F.xxhash64("path").alias("file_id"), "path", "content", "size", "mtime", "priority")
+    # The places are ordered without the contents, which join those that are taken: at most max_file_count, of max_total_size in all.
+    first = Window.orderBy(F.col("priority").desc(), "path").rowsBetween(Window.unboundedPreceding, 0)
+    taken = texts.select("path", "priority", "size").orderBy(F.col("priority").desc(), "path").limit(config.max_file_count)
+    taken = taken.withColumn("total", F.sum("size").over(first)).where(F.col("total") <= config.max_total_size).select("path")
+    return texts.join(taken, "path", "left_semi").orderBy(F.col("priority").desc(), "path").select(F.xxhash64("path").alias("file_id"), "path", "content", "size", "mtime", "priority")
 
 
 def git_log(spark: SparkSession, repository: str, since: str = "90 days ago") -> DataFrame:
@@ -97,9 +101,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path).select(F.explode("entries").alias("e")).select("e.*")
 
 
+#: Most entries of a manifest, which is one document.
+MOST_ENTRIES = 100_000
+
+
 def write_manifest(entries: DataFrame, path: str) -> None:
-    """One JSON document with all entries; for manifests of a size that a person reads."""
-    rows = [r.asDict(recursive=True) for r in entries.limit(100_000).collect()]
+    """One JSON document with all entries; longer tables are refused, export_json writes them."""
+    rows = [r.asDict(recursive=True) for r in entries.limit(MOST_ENTRIES + 1).collect()]
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a manifest holds at most {MOST_ENTRIES} entries; use export_json")
     spark = entries.sparkSession
     spark.createDataFrame([(json.dumps({"entries": rows}, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -1,17 +1,19 @@
 """Incremental re-indexing: file changes as a stream, merged into versioned tables.
 
 A debounce is the trigger's interval; a deleted file is a tombstone that an anti-join
-applies; files whose hash is known are skipped. A version is a folder, and a pointer file
-names the current one, so readers keep what they opened.
+applies; files whose hash is known are skipped. A table is kept in buckets of files; a
+version holds the buckets that it rewrote and a list of where all buckets are, written
+last, so readers keep what they opened and a batch that fails leaves the table as it was.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.runtime import _delete
 
+TABLE_SCHEMA = "file_id long, path string, content string, content_hash string"
 EVENT_SCHEMA = "file_id long, path string, content string, deleted boolean, version long"
 
 
@@ -22,40 +24,79 @@ def merged(base: DataFrame, updates: DataFrame, deleted: DataFrame) -> DataFrame
 
 def latest(events: DataFrame) -> DataFrame:
     """The last event of each file."""
-    order = Window.partitionBy("file_id").orderBy(F.col("version").desc())
+    # Of events of one version the deletion counts, then the larger path and content.
+    order = Window.partitionBy("file_id").orderBy(F.col("version").desc(), F.col("deleted").desc(), F.col("path").desc(), F.col("content").desc())
     return events.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
+#: Buckets of a table by the hash of file_id: what a batch rewrites.
+BUCKETS = 64
+_LIST = "bucket int, version string"
+
+
+def _bucket(c: str = "file_id") -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _names(spark: SparkSession, folder: str) -> set[str]:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in fs.listStatus(place)} if fs.exists(place) else set()
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """The committed versions, oldest first: those whose list of buckets was written to its end."""
+    return sorted(n for n in _names(spark, folder) if "_SUCCESS" in _names(spark, f"{folder}/{n}/list"))
+
+
+def _listed(spark: SparkSession, folder: str, version: str) -> dict[int, str]:
+    return {r["bucket"]: r["version"] for r in spark.read.schema(_LIST).parquet(f"{folder}/{version}/list").collect()}  # BUCKETS rows at most
+
+
+def _parts(spark: SparkSession, folder: str, listed: dict[int, str]) -> DataFrame | None:
+    paths = [f"{folder}/{v}/data/bucket={b}" for b, v in sorted(listed.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The table that the pointer names, or None before the first version."""
-    try:
-        name = spark.read.text(f"{folder}/current").first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return spark.read.parquet(f"{folder}/{name[0]}")
+    """The table of the last committed version, or None before the first."""
+    done = versions(spark, folder)
+    if not done:
+        return None
+    found = _parts(spark, folder, _listed(spark, folder, done[-1]))
+    return found if found is not None else spark.createDataFrame([], TABLE_SCHEMA)
+
 
+def publish(spark: SparkSession, folder: str, touched: DataFrame, buckets: list[int], version: str) -> None:
+    """Write the rewritten buckets, then the list of where each bucket is; the list's end commits the version.
 
-def publish(spark: SparkSession, folder: str, table: DataFrame, version: str) -> None:
-    """Write a version, then move the pointer; a version written twice is the same."""
-    table.write.mode("overwrite").parquet(f"{folder}/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    A version that ended before its list is as if it had never begun.
+    """
+    done = [v for v in versions(spark, folder) if v < version]
+    listed = _listed(spark, folder, done[-1]) if done else {}
+    data = f"{folder}/{version}/data"
+    touched.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(data)
+    held = {int(n.removeprefix("bucket=")) for n in _names(spark, data) if n.startswith("bucket=")}
+    listed = {b: v for b, v in listed.items() if b not in buckets} | {b: version for b in held}
+    spark.createDataFrame(sorted(listed.items()), _LIST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{version}/list")
 
 
 def apply_batch(spark: SparkSession, folder: str, events: DataFrame, number: int) -> int:
-    """One micro-batch: skip known contents, merge, publish. The number of changed files."""
+    """One micro-batch: skip known contents, merge the buckets it touches, publish. The number of changed files."""
     last = latest(events).persist()
     try:
-        base = current(spark, folder)
+        done = versions(spark, folder)
+        listed = _listed(spark, folder, done[-1]) if done else {}
+        asked = {r[0] for r in last.select(_bucket()).distinct().collect()}  # BUCKETS rows at most
+        base = _parts(spark, folder, {b: v for b, v in listed.items() if b in asked})
+        if base is None:
+            base = spark.createDataFrame([], TABLE_SCHEMA)
         fresh = last.where("not deleted").select("file_id", "path", "content", F.sha2("content", 256).alias("content_hash"))
         gone = last.where("deleted").select("file_id")
-        if base is None:
-            base = spark.createDataFrame([], fresh.schema)
         fresh = fresh.join(base.select("file_id", "content_hash"), ["file_id", "content_hash"], "left_anti").select("file_id", "path", "content", "content_hash")
         n = fresh.count() + gone.join(base, "file_id", "left_semi").count()
         if n:
-            publish(spark, folder, merged(base, fresh, gone), f"v{number:08d}")
+            publish(spark, folder, merged(base, fresh, gone), sorted(asked), f"v{number:08d}")
         return n
     finally:
         last.unpersist()
@@ -69,8 +110,12 @@ def watch(spark: SparkSession, incoming: str, folder: str, checkpoint: str, ever
 
 
 def forget(spark: SparkSession, folder: str, version: str) -> None:
-    """Drop a version that nobody reads any more."""
-    _delete(spark, f"{folder}/{version}")
+    """Drop what only a version that nobody reads any more holds: its list, and buckets that the last one doesn't have from it."""
+    kept = {b for b, v in _listed(spark, folder, versions(spark, folder)[-1]).items() if v == version}
+    old = _listed(spark, folder, version)
+    _delete(spark, f"{folder}/{version}/list")
+    for bucket in {b for b, v in old.items() if v == version} - kept:
+        _delete(spark, f"{folder}/{version}/data/bucket={bucket}")
 
 
 def churn_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -185,7 +185,8 @@ def test_betweenness_and_communities(spark):
     line = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     got = {r["node"]: round(r["score"], 6) for r in G.betweenness(line).collect()}
     assert got[2] == got[3] == round(2 / 6, 6)
-    assert G.betweenness(line, most_nodes=2).count() == 0
+    with pytest.raises(ValueError, match="over the bound of 2"):
+        G.betweenness(line, most_edges=2)
     two = [(a, b) for base in (0, 10) for a, b in itertools.combinations(range(base, base + 5), 2)] + [(0, 10)]
     member = {r["node"]: r["community"] for r in G.communities(spark.createDataFrame(two, "src long, dst long")).collect()}
     assert {member[v] for v in range(5)} == {0} and {member[v] for v in range(10, 15)} == {10}
