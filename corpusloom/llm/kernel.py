@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; one longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows in an Arrow batch sent to Python: bounds a batch of very long texts.
 BATCH_ROWS = 256
 
@@ -66,10 +66,24 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run for mapInArrow; at its end the worker, which Spark keeps for later tasks, gives back what it freed."""
+#: What operators keep in a worker from task to task, by name.
+CACHES: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    return CACHES.setdefault(name, {})
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = ""):
+    """run for mapInArrow, in a worker that Spark keeps for later tasks.
+
+    Before it starts the caches of other operators go; at its end what was freed is given back.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, held in CACHES.items():
+            if name != keeps:
+                held.clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if trim := _trim():

@@ -53,8 +53,11 @@ class NearParams:
     bitmap_bits: int = 24
     #: Slices of the suffix filter.
     slices: int = 64
-    #: Shingles of a bucket; a bucket is what a task holds at once.
+    #: Shingles of a bucket, which is what a task holds at once, and of the texts that are dealt together.
     bucket_tokens: int = 1 << 20
+    dealt_tokens: int = 1 << 18
+    #: Most sets that are sent to all tasks, to be looked up where the shingles lie; beyond these they are joined.
+    sent_nodes: int = 1 << 19
     #: Rarity is told apart up to so many sets: from there on, only the hash orders.
     most_rarity: int = 1 << 10
     #: Most rounds with pivots; the last join of all remaining pairs follows in any case.
@@ -110,7 +113,7 @@ def _dealt(docs: DataFrame, keys: DataFrame, buckets: int, params: NearParams) -
                     tokens.append(found)
                     owners.append(np.full(len(found), count, np.uint32))
                     size, count = size + len(found), count + 1
-                if size >= params.bucket_tokens:
+                if size >= params.dealt_tokens:
                     yield packed(base, tokens, owners)
                     tokens, owners, size = [], [], 0
             if rows:
@@ -119,7 +122,7 @@ def _dealt(docs: DataFrame, keys: DataFrame, buckets: int, params: NearParams) -
         if size:
             yield packed(base, tokens, owners)
 
-    return docs.select(slot.alias("slot"), "k1", "k2", "text").mapInArrow(run, _ROWS)
+    return docs.select(slot.alias("slot"), "k1", "k2", "text").mapInArrow(kernel.tidy(run), _ROWS)
 
 
 _SHARED = "node long, token long, rarity int, k1 long, k2 long, n int"
@@ -144,8 +147,8 @@ def _shared(dealt: DataFrame, params: NearParams) -> DataFrame:
         return (node[out], token[out], each[out]), (token[~out], node[~out])
 
     def rows(node, token, rarity) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(node), 1 << 18):
-            n = len(node[a : a + (1 << 18)])
+        for a in range(0, len(node), 1 << 16):
+            n = len(node[a : a + (1 << 16)])
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(node[a : a + n]), pa.array(token[a : a + n].view(np.int64)), pa.array(rarity[a : a + n].astype(np.int32)), none, none, pa.nulls(n, pa.int32())], names=names)
 
@@ -187,7 +190,7 @@ def _shared(dealt: DataFrame, params: NearParams) -> DataFrame:
         if tokens:
             yield from rows(*counted(np.concatenate(tokens), np.concatenate(nodes), True)[0])
 
-    return dealt.mapInArrow(run, _SHARED)
+    return dealt.mapInArrow(kernel.tidy(run), _SHARED)
 
 
 _NODES = "node long, n int, grams binary, prefix array<long>, first int, parts array<int>"
@@ -220,7 +223,7 @@ def _nodes(listed: DataFrame, params: NearParams) -> DataFrame:
                 names=[x.split()[0] for x in _NODES.split(", ")],
             )
 
-    return listed.mapInArrow(run, _NODES)
+    return listed.mapInArrow(kernel.tidy(run), _NODES)
 
 
 def _passes(a: str, b: str, percent: int) -> str:
@@ -252,7 +255,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na").cast("long") + F.col("nb")).alias("total"), "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(kernel.tidy(run), "a long, b long")
 
 
 def _linked(nodes: DataFrame, scratch: Scratch, params: NearParams) -> DataFrame | None:
@@ -323,7 +326,8 @@ def near_components(docs: DataFrame, scratch: Scratch, params: NearParams = Near
     # Only sets that hold enough shared shingles can link; the shingles of the others go.
     tokens = shared.where("token is not null").select("node", "token", "rarity")
     able = tokens.groupBy("node").agg(F.count("*").alias("held")).join(cut.select("node", "n"), "node").where(f"100L * held >= {params.percent}L * n").select("node", "n")
-    listed = tokens.join(able, "node").groupBy("node", "n").agg(F.collect_list(F.struct("rarity", "token")).alias("shared"))
+    able = scratch.save(able, "able")
+    listed = tokens.join(F.broadcast(able) if able.count() <= params.sent_nodes else able, "node").groupBy("node", "n").agg(F.collect_list(F.struct("rarity", "token")).alias("shared"))
     nodes = scratch.save(_nodes(listed, params), "nodes")
     labels = _linked(nodes, scratch, params)
 

@@ -104,4 +104,4 @@ def pack(docs: DataFrame, params: PackingParams = PackingParams(), with_ids: boo
         if ids:
             yield emit(ids, held, base)[0]
 
-    return docs.select("doc_id", "text").mapInArrow(kernel.tidy(run), "doc_id long, " + SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(kernel.tidy(run, "tokens"), "doc_id long, " + SCHEMA + ", ids array<int>" * with_ids)

@@ -124,7 +124,7 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
+_counters: dict[str, Counter] = kernel.cache("pieces")
 
 
 def piece_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -144,4 +144,4 @@ def piece_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True))], names=["doc_id", "n_words", "n_pieces", "longest_word_pieces"])
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(kernel.tidy(run), "doc_id long, n_words long, n_pieces long, longest_word_pieces long")
+    return docs.select("doc_id", F.col("text")).mapInArrow(kernel.tidy(run, "pieces"), "doc_id long, n_words long, n_pieces long, longest_word_pieces long")

@@ -197,7 +197,7 @@ def write(docs: DataFrame, scratch: Scratch, params: TokenFileParams = TokenFile
     order = (F.col("doc_id").asc_nulls_first(), F.col("text_key"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    return scratch.save(ordered.mapInArrow(kernel.tidy(shards), SHARD_SCHEMA), "tokens")
+    return scratch.save(ordered.mapInArrow(kernel.tidy(shards, "tokens"), SHARD_SCHEMA), "tokens")
 
 
 def documents(files: DataFrame, scratch: Scratch) -> DataFrame:

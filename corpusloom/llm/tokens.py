@@ -17,7 +17,7 @@ from corpusloom.llm import kernel
 #: Chunks longer than this many bytes are encoded at each occurrence, not cached.
 LONGEST_CACHED = 64
 #: The cache is emptied beyond so many chunks.
-MOST_CACHED = 1_500_000
+MOST_CACHED = 1_000_000
 
 #: The leading bytes of UTF-8 sequences that can be Unicode white space, and
 #: ASCII control characters some engines count as white space. No cut is made after these.
@@ -148,7 +148,7 @@ class ChunkEncoder:
         return self.ids[take], bounds
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, ChunkEncoder] = kernel.cache("tokens")
 
 
 def encoder(path: str) -> ChunkEncoder:
