@@ -288,6 +288,8 @@ def redact(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) -
     # Texts that can't be asked for don't move: a bitmap of fixed size parts them from the rest.
     plain, bits = kernel.shielded(docs, ("doc_id", "text")), 23
     rest, asked = kernel.parted(plain, F.pmod(F.xxhash64("text"), F.lit(1 << bits)), once.select(F.pmod("__k", F.lit(1 << bits)).alias("s")), bits)
+    # Written first: where the join is a broadcast, a task would else hold two Python workers.
+    asked = scratch.save(asked, "open")
     joined = asked.join(once, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left").drop("__d", "__k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
