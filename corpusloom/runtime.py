@@ -37,15 +37,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+        self.used: dict[str, int] = {}
         atexit.register(self._quietly_drop, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        # A name that comes again gets a folder of its own: earlier tables may still be read.
+        self.used[name] = self.used.get(name, 0) + 1
+        path = f"{self.root}/{name}" + (f"~{self.used[name]}" if self.used[name] > 1 else "")
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        _delete(self.spark, f"{self.root}/{name}" if name else self.root)
+        """Deletes the tables saved under a name, or all."""
+        if not name:
+            return _delete(self.spark, self.root)
+        for turn in range(1, self.used.get(name, 1) + 1):
+            _delete(self.spark, f"{self.root}/{name}" + (f"~{turn}" if turn > 1 else ""))
 
     def _quietly_drop(self, path: str) -> None:
         try:
