@@ -20,6 +20,7 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import history as H
 from corpusloom.operators import index as I
 from corpusloom.operators import metrics as M
+from corpusloom.operators import relations as R
 from corpusloom.operators import search as S
 from corpusloom.operators import symbols as Y
 from corpusloom.runtime import Scratch
@@ -86,6 +87,22 @@ class Corpus:
     def imports(self) -> DataFrame:
         return self.scratch.save(Y.imports(self.lines), "imports")
 
+    @cached_property
+    def links(self) -> DataFrame:
+        """Calls, inheritance and imports as references of one shape; imports stand in no symbol."""
+        columns = ["source_symbol", "target_symbol", "file_id", "type", "referenced_name"]
+        types = self.symbols.where("type in ('class', 'struct', 'interface', 'enum', 'trait')")
+        named = X.type_relations(self.lines).select("file_id", "type", F.col("super").alias("referenced_name")).distinct().join(self.files.select("file_id", T.family(F.col("path")).alias("family")), "file_id")
+        named = named.withColumn("ref_id", F.xxhash64("file_id", "type", "referenced_name"))
+        source = types.groupBy("file_id", F.col("name").alias("type")).agg(F.min("symbol_id").alias("source_symbol"))
+        above = named.join(source, ["file_id", "type"]).join(Y.resolve(named, types), "ref_id", "left").withColumn("type", F.lit("inheritance"))
+        imported = self.imports.select(F.lit(None).cast("long").alias("source_symbol"), F.lit(None).cast("long").alias("target_symbol"), "file_id", F.lit("import").alias("type"), F.col("import_path").alias("referenced_name"))
+        return self.scratch.save(self.references.select(columns).unionByName(above.select(columns)).unionByName(imported), "links")
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        return self.scratch.save(R.relations(self.symbols, self.links, self.calls, self.scratch), "relations")
+
     @cached_property
     def grams(self) -> DataFrame:
         return self.scratch.save(I.all_trigrams(self.files), "grams")
@@ -160,7 +177,14 @@ class Corpus:
         asked = self.symbols.where(F.col("name") == name).select("symbol_id")
         return C.context(self.symbols, self.calls, sections, least).join(asked, "symbol_id", "left_semi")
 
-    inspect_symbol = get_context
+    def inspect_symbol(self, name: str) -> DataFrame:
+        """The context of the symbols of a name, with their types, ancestors, variables and entry points."""
+        asked = self.symbols.where(F.col("name") == name).select("symbol_id")
+        return self.get_context(name).unionByName(self.relations.join(asked, "symbol_id", "left_semi"))
+
+    def imported_modules(self, path: str) -> DataFrame:
+        """The modules that a file imports."""
+        return R.imported_modules(self.links).join(self.files.where(F.col("path") == path).select("file_id"), "file_id", "left_semi").select("module")
 
     def browse_file(self, path: str) -> DataFrame:
         return self.symbols.where(F.col("path") == path).orderBy("line", "name").select("name", "type", "line", "end_line", "complexity", "is_exported")

@@ -82,3 +82,11 @@ def test_facts(corpus):
     assert X.docstring_lines(S.lines(corpus.files)).count() == 0
     assert X.nesting(corpus.files).where("nesting > 0").count() == 0
     assert X.check_request({"max": -1, "zz": 1}, {"max": int, "pattern": str}, ("pattern",)) == ["unknown parameter zz", "missing parameter pattern", "max must not be negative"]
+
+
+def test_inspect_symbol(corpus):
+    parts = lambda name: {(r["part"], r["name"], r["detail"] is not None) for r in corpus.inspect_symbol(name).where("part in ('parent_class', 'ancestor', 'variable', 'entry_point')").collect()}
+    assert parts("Store") == {("parent_class", "Base", True), ("ancestor", "Base", True)}
+    assert parts("App") == {("parent_class", "Base", False), ("parent_class", "One", False), ("parent_class", "Two", False)}
+    assert "caller" in {r["part"] for r in corpus.inspect_symbol("save").collect()}
+    assert [r["module"] for r in corpus.imported_modules("core/store.py").collect()] == ["os"]
