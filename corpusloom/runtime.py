@@ -27,6 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage and return free heap to the system; for when no other job runs.
+
+    A heap grows with what a query allocates and keeps that size, so over many queries every
+    executor comes to its limit, whatever the one at hand needs. One task an executor.
+    """
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is among them
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 

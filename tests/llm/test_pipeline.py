@@ -56,3 +56,15 @@ def test_run_of_empty_tables(spark, small, tmp_path):
     read(spark, small, "documents").write.parquet(f"{tmp_path}/x/documents.parquet")
     read(spark, small, "labels").limit(0).write.parquet(f"{tmp_path}/x/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/x").count() > 0
+
+
+def test_stages_give_back_heap(spark, small):
+    """Before its own work each stage collects what earlier ones left; readers hold few rows at once."""
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    full = lambda: next(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = read(spark, small, "documents").limit(50)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, small)
+        assert full() > before, name
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= corpus_pipeline.READ_ROWS
