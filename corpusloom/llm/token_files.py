@@ -52,12 +52,13 @@ _SLOTS = 20
 
 def _frequent_pairs(pair: np.ndarray, min_count: int, most: int) -> np.ndarray:
     """The most frequent of the adjacent pairs, by falling count, then pair."""
-    ordered = np.sort(pair)
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    count = np.diff(np.append(first, len(ordered)))
-    often = count >= min_count
-    found, count = ordered[first[often]], count[often]
-    return found[np.argsort(-count, kind="stable")[:most]]
+    ordered, more = np.sort(pair), max(min_count, 1) - 1
+    # Where as many equal ones follow as are needed: in the run of a frequent pair, all but its last ones.
+    often = np.flatnonzero(ordered[more:] == ordered[: max(len(ordered) - more, 0)])
+    found = ordered[often]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(found), 1), bool), found[1:] != found[:-1])))
+    count = np.diff(first, append=len(found)) + more
+    return found[first[np.argsort(-count, kind="stable")[:most]]]
 
 
 def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int = 8) -> bytes:
@@ -80,11 +81,18 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int =
             break
         # A table from slot to pair finds occurrences without a search; of pairs that share
         # a slot the most frequent one is taken, the others wait for the next round.
-        table = np.full(1 << _SLOTS, -1, np.int32)
-        table[(pairs[::-1] * spread) >> shift] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        rule = table[(pair * spread) >> shift]
-        where = np.flatnonzero(rule >= 0)
-        rule = rule[where]
+        # Symbols that begin or end no such pair are passed over first.
+        side = np.zeros(limit, np.uint8)
+        side[pairs >> wide(half)] = 1
+        side[pairs & wide((1 << half) - 1)] |= 2
+        side = side.take(seq)
+        where = np.flatnonzero(side[:-1] & (side[1:] >> 1))
+        number = np.int16 if len(pairs) < 1 << 15 else np.int32
+        table = np.full(1 << _SLOTS, -1, number)
+        table[(pairs[::-1] * spread) >> shift] = np.arange(len(pairs), dtype=number)[::-1]
+        rule = table[(pair[where] * spread) >> shift]
+        hit = rule >= 0
+        where, rule = where[hit], rule[hit]
         same = pairs[rule] == pair[where]
         where, rule = where[same], rule[same]
         # Overlapping occurrences: in each run of neighbours take every second, from the left.

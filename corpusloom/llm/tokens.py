@@ -1,13 +1,17 @@
 """Token ids of whole texts by the tokenizers library, encoding each distinct chunk once.
 
 The byte-level pre-tokenizer never joins a non-space to a following space, so a text may
-be cut before each run of white space and the ids of its chunks joined. Distinct chunks go
-through the library once per worker; a bounded cache keeps their ids by 64-bit hash.
+be cut before each run of white space and the ids of its chunks joined. Its pattern also
+ends a token where letters, digits and other signs meet, so there a text is cut as well:
+"once." and "once," share a chunk. Distinct chunks go through the library once per worker;
+a bounded cache keeps their ids by 64-bit hash, and when full those it met again.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,7 @@ from corpusloom.llm import kernel
 
 #: Chunks longer than this many bytes are encoded at each occurrence, not cached.
 LONGEST_CACHED = 64
-#: The cache is emptied beyond so many chunks.
+#: Beyond so many chunks the cache drops those it didn't meet again.
 MOST_CACHED = 1_000_000
 
 #: The leading bytes of UTF-8 sequences that can be Unicode white space, and
@@ -27,28 +31,59 @@ _SPACE_PAIRS = ((0xC2, 0x85), (0xC2, 0xA0))
 #: Bytes that may be, or begin, white space of any kind.
 _ODD_BYTE = np.isin(np.arange(256), [*range(33), 127, 0xC2, 0xE1, 0xE2, 0xE3])
 
+#: ASCII letters 1, digits 2, other signs 3; 0 for anything else.
+_KIND = np.array([(1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3) if 32 < c < 127 else 0 for c in range(256)], np.uint8)
+#: The leading bytes of U+00C0 to U+027F, which are letters but for two signs.
+_LETTER_LEADS, _NO_LETTERS = (0xC3, 0xC9), ((0xC3, 0x97), (0xC3, 0xB7))
+_APOSTROPHE = 39
 
-def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the chunks: document starts, and white space after what can't be white space."""
-    n = len(data)
-    space = kernel.IS_SPACE[data]
-    odd = (data >= 0x1C) & (data <= 0x1F) | space
+
+def _odd_ends(data: np.ndarray) -> np.ndarray:
+    """Bytes that may end white space of any kind."""
+    odd = (data >= 0x1C) & (data <= 0x1F) | kernel.IS_SPACE[data]
     for a, b in _SPACE_PAIRS:
         odd[1:] |= (data[:-1] == a) & (data[1:] == b)
     for a, b in _SPACE_LEADS_3:
         odd[2:] |= (data[:-2] == a) & (data[1:-1] == b)
+    return odd
+
+
+def _kind_changes(data: np.ndarray) -> np.ndarray:
+    """Where a letter, digit or other sign follows one of another kind, by the byte before.
+
+    Nothing is said after an apostrophe, which takes the letters of 's and the like.
+    """
+    kind = _KIND[data]
+    lead, last = data[:-1], kind[1:]
+    last[(lead >= _LETTER_LEADS[0]) & (lead <= _LETTER_LEADS[1])] = 1
+    for a, b in _NO_LETTERS:
+        last[(lead == a) & (data[1:] == b)] = 0
+    return (kind[:-1] != last) & (kind[:-1] > 0) & (_KIND[data[1:]] > 0) & (lead != _APOSTROPHE)
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray, odd: np.ndarray, by_kind: bool) -> np.ndarray:
+    """Starts of the chunks: document starts, white space after what can't be white space, changes of kind."""
+    n = len(data)
     cut = np.zeros(n + 1, dtype=bool)
-    cut[1:n] = space[1:] & ~odd[:-1]
+    cut[1:n] = kernel.IS_SPACE[data[1:]] & ~odd[:-1]
+    if by_kind:
+        cut[1:n] |= _kind_changes(data)
     cut[offsets] = True
     cut[n] = False
     return np.flatnonzero(cut)
 
 
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[i] : starts[i] + counts[i], joined."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class _Table:
-    """Sorted chunk hashes with the place and number of their ids."""
+    """Sorted chunk hashes with the place and number of their ids, and which were met again."""
 
     def __init__(self):
-        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.starts, self.counts, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -56,10 +91,10 @@ class _Table:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def add(self, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, again: np.ndarray) -> None:
         keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.starts, self.counts = keys[order], np.concatenate((self.starts, starts))[order], np.concatenate((self.counts, counts))[order]
+        self.keys, self.starts, self.counts, self.again = keys[order], np.concatenate((self.starts, starts))[order], np.concatenate((self.counts, counts))[order], np.concatenate((self.again, again))[order]
 
 
 class ChunkEncoder:
@@ -69,14 +104,35 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        mark = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        told = json.loads(Path(path).read_text(encoding="utf-8"))
+        before = told.get("pre_tokenizer") or {}
+        # The kinds are those of this pre-tokenizer's own pattern.
+        self.by_kind = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not told.get("normalizer") and all(x["special"] for x in told.get("added_tokens") or [])
+        vocabulary = self.tokenizer.get_vocab()
+        # A byte-level token has a character for each of its bytes.
+        self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))
         self._clear()
 
     def _clear(self) -> None:
         self.main, self.recent = _Table(), _Table()
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _merge(self) -> None:
+        self.main.add(self.recent.keys, self.recent.starts, self.recent.counts, self.recent.again)
+        self.recent = _Table()
+
+    def _shrink(self) -> None:
+        """Only chunks met again since the last time stay; none, if that is most of them."""
+        self._merge()
+        old, ids = self.main, self.ids
+        stay = np.flatnonzero(old.again)
+        self._clear()
+        counts = old.counts[stay]
+        if len(stay) <= MOST_CACHED // 2 and int(counts.sum()) <= 4 * MOST_CACHED:
+            starts = self._keep(ids[_spans(old.starts[stay], counts)]) + np.cumsum(counts) - counts
+            self.main.add(old.keys[stay], starts, counts, np.zeros(len(stay), bool))
+
     def _keep(self, ids: np.ndarray) -> int:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
@@ -84,25 +140,38 @@ class ChunkEncoder:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _joined(self, cut: list[bytes], bare: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the chunks encoded as one text, and their numbers, by the bytes of each token; None if these don't tell."""
+        text = b"".join([b"\n" + x if b else x for x, b in zip(cut, bare.tolist(), strict=True)]).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        ends, at = np.cumsum(sizes + bare), np.concatenate(([0], np.cumsum(self.size[ids])))
+        first, last = np.searchsorted(at, ends - sizes), np.searchsorted(at, ends)
+        # Each newline put in is a token by itself, and each chunk ends with a token.
+        if last[-1] != len(ids) or (at[last] != ends).any() or (np.diff(last, prepend=0) != last - first + bare).any() or (at[first] != ends - sizes).any() or (last - first < 1).any():
+            return None
+        if bare.any():
+            ids = np.delete(ids, first[bare] - 1)
+        return ids, last - first
+
+    def _encode(self, data: np.ndarray, odd: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the chunks in an order of their own, their numbers, and which chunks these are.
 
-        Chunks of at most one space and then nothing like white space go through the library
-        as one text, joined by newlines: a newline between them is a token by itself.
+        A chunk whose end can't be white space may be followed by ASCII white space, so such
+        chunks go through the library as one text. A newline stands before those that begin
+        with something else.
         """
         raw = data.tobytes()
         cut = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        odd = np.concatenate(([0], np.cumsum(_ODD_BYTE[data])))
-        first = np.minimum(starts + (data[starts] == 32), ends - 1)
-        plain = (odd[ends] == odd[first]) if self.mark is not None else np.zeros(len(cut), dtype=bool)
+        bare = ~kernel.IS_SPACE[data[starts]]
+        plain = ~odd[ends - 1] & ~(bare & _ODD_BYTE[data[starts]])
         joined, single = np.flatnonzero(plain), np.flatnonzero(~plain)
         ids = counts = np.zeros(0, np.int64)
         if len(joined):
-            text = b"\n".join([cut[k] for k in joined.tolist()]).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-            marks = np.flatnonzero(ids == self.mark)
-            counts = np.diff(marks, prepend=-1, append=len(ids)) - 1
-            ids = np.delete(ids, marks)
+            if (made := self._joined([cut[k] for k in joined.tolist()], bare[joined])) is None:
+                joined, single = joined[:0], np.arange(len(cut))
+            else:
+                ids, counts = made
         found = [x.ids for x in self.tokenizer.encode_batch_fast([cut[k].decode() for k in single.tolist()], add_special_tokens=False)] if len(single) else []
         rest = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.concatenate((ids, np.fromiter((i for x in found for i in x), np.int64, int(rest.sum()))))
@@ -112,7 +181,8 @@ class ChunkEncoder:
         """Ids of the documents joined, and where each document's ids start (one more at the end)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts = cut_points(data, offsets)
+        odd = _odd_ends(data)
+        starts = cut_points(data, offsets, odd, self.by_kind)
         ends = np.append(starts[1:], len(data))
         keys = kernel.span_hashes(kernel.prefix_sums(data), starts, ends)
         long = np.flatnonzero(ends - starts > LONGEST_CACHED)
@@ -120,32 +190,29 @@ class ChunkEncoder:
             keys[long] = np.arange(len(long), dtype=np.uint64)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.main.keys) + len(self.recent.keys) > MOST_CACHED or self.used > 8 * MOST_CACHED:
-            self._clear()
+            self._shrink()
         keep = ends[first] - starts[first] <= LONGEST_CACHED
         place, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         missing = np.ones(len(distinct), dtype=bool)
         for table in (self.main, self.recent):
             at = table.find(distinct)
             hit = (at >= 0) & missing & keep
-            place[hit], count[hit] = table.starts[at[hit]], table.counts[at[hit]]
+            found = at[hit]
+            place[hit], count[hit], table.again[found] = table.starts[found], table.counts[found], True
             missing &= ~hit
         new = np.flatnonzero(missing)
         if len(new):
-            ids, counts, order = self._encode(data, starts[first[new]], ends[first[new]])
+            ids, counts, order = self._encode(data, odd, starts[first[new]], ends[first[new]])
             new = new[order]
             place[new] = self._keep(ids) + np.concatenate(([0], np.cumsum(counts)[:-1]))
             count[new] = counts
             add = new[keep[new]]
-            self.recent.add(distinct[add], place[add], count[add])
+            self.recent.add(distinct[add], place[add], count[add], np.zeros(len(add), bool))
             if len(self.recent.keys) > max(100_000, len(self.main.keys) // 4):
-                self.main.add(self.recent.keys, self.recent.starts, self.recent.counts)
-                self.recent = _Table()
+                self._merge()
         lengths = count[inverse]
-        ends_at = np.cumsum(lengths)
-        total = int(ends_at[-1])
-        take = np.repeat(place[inverse] - (ends_at - lengths), lengths) + np.arange(total)
-        bounds = np.append(ends_at - lengths, total)[np.searchsorted(starts, offsets)]
-        return self.ids[take], bounds
+        bounds = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, offsets)]
+        return self.ids[_spans(place[inverse], lengths)], bounds
 
 
 _encoders: dict[str, ChunkEncoder] = kernel.cache("tokens")
@@ -169,5 +236,11 @@ def encode_column(column: pa.Array, path: str, end_id: int):
     coder = encoder(path)
     for first, last, data, offsets in kernel.slices(column):
         ids, bounds = coder.encode(data, offsets)
-        for k in range(last - first):
-            yield first + k, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
+        ends = bounds[1:] + np.arange(last - first)
+        whole, own = np.empty(len(ids) + last - first, np.uint32), np.ones(len(ids) + last - first, bool)
+        own[ends] = False
+        whole[own], whole[ends] = ids, end_id
+        begin = 0
+        for row, end in enumerate(ends.tolist(), first):
+            yield row, whole[begin : end + 1].copy()  # of its own, so that one text doesn't hold the slice
+            begin = end + 1

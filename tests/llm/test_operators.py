@@ -257,6 +257,59 @@ def test_token_ids_of_odd_texts(coder):
             assert ids.tolist() == encoded(coder, t, 2).tolist(), repr(t)
 
 
+class Counting:
+    """A tokenizer that counts the bytes it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.given += sum(len(t.encode()) for t in texts)
+        return self.inner.encode_batch_fast(texts, **more)
+
+
+def column_ids(coder, texts):
+    (_, _, data, offsets), = kernel.slices(pa.array(texts))
+    ids, bounds = coder.encode(data, offsets)
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_token_ids_where_kinds_of_signs_meet(coder):
+    rng = random.Random(10)
+    signs = ["a", "b", "Z", "'", "'s", "'re", "'ll", "'T", "1", "23", ".", ",", "-", "!", " ", " ", "\n", "é", "ß", "À", "ɿ", "×", "÷", "ʰ", "²", "½", "٣", "日", "\u0301", "\xa0", "\u2003", "\x1c", "…"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(0, 30))) for _ in range(4000)]
+    fresh = tokens.ChunkEncoder(tokens.default_tokenizer())
+    assert fresh.by_kind
+    for part in (texts, texts[::-1]):
+        for t, ids in zip(part, column_ids(fresh, part), strict=True):
+            assert ids == coder.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_chunks_meet_the_tokenizer_once():
+    """A word goes through the library once, whatever sign or line break stands beside it."""
+    fresh = tokens.ChunkEncoder(tokens.default_tokenizer())
+    fresh.tokenizer = Counting(fresh.tokenizer)
+    words = [f"word{'abcdefghij'[k % 10] * (1 + k // 10)}" for k in range(100)]
+    column_ids(fresh, [" " + " ".join(words)])
+    before = fresh.tokenizer.given
+    column_ids(fresh, [" " + " ".join(w + sign for w in words) for sign in ".,;:!?"])
+    assert fresh.tokenizer.given - before < 100
+
+
+def test_a_full_cache_keeps_what_was_met_again(monkeypatch, coder):
+    monkeypatch.setattr(tokens, "MOST_CACHED", 2000)
+    fresh = tokens.ChunkEncoder(tokens.default_tokenizer())
+    fresh.tokenizer = Counting(fresh.tokenizer)
+    common = " " + " ".join("common" + "abcdefghij"[k % 10] * (1 + k // 10) for k in range(100))
+    rare = 0
+    for k in range(40):
+        text = common + "".join(f" {x:x}z".translate(str.maketrans("0123456789", "ghijklmnop")) for x in range(500 * k, 500 * k + 500))
+        rare += len(text) - len(common)
+        assert column_ids(fresh, [text])[0] == coder.encode(text, add_special_tokens=False).ids
+        assert len(fresh.main.keys) + len(fresh.recent.keys) <= 2000 + 700
+    assert fresh.tokenizer.given - rare < 2 * len(common)
+
+
 def test_token_files_of_one_id(spark, coder):
     """Rows of one id, or of none, are dealt over the ranges; each keeps its place."""
     rows = [(7 if k % 3 else None, f"text number {k}", "s") for k in range(100_000)]
