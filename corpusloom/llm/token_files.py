@@ -50,15 +50,23 @@ class TokenFileParams:
 _SLOTS = 20
 
 
-def _frequent_pairs(pair: np.ndarray, min_count: int, most: int) -> np.ndarray:
-    """The most frequent of the adjacent pairs, by falling count, then pair."""
+def _frequent_pairs(pair: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that occur often enough, ascending, and their counts."""
     ordered, more = np.sort(pair), max(min_count, 1) - 1
     # Where as many equal ones follow as are needed: in the run of a frequent pair, all but its last ones.
     often = np.flatnonzero(ordered[more:] == ordered[: max(len(ordered) - more, 0)])
     found = ordered[often]
     first = np.flatnonzero(np.concatenate((np.ones(min(len(found), 1), bool), found[1:] != found[:-1])))
-    count = np.diff(first, append=len(found)) + more
-    return found[first[np.argsort(-count, kind="stable")[:most]]]
+    return found[first], np.diff(first, append=len(found)) + more
+
+
+def _pairs_near(seq: np.ndarray, where: np.ndarray, reach: int, wide: type, half: int) -> np.ndarray:
+    """The pairs that begin one before each place and `reach` places on, each place once."""
+    near = np.zeros(len(seq) + 1 + reach, bool)
+    for k in range(reach):
+        near[where + k] = True
+    at = np.flatnonzero(near[1 : len(seq)])
+    return seq[at].astype(wide) << wide(half) | seq[at + 1]
 
 
 def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int = 8) -> bytes:
@@ -69,16 +77,21 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int =
     spread, shift = (wide(0x9E3779B1), wide(32 - _SLOTS)) if half == 16 else (wide(0x9E3779B97F4A7C15), wide(64 - _SLOTS))
     seq = ids.astype(word)
     rules, lengths = np.zeros((0, 2), word), np.zeros(0, np.uint32)
+    counted = None
     for turn in itertools.count():
         share = -(-(limit - vocabulary - len(rules)) // max(1, rounds - turn))
         if len(seq) < 2 or share < 1:
             break
-        pair = seq[:-1].astype(wide)
-        pair <<= wide(half)
-        pair |= seq[1:]
-        pairs = _frequent_pairs(pair, min_count, share)
-        if not len(pairs):
+        if counted is None:
+            pair = seq[:-1].astype(wide)
+            pair <<= wide(half)
+            pair |= seq[1:]
+            counted = _frequent_pairs(pair, min_count)
+        found, count = counted
+        if not len(found):
             break
+        # By falling count, then pair.
+        pairs = found[np.argsort(-count, kind="stable")[:share]]
         # A table from slot to pair finds occurrences without a search; of pairs that share
         # a slot the most frequent one is taken, the others wait for the next round.
         # Symbols that begin or end no such pair are passed over first.
@@ -90,10 +103,9 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int =
         number = np.int16 if len(pairs) < 1 << 15 else np.int32
         table = np.full(1 << _SLOTS, -1, number)
         table[(pairs[::-1] * spread) >> shift] = np.arange(len(pairs), dtype=number)[::-1]
-        rule = table[(pair[where] * spread) >> shift]
-        hit = rule >= 0
-        where, rule = where[hit], rule[hit]
-        same = pairs[rule] == pair[where]
+        pair = seq[where].astype(wide) << wide(half) | seq[where + 1]
+        rule = table[(pair * spread) >> shift]
+        same = (rule >= 0) & (pairs[rule] == pair)
         where, rule = where[same], rule[same]
         # Overlapping occurrences: in each run of neighbours take every second, from the left.
         place = np.arange(len(where))
@@ -104,10 +116,22 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, min_count: int =
         taken[rule] = True
         used = pairs[taken]
         fresh = np.column_stack((used >> wide(half), used & wide((1 << half) - 1))).astype(word)
+        # Where few places change, only the pairs there are counted anew: those made hold a new symbol.
+        few = 64 * len(where) < len(seq)
+        gone = _pairs_near(seq, where, 3, wide, half) if few else None
         seq[where] = (vocabulary + len(rules) + np.cumsum(taken) - 1)[rule]
         keep = np.ones(len(seq), dtype=bool)
         keep[where + 1] = False
         seq = seq[keep]
+        counted = None
+        if few:
+            at = np.searchsorted(found, gone)
+            at = at[found[np.minimum(at, len(found) - 1)] == gone]
+            count = count - np.bincount(at, minlength=len(found))
+            made, times = _frequent_pairs(_pairs_near(seq, where - np.arange(len(where)), 2, wide, half), min_count)
+            found, count = np.concatenate((found[count >= min_count], made)), np.concatenate((count[count >= min_count], times))
+            order = np.argsort(found)
+            counted = found[order], count[order]
         size = np.concatenate((np.ones(vocabulary, np.uint32), lengths))
         rules, lengths = np.concatenate((rules, fresh)), np.concatenate((lengths, size[fresh[:, 0]] + size[fresh[:, 1]]))
     kind = f"<u{half // 8}"

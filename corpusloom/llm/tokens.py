@@ -38,39 +38,49 @@ _LETTER_LEADS, _NO_LETTERS = (0xC3, 0xC9), ((0xC3, 0x97), (0xC3, 0xB7))
 _APOSTROPHE = 39
 
 
-def _odd_ends(data: np.ndarray) -> np.ndarray:
-    """Bytes that may end white space of any kind."""
-    odd = (data >= 0x1C) & (data <= 0x1F) | kernel.IS_SPACE[data]
-    for a, b in _SPACE_PAIRS:
-        odd[1:] |= (data[:-1] == a) & (data[1:] == b)
-    for a, b in _SPACE_LEADS_3:
-        odd[2:] |= (data[:-2] == a) & (data[1:-1] == b)
-    return odd
-
-
-def _kind_changes(data: np.ndarray) -> np.ndarray:
-    """Where a letter, digit or other sign follows one of another kind, by the byte before.
-
-    Nothing is said after an apostrophe, which takes the letters of 's and the like.
+def _pair_facts() -> np.ndarray:
+    """What two neighbouring bytes tell, a bit each, by first byte * 256 + second byte."""
+    a, b = np.divmod(np.arange(1 << 16), 256)
+    facts = np.zeros(1 << 16, np.uint8)
+    one = kernel.IS_SPACE[b] | (b >= 0x1C) & (b <= 0x1F)
+    facts[one | np.logical_or.reduce([(a == x) & (b == y) for x, y in _SPACE_PAIRS])] |= _ODD
+    facts[np.logical_or.reduce([(a == x) & (b == y) for x, y in _SPACE_LEADS_3])] |= _ODD_NEXT
+    facts[kernel.IS_SPACE[b]] |= _SPACE
+    # Nothing is said after an apostrophe, which takes the letters of 's and the like.
+    facts[(_KIND[a] > 0) & (_KIND[b] > 0) & (_KIND[a] != _KIND[b]) & (a != _APOSTROPHE)] |= _CHANGE
+    facts[(a >= _LETTER_LEADS[0]) & (a <= _LETTER_LEADS[1]) & ~np.logical_or.reduce([(a == x) & (b == y) for x, y in _NO_LETTERS])] |= _LETTER
+    facts[_KIND[b] > 1] |= _AFTER_LETTER
+    return facts
+
+
+#: The second byte may end white space of any kind; the byte after it does; it is ASCII white
+#: space; an ASCII letter, digit or other sign that follows one of another kind; it ends a
+#: letter that isn't ASCII; it is an ASCII digit or other sign.
+_ODD, _ODD_NEXT, _SPACE, _CHANGE, _LETTER, _AFTER_LETTER = (1 << k for k in range(6))
+_FACTS = _pair_facts()
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray, by_kind: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the chunks, and the bytes that may end white space of any kind.
+
+    Chunks start where documents do, at white space after what can't be white space, and
+    where by_kind a letter, digit or other sign follows one of another kind.
     """
-    kind = _KIND[data]
-    lead, last = data[:-1], kind[1:]
-    last[(lead >= _LETTER_LEADS[0]) & (lead <= _LETTER_LEADS[1])] = 1
-    for a, b in _NO_LETTERS:
-        last[(lead == a) & (data[1:] == b)] = 0
-    return (kind[:-1] != last) & (kind[:-1] > 0) & (_KIND[data[1:]] > 0) & (lead != _APOSTROPHE)
-
-
-def cut_points(data: np.ndarray, offsets: np.ndarray, odd: np.ndarray, by_kind: bool) -> np.ndarray:
-    """Starts of the chunks: document starts, white space after what can't be white space, changes of kind."""
     n = len(data)
+    pair = np.zeros(n, np.uint16)
+    pair[1:] = data[:-1]
+    pair <<= np.uint16(8)
+    pair |= data
+    facts = _FACTS.take(pair)
+    odd = facts & _ODD > 0
+    odd[1:] |= facts[:-1] & _ODD_NEXT > 0
     cut = np.zeros(n + 1, dtype=bool)
-    cut[1:n] = kernel.IS_SPACE[data[1:]] & ~odd[:-1]
+    cut[1:n] = (facts[1:] & _SPACE > 0) & ~odd[:-1]
     if by_kind:
-        cut[1:n] |= _kind_changes(data)
+        cut[1:n] |= (facts[1:] & _CHANGE > 0) | (facts[:-1] & _LETTER > 0) & (facts[1:] & _AFTER_LETTER > 0)
     cut[offsets] = True
     cut[n] = False
-    return np.flatnonzero(cut)
+    return np.flatnonzero(cut), odd
 
 
 def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -181,8 +191,7 @@ class ChunkEncoder:
         """Ids of the documents joined, and where each document's ids start (one more at the end)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        odd = _odd_ends(data)
-        starts = cut_points(data, offsets, odd, self.by_kind)
+        starts, odd = cut_points(data, offsets, self.by_kind)
         ends = np.append(starts[1:], len(data))
         keys = kernel.span_hashes(kernel.prefix_sums(data), starts, ends)
         long = np.flatnonzero(ends - starts > LONGEST_CACHED)
