@@ -116,9 +116,9 @@ class Counter:
         new = np.flatnonzero(missing)
         a, b = starts[short][first[new]].tolist(), ends[short][first[new]].tolist()
         made[new] = [length(raw[i:j]) for i, j in zip(a, b, strict=True)]
-        self.recent.add(keys[new], new, made[new])
+        self.recent.add(keys[new], new, made[new], np.zeros(len(new), bool))
         if len(self.recent.keys) > max(100_000, len(self.main.keys) // 4):
-            self.main.add(self.recent.keys, self.recent.starts, self.recent.counts)
+            self.main.add(self.recent.keys, self.recent.starts, self.recent.counts, self.recent.again)
             self.recent = _Table()
         out[short] = made[inverse]
         return out

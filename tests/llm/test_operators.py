@@ -486,6 +486,19 @@ def test_pieces(spark, both):
         assert (r["n_words"], r["n_pieces"], r["longest_word_pieces"]) == (len(words), sum(each), max(each, default=0))
 
 
+def test_piece_counts_are_kept_from_batch_to_batch(monkeypatch):
+    """New words, words met again, tables that merge and a cache past its bound give the automaton's own counts."""
+    counter = pieces.Counter(tokens.default_tokenizer())
+    # As many distinct words as make the recent table join the main one.
+    words = [b"w%dq" % k for k in range(100_001)]
+    for most, batch, kept in ((200_000, words[:10], (0, 10)), (200_000, words, (100_001, 0)), (200_000, [b"more", *words[:10], b"y" * 99, b"more"], (100_001, 1)), (100_000, words[5:20], (0, 15))):
+        monkeypatch.setattr(pieces, "MOST_CACHED", most)
+        data = np.frombuffer(b" ".join(batch), np.uint8)
+        starts, ends, _ = kernel.runs(~kernel.IS_SPACE[data], np.array([0, len(data)]))
+        assert counter.counts(data, starts, ends).tolist() == [counter.automaton.length(w) for w in batch]
+        assert (len(counter.main.keys), len(counter.recent.keys)) == kept
+
+
 def test_licenses(spark, both):
     filler = "lorem ipsum dolor sit amet consectetur " * 20
     mit = licenses.TEMPLATES["mit-grant"]
