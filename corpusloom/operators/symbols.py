@@ -64,13 +64,38 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None
     else:
         asked = asked.withColumn("imported", F.lit(None).cast("boolean"))
     receiver = F.col("receiver_type") if "receiver_type" in symbols.columns else F.lit(None).cast("string")
-    c = symbols.select("name", "symbol_id", F.col("file_id").alias("target_file"), F.col("family").alias("target_family"), "is_exported", "is_test", receiver.alias("receiver_type"))
-    typed, near = F.coalesce(F.col("receiver") == F.col("receiver_type"), F.lit(False)), F.col("file_id") == F.col("target_file")
-    family, target = F.coalesce("family", F.lit("unknown")), F.coalesce("target_family", F.lit("unknown"))
-    joined = asked.join(c, "name").where(typed | near | (family == target) | (family == "unknown") | (target == "unknown"))
-    hidden = ~F.col("is_exported") & F.col("imported").isNull()
-    order = F.struct((~typed).alias("untyped"), (~near).alias("far"), hidden.alias("hidden"), (hidden & F.col("is_test")).alias("test"), "symbol_id")
-    return joined.groupBy("ref_id").agg(F.min(order).alias("k")).select("ref_id", F.col("k.symbol_id").alias("target_symbol"))
+    c = symbols.select("name", "symbol_id", F.col("file_id").alias("target_file"), F.coalesce("family", F.lit("unknown")).alias("target_family"), "is_exported", "is_test", receiver.alias("receiver_type"))
+    asked = asked.withColumn("known", F.when(F.coalesce("family", F.lit("unknown")) != "unknown", F.col("family")))
+
+    def best(kind: str, keys: dict[str, str]) -> DataFrame:
+        """The first candidate of each key, where the file imports the name and where it doesn't."""
+        hidden = ~F.col("is_exported")
+        plain = F.struct(hidden.alias("hidden"), (hidden & F.col("is_test")).alias("test"), "symbol_id")
+        chosen = c.where(" and ".join(f"{k} is not null" for k in ("name", *keys)))
+        named = [F.col(k).alias(v) for k, v in keys.items()]
+        return chosen.groupBy("name", *named).agg(F.min("symbol_id").alias(f"{kind}_first"), F.min(plain).alias(f"{kind}_plain"))
+
+    # From the closest kind of candidate to the farthest, each by equal keys: no reference meets all symbols of its name.
+    kinds = {
+        "typed_near": {"receiver_type": "receiver", "target_file": "file_id"},
+        "typed": {"receiver_type": "receiver"},
+        "near": {"target_file": "file_id"},
+        "family": {"target_family": "known"},
+        "every": {},
+    }
+    for kind, keys in kinds.items():
+        asked = asked.join(best(kind, keys), ["name", *keys.values()], "left")
+    nobody = best("nobody", {"target_family": "of"}).where("of = 'unknown'").drop("of")
+    asked = asked.join(nobody, "name", "left")
+    found = {}
+    for kind in (*kinds, "nobody"):
+        # An imported name makes none hidden, so the first counts.
+        imported = F.when(F.col(f"{kind}_first").isNotNull(), F.struct(F.lit(False).alias("hidden"), F.lit(False).alias("test"), F.col(f"{kind}_first").alias("symbol_id")))
+        found[kind] = F.when(F.col("imported").isNotNull(), imported).otherwise(F.col(f"{kind}_plain"))
+    far = F.when(F.col("known").isNull(), found["every"]).otherwise(F.least(found["family"], found["nobody"]))
+    rank = lambda n, k: F.when(k.isNotNull(), F.struct(F.lit(n).alias("rank"), k.alias("k")))
+    order = F.coalesce(rank(0, found["typed_near"]), rank(1, found["typed"]), rank(2, found["near"]), rank(3, far))
+    return asked.select("ref_id", order.alias("k")).where("k is not null").groupBy("ref_id").agg(F.min("k").alias("k")).select("ref_id", F.col("k.k.symbol_id").alias("target_symbol"))
 
 
 def reference_stats(references: DataFrame) -> DataFrame:

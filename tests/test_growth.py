@@ -3,6 +3,7 @@
 import random
 
 from corpusloom.operators import context as C
+from corpusloom.operators import symbols as Y
 
 
 def test_parents_against_brute_force(spark):
@@ -19,3 +20,28 @@ def test_parents_against_brute_force(spark):
                 want[i, name] = min(want.get((i, name), "~"), f"{a}-{z}")
     got = C.parents(symbols).collect()
     assert {(r["symbol_id"], r["name"]): r["detail"] for r in got} == want and len(got) == len(want)
+
+
+def test_references_meet_few_symbols(spark):
+    """A name that all symbols and references share: the best candidates, and no row for each pair."""
+    rng = random.Random(5)
+    symbols = [(k, "x", rng.choice([*range(40), None]), rng.choice(["go", "rust", "unknown", None]), rng.random() < 0.3, rng.random() < 0.5, rng.choice(["T1", "T2", None])) for k in range(400)]
+    refs = [(k, rng.choice(["x", "T1.x", "T2.x", "T9.x"]), rng.choice([*range(80), None]), rng.choice(["go", "zig", "unknown", None])) for k in range(300)]
+    imports = {3, 60, 61, 62}
+    want = {}
+    for ref, name, file, family in refs:
+        receiver, family = name.split(".")[0] if "." in name else None, family or "unknown"
+        keys = []
+        for s, _, target, kind, exported, test, typed in symbols:
+            kind, typed, near = kind or "unknown", receiver is not None and receiver == typed, file is not None and file == target
+            if typed or near or family == kind or "unknown" in (family, kind):
+                hidden = not exported and file not in imports
+                keys.append((not typed, not near, hidden, hidden and test, s))
+        want[ref] = min(keys)[-1]
+    frames = (
+        spark.createDataFrame(refs, "ref_id long, referenced_name string, file_id long, family string"),
+        spark.createDataFrame(symbols, "symbol_id long, name string, file_id long, family string, is_exported boolean, is_test boolean, receiver_type string"),
+        spark.createDataFrame([(f, "x") for f in imports], "file_id long, imported_name string"),
+    )
+    found = Y.resolve(*(f.coalesce(1) for f in frames))
+    assert {r["ref_id"]: r["target_symbol"] for r in found.collect()} == want
