@@ -7,6 +7,10 @@ so a lookup reads a few buckets.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +77,43 @@ def overlap_candidates(grams: DataFrame, pattern: str) -> DataFrame:
     return grams.where(F.col("gram").isin(asked)).groupBy("file_id").agg(F.countDistinct("gram").alias("hits")).where(F.col("hits") >= need)
 
 
+_WORD = re.compile(rb"[a-z0-9_]{3,}")
+
+
+#: Postings that are given on together: bounds what a worker holds.
+_GIVEN = 1 << 16
+
+
+def _first_places(text: bytes | None) -> dict[bytes, int]:
+    """Folded words of a text with their first byte; bytes above ASCII are in no word."""
+    found: dict[bytes, int] = {}
+    for m in _WORD.finditer((text or b"").lower()):
+        found.setdefault(m[0], m.start())
+    return found
+
+
 def postings(files: DataFrame) -> DataFrame:
-    """(token, file_id, first_offset): folded runs of three or more word characters, with the first byte offset."""
-    # A word's offset is a running sum of the bytes of what stands before it.
-    pattern = "[A-Za-z0-9_]+"
-    pairs = F.arrays_zip(F.split("content", pattern, -1).alias("gap"), F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("word"))
-    after = lambda at, x: (at + F.octet_length(x["gap"]) + F.coalesce(F.octet_length(x["word"]), F.lit(0))).cast("long")
-    placed = T.running(pairs, F.lit(0).cast("long"), after, lambda at, x: F.struct(x["word"].alias("token"), (at + F.octet_length(x["gap"])).cast("long").alias("at")), "struct<token:string,at:bigint>")
-    words = files.select("file_id", F.explode(placed).alias("x")).where(F.length("x.token") >= 3)
-    return words.groupBy(T.fold(F.col("x.token")).alias("token"), "file_id").agg(F.min("x.at").alias("first_offset"))
+    """(token, file_id, first_offset): folded runs of three or more word characters, with the first byte offset.
+
+    Each text is scanned once as bytes; a file whose id comes again gives a token once.
+    """
+    kind = files.schema["file_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tokens, places, rows = batch.column("file_id"), [], [], []
+            for row, text in enumerate(batch.column("content").cast(pa.large_binary())):
+                found = _first_places(text.as_py())
+                tokens += found
+                places += found.values()
+                rows += [row] * len(found)
+                if len(rows) >= _GIVEN or row == len(ids) - 1:
+                    words = pa.array(tokens, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([words, ids.take(pa.array(rows, pa.int64())), pa.array(places, pa.int64())], names=["token", "file_id", "first_offset"])
+                    tokens, places, rows = [], [], []
+
+    words = files.select("file_id", "content").mapInArrow(run, f"token string, file_id {kind.simpleString()}, first_offset long")
+    return words.groupBy("token", "file_id").agg(F.min("first_offset").alias("first_offset"))
 
 
 # Extensions that are binary.

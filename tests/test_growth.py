@@ -1,8 +1,11 @@
 """Steps whose cost once grew faster than their input, against plain versions of them."""
 
 import random
+import re
 
+from corpusloom.functions import text as T
 from corpusloom.operators import context as C
+from corpusloom.operators import index as X
 from corpusloom.operators import symbols as Y
 
 
@@ -45,3 +48,19 @@ def test_references_meet_few_symbols(spark):
     )
     found = Y.resolve(*(f.coalesce(1) for f in frames))
     assert {r["ref_id"]: r["target_symbol"] for r in found.collect()} == want
+
+
+def test_postings_of_one_scan(spark):
+    """Words and their first bytes as a plain scan finds them; no state is carried over an array of words."""
+    text = "The cat the_CAT ab né thé naïve日本 cat\x00CAT Kelvin Kat " * 50
+    rows = [(1, text), (2, None), (3, ""), (4, "ab"), (5, "xyz " + text), (5, "cat")]
+    want = {}
+    for f, t in rows:
+        for m in re.finditer(rb"[A-Za-z0-9_]+", (t or "").encode()):
+            if len(m[0]) >= 3:
+                key = m[0].decode().translate(str.maketrans(T.UPPER, T.LOWER)), f
+                want[key] = min(want.get(key, m.start()), m.start())
+    found = X.postings(spark.createDataFrame(rows, "file_id long, content string").coalesce(1))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert {(r["token"], r["file_id"]): r["first_offset"] for r in got} == want and len(got) == len(want)
