@@ -125,12 +125,11 @@ MAGIC = ("1F8B", "504B0304", "504B0506", "89504E47", "FFD8FF", "47494638", "2550
 def is_binary(path: Column, content: Column) -> Column:
     """By extension (minified scripts are text), leading bytes, or the share of odd bytes in the first 512."""
     by_name = T.extension(path).isin(BINARY) & ~path.endswith(".min.js") & ~path.endswith(".min.css")
-    head = F.hex(F.substring(content.cast("binary"), 1, 512))
-    by_magic = F.greatest(*(head.startswith(m) for m in MAGIC))
-    size = F.length(head) / 2
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest((size - 1).cast("int"), F.lit(0))), lambda i: F.substring(head, i * 2 + 1, F.lit(2)))
-    nulls = F.size(F.filter(pairs, lambda b: b == "00"))
-    odd = F.size(F.filter(pairs, lambda b: b.rlike("^[01]") & ~b.isin("09", "0A", "0D")))
+    # The head as one character a byte, so that a pattern counts bytes.
+    head = F.decode(F.substring(content, 1, 512).cast("binary").substr(1, 512), "ISO-8859-1")
+    by_magic = F.hex(F.substring(content, 1, 8).cast("binary")).rlike(f"^(?:{'|'.join(MAGIC)})")
+    size = F.length(head)
+    nulls, odd = F.regexp_count(head, F.lit(r"\x00")), F.regexp_count(head, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
     by_share = (size > 0) & ((nulls > F.floor(size / 100)) | (odd > F.floor(size * 30 / 100)))
     return by_name | F.coalesce(by_magic | by_share, F.lit(False))
 

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from corpusloom.functions import text as T
 from corpusloom.operators import context as C
 from corpusloom.operators import index as X
@@ -64,3 +66,16 @@ def test_postings_of_one_scan(spark):
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = found.collect()
     assert {(r["token"], r["file_id"]): r["first_offset"] for r in got} == want and len(got) == len(want)
+
+
+def test_binary_heads_at_their_bounds(spark):
+    """Shares of odd bytes at the bounds, leading bytes and text of several bytes a character, by no loop over bytes."""
+    heads = [b"", b"\x00", b"a" * 99 + b"\x00", b"a" * 200 + b"\x00" * 2, b"a" * 200 + b"\x00" * 3, b"\x01" * 30 + b"a" * 70, b"\x1f" * 31 + b"a" * 69, b"\t\n\r" * 50, "é日".encode() * 300, b"a" * 512 + b"\x00" * 90, b"\x1f\x8b", b"x\x1f\x8b", b"MZ", b"\xff\xd8\xff\xe0", b"\x80\x90\xff" * 9]
+    want = {}
+    for k, h in enumerate(heads):
+        h = h[:512]
+        odd = sum(b < 32 and b not in (9, 10, 13) for b in h)
+        want[k] = h.hex().upper().startswith(X.MAGIC) or bool(h) and (h.count(0) > len(h) // 100 or odd > len(h) * 30 // 100)
+    found = spark.createDataFrame([*enumerate(heads), (99, None)], "k long, content binary").coalesce(1).select("k", X.is_binary(F.lit("x"), F.col("content")).alias("b"))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["k"]: r["b"] for r in found.collect()} == want | {99: False}
