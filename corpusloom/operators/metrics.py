@@ -173,8 +173,12 @@ def domain_terms(names: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
 
 def vocabulary(names: DataFrame) -> DataFrame:
     """(word, n, holders): how often words occur in names, and in how many of them."""
-    each = names.select("name", F.explode(T.split_identifier(F.col("name"))).alias("word"))
-    return each.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("name").alias("holders"))
+    # Each distinct name is split once, and its words carry how often it comes.
+    once = names.groupBy("name").agg(F.count("*").alias("times"))
+    words = once.select("times", T.split_identifier(F.col("name")).alias("words"))
+    each = words.select("times", "words", F.posexplode("words").alias("at", "word"))
+    first = F.array_position("words", F.col("word")) == F.col("at") + 1
+    return each.select("word", "times", first.cast("long").alias("first")).groupBy("word").agg(F.sum("times").alias("n"), F.sum("first").alias("holders"))
 
 
 def unknown_words(names: DataFrame, known: list[str], least: int = 2, top: int = 15) -> DataFrame:

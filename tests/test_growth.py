@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import context as C
 from corpusloom.operators import index as X
+from corpusloom.operators import metrics as M
 from corpusloom.operators import symbols as Y
 
 
@@ -79,3 +80,11 @@ def test_binary_heads_at_their_bounds(spark):
     found = spark.createDataFrame([*enumerate(heads), (99, None)], "k long, content binary").coalesce(1).select("k", X.is_binary(F.lit("x"), F.col("content")).alias("b"))
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["k"]: r["b"] for r in found.collect()} == want | {99: False}
+
+
+def test_vocabulary_of_distinct_names(spark):
+    """Words of names that come again, and words twice in a name; no set of names for each word."""
+    names = ["red_red_bolt", "redBolt", "redBolt", "red", "", None, "x9y"] * 3 + ["bolt"]
+    found = M.vocabulary(spark.createDataFrame([(n,) for n in names], "name string").coalesce(1))
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["word"]: (r["n"], r["holders"]) for r in found.collect()} == {"red": (15, 3), "bolt": (10, 3), "x": (3, 1), "9": (3, 1), "y": (3, 1)}
