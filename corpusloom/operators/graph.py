@@ -58,9 +58,10 @@ def reach(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def fixpoint(edges: DataFrame, start: DataFrame, value: str, better: Column, combine, scratch: Scratch, rounds: int, name: str, repeats: bool = False) -> DataFrame:
     """(node, value): each round sends `better` along the edges and combines it with what is there.
 
-    Repeated edges count once, or with `repeats` each.
+    Repeated edges count once, or with `repeats` each. The join is by sorting: a table that
+    just fits a broadcast would be sent to the driver in each round.
     """
-    now, edges = scratch.save(start.select("node", value), f"{name}-0"), edges if repeats else edges_of(edges)
+    now, edges = scratch.save(start.select("node", value), f"{name}-0"), (edges if repeats else edges_of(edges)).hint("merge")
     before = None
     for turn in range(1, rounds + 1):
         sent = now.join(edges, now["node"] == edges["src"]).select(F.col("dst").alias("node"), better.alias(value))

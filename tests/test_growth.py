@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import context as C
+from corpusloom.operators import graph as G
 from corpusloom.operators import index as X
 from corpusloom.operators import metrics as M
 from corpusloom.operators import symbols as Y
+from corpusloom.runtime import Scratch
 
 
 def test_parents_against_brute_force(spark):
@@ -88,3 +90,18 @@ def test_vocabulary_of_distinct_names(spark):
     found = M.vocabulary(spark.createDataFrame([(n,) for n in names], "name string").coalesce(1))
     assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["word"]: (r["n"], r["holders"]) for r in found.collect()} == {"red": (15, 3), "bolt": (10, 3), "x": (3, 1), "9": (3, 1), "y": (3, 1)}
+
+
+def test_rounds_send_no_tables_to_the_driver(spark):
+    """Joins of a loop's rounds are by sorting also where a table is small enough to broadcast."""
+    plans = []
+
+    class Watched(Scratch):
+        def save(self, df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, name)
+
+    edges, direct = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long").coalesce(1), spark.createDataFrame([(3, 32)], "node long, mask long").coalesce(1)
+    got = G.transitive_effects(edges, direct, M.PROPAGATED, Watched(spark, "t")).collect()
+    assert {r["node"]: r["mask"] for r in got} == {1: 32, 2: 32, 3: 32}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
