@@ -95,7 +95,11 @@ def h07_levenshtein(spark, sf):
 
 @query(None)
 def h08_semantic_scores(spark, sf):
-    scored = names(spark, sf).distinct().select("name", N.semantic_score_udf("red widgets", {"red": 1, "crimson": 1})("name").alias("s"))
+    # Small rows that take long: a number of parts of its own, as their bytes would make few.
+    dealt = names(spark, sf).distinct().repartition(4 * spark.sparkContext.defaultParallelism)
+    # Nondeterministic, so that the filter on its result stays above the deal.
+    score = N.semantic_score_udf("red widgets", {"red": 1, "crimson": 1}).asNondeterministic()
+    scored = dealt.select("name", score("name").alias("s"))
     return scored.select("name", "s.score", "s.detector").where("score >= 0.2").orderBy(F.col("score").desc(), "name").limit(10)
 
 
