@@ -2,14 +2,14 @@
 
 Loops join the frontier with the edges and write it to the shared folder at each round;
 they stop when nothing changes. Visited sets are anti-joins. Nothing is collected but
-counts; betweenness and communities run in tasks that hold a graph's edges, up to a bound.
+counts; betweenness and communities run in tasks that hold a graph's edges as plain arrays.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,35 +139,41 @@ def cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return sizes.join(own, "component", "left").where("size > 1 or own = 1").select("component", "size")
 
 
-def _adjacency(pairs: Iterator[tuple]) -> dict:
-    out = defaultdict(list)
-    for a, b in sorted(set(pairs)):
-        if a != b:
-            out[a].append(b)
-    return out
+def _compressed(heads: np.ndarray, tails: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, tail, weight): the edges of node v are first[v] to first[v + 1], rising; weight is how often each comes."""
+    return _merged(heads, tails, np.ones(len(heads)), n)
 
 
-def betweenness(edges: DataFrame, most_edges: int = 1_000_000, batches: int = 256) -> DataFrame:
+def _merged(heads: np.ndarray, tails: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, place = np.unique(heads * n + tails, return_inverse=True)
+    return np.searchsorted(keys, np.arange(n + 1) * n), keys % max(n, 1), np.bincount(place, weight, len(keys))
+
+
+def betweenness(edges: DataFrame, most_edges: int | None = None, batches: int = 256) -> DataFrame:
     """(node, score): Brandes' shortest-path shares over (n-1)(n-2), in batches of sources.
 
-    Each batch holds all edges, so a graph of more than `most_edges` is refused.
+    Each worker holds all edges as plain arrays, 16 bytes a node and 8 an edge; `most_edges` refuses more.
     """
     edges = edges_of(edges)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    n, m = nodes.count(), edges.count()
-    if m > most_edges:
+    if most_edges is not None and (m := edges.count()) > most_edges:
         raise ValueError(f"a graph of {m} edges is over the bound of {most_edges}")
     held = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).toPandas()
-    shared = edges.sparkSession.sparkContext.broadcast(list(zip(held["src"].tolist(), held["dst"].tolist(), strict=True)))
+    ids, ends = np.unique(np.concatenate([held["src"].to_numpy(), held["dst"].to_numpy()]), return_inverse=True)
+    src, dst = ends[: len(held)], ends[len(held) :]
+    n, other = len(ids), src != dst
+    first, tail, _ = _compressed(src[other], dst[other], n)
+    shared = edges.sparkSession.sparkContext.broadcast((ids, first, tail))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        follow, score = _adjacency(shared.value), defaultdict(float)
-        for s in group["node"].tolist():
+        ids, first, tail = shared.value
+        first, tail, score = memoryview(first), memoryview(tail), defaultdict(float)
+        for s in np.searchsorted(ids, group["node"].to_numpy()).tolist():
             order, paths, dist, before, todo = [], defaultdict(float, {s: 1.0}), {s: 0}, defaultdict(list), deque([s])
             while todo:
                 v = todo.popleft()
                 order.append(v)
-                for w in follow.get(v, ()):
+                for w in tail[first[v] : first[v + 1]]:
                     if w not in dist:
                         dist[w] = dist[v] + 1
                         todo.append(w)
@@ -180,67 +186,92 @@ def betweenness(edges: DataFrame, most_edges: int = 1_000_000, batches: int = 25
                     share[v] += paths[v] / paths[w] * (1 + share[w])
                 if w != s:
                     score[w] += share[w]
-        return pd.DataFrame({"node": list(score), "score": list(score.values())}, columns=["node", "score"])
+        return pd.DataFrame({"node": ids[list(score)] if score else [], "score": list(score.values())}, columns=["node", "score"])
 
     parts = nodes.select(F.col("node").cast("long"), F.pmod(F.xxhash64("node"), F.lit(batches)).alias("b")).groupBy("b").applyInPandas(run, "node long, score double")
     scale = max(1, (n - 1) * (n - 2))
     return parts.groupBy("node").agg((F.sum("score") / scale).alias("score"))
 
 
-def louvain(edges: list[tuple[int, int]]) -> dict[int, int]:
-    """Communities by modularity gains, ties to the lowest community; nodes in order of their number."""
-    weight: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-    for a, b in set(edges):
-        weight[a][b] += 1.0
-        weight[b][a] += 1.0
-    member = {v: v for v in weight}
+def _moves(first: np.ndarray, tail: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The community of each node after moves in the order of nodes, until none moves.
+
+    A node is looked at again only after a community that it meets changed: else it would stay.
+    """
+    n = len(first) - 1
+    heads = np.repeat(np.arange(n), np.diff(first))
+    degrees = np.bincount(heads, weight, n)
+    total, placed, loads = float(weight.sum()) or 1.0, np.arange(n), degrees.copy()
+    first, tail, weight, degree, place, load = map(memoryview, (first, tail, weight, degrees, placed, loads))
+    changed, seen = memoryview(np.zeros(n, dtype=np.int64)), memoryview(np.full(n, -1, dtype=np.int64))
+    tick, moved = 0, True
+    while moved:
+        moved = False
+        for v in range(n):
+            own, last, at, stop = place[v], seen[v], first[v], first[v + 1]
+            stale, near = changed[own] > last, {}
+            for k in range(at, stop):
+                if (u := tail[k]) != v:
+                    c = place[u]
+                    near[c] = near.get(c, 0.0) + weight[k]
+                    stale = stale or changed[c] > last
+            if not stale:
+                continue
+            d = degree[v]
+            load[own] -= d
+            stay = near.get(own, 0.0) - load[own] * d / total
+            best, most, top = own, stay, round(stay, 12)
+            for c, w in near.items():
+                gain = w - load[c] * d / total
+                rounded = round(gain, 12)
+                if rounded > top or rounded == top and c < best:
+                    best, most, top = c, gain, rounded
+            if most <= stay + 1e-12:
+                best = own
+            load[best] += d
+            if best != own:
+                tick += 1
+                place[v], changed[own], changed[best], moved = best, tick, tick, True
+            seen[v] = tick
+    return placed
+
+
+def louvain(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, community) by modularity gains, ties to the lowest community; nodes in order of their number.
+
+    A graph is plain arrays, some 330 bytes an edge at the peak.
+    """
+    ids, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = ends[: len(src)], ends[len(src) :]
+    n, member = len(ids), np.arange(len(ids))
+    first, tail, _ = _compressed(a, b, n)
+    heads, tail = np.repeat(np.arange(n), np.diff(first)), tail
+    first, tail, weight = _merged(np.concatenate([heads, tail]), np.concatenate([tail, heads]), np.ones(2 * len(tail)), n)
     while True:
-        total = sum(sum(x.values()) for x in weight.values()) or 1.0
-        degree = {v: sum(x.values()) for v, x in weight.items()}
-        place, load = {v: v for v in weight}, dict(degree)
-        moved, changed = True, False
-        while moved:
-            moved = False
-            for v in sorted(weight):
-                near: dict[int, float] = defaultdict(float)
-                for u, w in weight[v].items():
-                    if u != v:
-                        near[place[u]] += w
-                load[place[v]] -= degree[v]
-                gain = lambda c: near.get(c, 0.0) - load.get(c, 0.0) * degree[v] / total  # noqa: B023, E731
-                best = min([*near, place[v]], key=lambda c: (-round(gain(c), 12), c))
-                if gain(best) <= gain(place[v]) + 1e-12:
-                    best = place[v]
-                load[best] = load.get(best, 0.0) + degree[v]
-                if best != place[v]:
-                    place[v], moved, changed = best, True, True
-        member = {v: place[c] for v, c in member.items()}
-        if not changed:
+        place = _moves(first, tail, weight)
+        if (place == np.arange(n)).all():
             break
-        merged: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        for v, x in weight.items():
-            for u, w in x.items():
-                merged[place[v]][place[u]] += w
-        weight = merged
-    least: dict[int, int] = {}
-    for v in sorted(member):
-        least.setdefault(member[v], v)
-    return {v: least[c] for v, c in member.items()}
-
-
-def communities(edges: DataFrame, most_edges: int = 1_000_000) -> DataFrame:
+        kept, place = np.unique(place, return_inverse=True)
+        member = place[member]
+        heads, n = np.repeat(np.arange(n), np.diff(first)), len(kept)
+        first, tail, weight = _merged(place[heads], place[tail], weight, n)
+    _, least = np.unique(member, return_index=True)
+    return ids, ids[least[member]]
+
+
+def communities(edges: DataFrame, most_edges: int | None = None) -> DataFrame:
     """(node, community) per graph (`graph` column, or one in all), each graph in one task.
 
-    The order of moves matters, so a graph isn't split; graphs over the bound are refused.
+    The order of moves matters, so a graph isn't split; `most_edges` refuses larger ones.
     """
     if "graph" not in edges.columns:
         edges = edges.withColumn("graph", F.lit(0))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > most_edges:
+        if most_edges is not None and len(group) > most_edges:
             raise ValueError(f"a graph of {len(group)} edges is over the bound of {most_edges}")
-        made = louvain(list(zip(group["src"].tolist(), group["dst"].tolist(), strict=True)))
-        return pd.DataFrame({"graph": group["graph"].iloc[0], "node": list(made), "community": list(made.values())})
+        node, community = louvain(group["src"].to_numpy(), group["dst"].to_numpy())
+        return pd.DataFrame({"graph": group["graph"].iloc[0], "node": node, "community": community})
 
     return edges.select(F.col("graph").cast("long"), F.col("src").cast("long"), F.col("dst").cast("long")).distinct().groupBy("graph").applyInPandas(run, "graph long, node long, community long")
 

@@ -1,10 +1,15 @@
 """Steps whose cost once grew faster than their input, against plain versions of them."""
 
+import inspect
 import random
 import re
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom import catalog
+from corpusloom.functions import names as N
 from corpusloom.functions import text as T
 from corpusloom.operators import context as C
 from corpusloom.operators import graph as G
@@ -105,3 +110,89 @@ def test_rounds_send_no_tables_to_the_driver(spark):
     got = G.transitive_effects(edges, direct, M.PROPAGATED, Watched(spark, "t")).collect()
     assert {r["node"]: r["mask"] for r in got} == {1: 32, 2: 32, 3: 32}
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def _scattered(n: int, m: int) -> list[tuple[int, int]]:
+    rng = random.Random(n)
+    return [(rng.randrange(n) * 7 - 20, rng.randrange(n) * 7 - 20) for _ in range(m)]
+
+
+def test_communities_against_plain_moves():
+    """The same moves as by tables of tables: loops on a node, edges both ways, several levels."""
+    for n, m in ((5, 12), (30, 40), (60, 75), (200, 260)):
+        edges = _scattered(n, m)
+        src, dst = np.array(sorted(set(edges))).T
+        got = dict(zip(*(x.tolist() for x in G.louvain(src, dst)), strict=True))
+        assert got == plain_louvain(edges)
+
+
+def test_paths_through_nodes_against_brute_force(spark):
+    edges = {(a, b) for a, b in _scattered(12, 22)}
+    nodes, want = {v for e in edges for v in e}, {}
+    paths = {(v, v): [[v]] for v in nodes}
+    for s in nodes:
+        front = [[s]]
+        while front:
+            seen = {t for a, t in paths if a == s}
+            front = [[*p, b] for p in front for a, b in edges if a == p[-1] and b not in seen]
+            for p in front:
+                paths.setdefault((s, p[-1]), []).append(p)
+    for (s, t), found in paths.items():
+        for p in found:
+            for v in p[1:-1]:
+                want[v] = want.get(v, 0.0) + 1 / len(found)
+    scale = (len(nodes) - 1) * (len(nodes) - 2)
+    made = spark.createDataFrame(list(edges), "src long, dst long").coalesce(1)
+    got = {r["node"]: round(r["score"], 9) for r in G.betweenness(made).collect() if r["score"]}
+    assert got == {v: round(x / scale, 9) for v, x in want.items()}
+    assert inspect.signature(G.betweenness).parameters["most_edges"].default is None  # no bound unless asked for
+
+
+def test_scores_of_names_are_dealt(spark, small):
+    """Each name is scored once, above the deal, and only names that can be alike are compared by letters."""
+    plan = catalog.queries()["h08_semantic_scores"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Repartition") < plan.index("Aggregate")
+    rng = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(2))
+        assert N._can_reach(a, b, 0.85) or N.jaro_winkler(a, b) < 0.85
+
+
+def plain_louvain(edges):
+    weight: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    for a, b in set(edges):
+        weight[a][b] += 1.0
+        weight[b][a] += 1.0
+    member = {v: v for v in weight}
+    while True:
+        total = sum(sum(x.values()) for x in weight.values()) or 1.0
+        degree = {v: sum(x.values()) for v, x in weight.items()}
+        place, load = {v: v for v in weight}, dict(degree)
+        moved, changed = True, False
+        while moved:
+            moved = False
+            for v in sorted(weight):
+                near: dict[int, float] = defaultdict(float)
+                for u, w in weight[v].items():
+                    if u != v:
+                        near[place[u]] += w
+                load[place[v]] -= degree[v]
+                gain = lambda c: near.get(c, 0.0) - load.get(c, 0.0) * degree[v] / total  # noqa: B023, E731
+                best = min([*near, place[v]], key=lambda c: (-round(gain(c), 12), c))
+                if gain(best) <= gain(place[v]) + 1e-12:
+                    best = place[v]
+                load[best] = load.get(best, 0.0) + degree[v]
+                if best != place[v]:
+                    place[v], moved, changed = best, True, True
+        member = {v: place[c] for v, c in member.items()}
+        if not changed:
+            break
+        merged: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        for v, x in weight.items():
+            for u, w in x.items():
+                merged[place[v]][place[u]] += w
+        weight = merged
+    least: dict[int, int] = {}
+    for v in sorted(member):
+        least.setdefault(member[v], v)
+    return {v: least[c] for v, c in member.items()}
