@@ -6,8 +6,13 @@ once, so nothing is compared with everything.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as T
 from corpusloom.functions.names import jaro_winkler_udf
@@ -35,10 +40,58 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
+#: Sets of the right side that a worker holds at once; more of them go by prefixes.
+MOST_HELD = 1 << 13
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left_id, right_id, similarity) over two token-set tables.
 
-    A pair at the threshold shares one of the rarest n - ceil(t n) + 1 tokens of each side,
+    Up to `MOST_HELD` sets on the right are held as an index of their tokens, and each set on
+    the left counts what it shares with all of them, without a shuffle; beyond, by prefixes.
+    """
+    few = right.limit(MOST_HELD + 1).count() <= MOST_HELD
+    return _pairs_by_index(left, right, least) if few and least > 0 else _pairs_by_prefixes(left, right, least)
+
+
+def _pairs_by_index(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    held = right.where("size(tokens) > 0").toPandas()
+    places: dict[str, list[int]] = {}
+    for k, tokens in enumerate(held["tokens"]):
+        for token in tokens:
+            places.setdefault(token, []).append(k)
+    index = {token: np.array(at, dtype=np.int32) for token, at in places.items()}
+    sizes = np.array([len(x) for x in held["tokens"]], dtype=np.int64)
+    shared = left.sparkSession.sparkContext.broadcast((held["file_id"].tolist(), sizes, index))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, index = shared.value
+        for batch in frames:
+            rows, found, both_sizes = [], [], []
+            for row, tokens in enumerate(batch.column("tokens")):
+                if not tokens.is_valid:
+                    continue
+                known = [at for t in tokens.as_py() if (at := index.get(t)) is not None]
+                if not known:
+                    continue
+                n, both = len(tokens), np.bincount(np.concatenate(known), minlength=len(sizes))
+                # With room for rounding: the exact test follows.
+                for k in np.flatnonzero(both >= (least - 1e-5) * (n + sizes - both)).tolist():
+                    rows.append(row)
+                    found.append(k)
+                    both_sizes.append((int(both[k]), n + int(sizes[k]) - int(both[k])))
+            chosen = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("left_id").take(chosen), pa.array([ids[k] for k in found], right_kind), pa.array([x for x, _ in both_sizes], pa.int64()), pa.array([y for _, y in both_sizes], pa.int64())], names=["left_id", "right_id", "both", "either"])
+
+    kinds = [x.schema["file_id"].dataType for x in (left, right)]
+    right_kind = to_arrow_type(kinds[1])
+    made = left.select(F.col("file_id").alias("left_id"), "tokens").mapInArrow(run, f"left_id {kinds[0].simpleString()}, right_id {kinds[1].simpleString()}, both long, either long")
+    similarity = F.round(F.col("both") / F.greatest("either", F.lit(1)), 6)
+    return made.select("left_id", "right_id", similarity.alias("similarity")).where(F.col("similarity") >= least)
+
+
+def _pairs_by_prefixes(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """A pair at the threshold shares one of the rarest n - ceil(t n) + 1 tokens of each side,
     so candidates join on these prefixes, with the length filter.
     """
     counts = left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))

@@ -15,6 +15,7 @@ from corpusloom.operators import context as C
 from corpusloom.operators import graph as G
 from corpusloom.operators import index as X
 from corpusloom.operators import metrics as M
+from corpusloom.operators import similar as D
 from corpusloom.operators import symbols as Y
 from corpusloom.runtime import Scratch
 
@@ -196,3 +197,18 @@ def plain_louvain(edges):
     for v in sorted(member):
         least.setdefault(member[v], v)
     return {v: least[c] for v, c in member.items()}
+
+
+def test_similar_pairs_by_index_and_by_prefixes(spark, monkeypatch):
+    """Both ways give what brute force gives; few sets on the right take no shuffle of the left."""
+    rng = random.Random(9)
+    made = [[(k, rng.sample("abcdefghij", rng.randrange(0, 7))) for k in range(60)] + [(99, None)] for _ in range(2)]
+    left, right = (spark.createDataFrame(rows, "file_id long, tokens array<string>").coalesce(1) for rows in made)
+    for least in (0.3, 0.5):
+        want = {(i, j): round(len({*x} & {*y}) / len({*x} | {*y}), 6) for i, x in made[0] for j, y in made[1] if x and y and round(len({*x} & {*y}) / len({*x} | {*y}), 6) >= least}
+        found = D.similar_pairs(left, right, least)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r["left_id"], r["right_id"]): r["similarity"] for r in found.collect()} == want
+        with monkeypatch.context() as m:
+            m.setattr(D, "MOST_HELD", 5)
+            assert {(r["left_id"], r["right_id"]): r["similarity"] for r in D.similar_pairs(left, right, least).collect()} == want
